@@ -8,11 +8,19 @@ How it stays linear where copies are many:
 
 * documents with equal shingle sets form a class by a 128-bit digest of the set;
   one representative goes on;
-* a bucket of a band never emits its pairs. It emits a star around its smallest
-  id; verified stars are contracted to components;
-* only buckets that then still hold several components are looked at again, in
-  blocks of at most ``block`` rows a side, and only pairs of different
-  components whose signatures agree go to verification.
+* a bucket of a band never emits its pairs. It gives a star around its smallest
+  id, of which the likely pairs (by a sketch of 128 bytes) are contracted to
+  clusters;
+* only buckets that then still hold several clusters are looked at again, in
+  blocks of about ``block`` rows, and give a spanning forest of their likely
+  pairs at most;
+* the full sets of a cluster meet in tasks of bounded bytes, where its likely
+  pairs are confirmed unless both are known to be connected; a task gives a
+  spanning forest of its links at most.
+
+A group of m documents of which many pairs are just below the threshold costs
+time with the square of m, in vectorised comparisons, but rows in proportion
+to m.
 """
 
 from __future__ import annotations
@@ -28,7 +36,8 @@ from .components import components
 from .scratch import Scratch, free_shuffles, partitions
 from .textvec import MULS, SPACE, U, Circulant, distinct, mix, shingles, signed, slices, word_hashes
 
-BANDS, ROWS, SKETCH = 36, 5, 128
+BANDS, ROWS, SKETCH, LEAST = 36, 5, 128, 80
+CLUSTER_BYTES = 16 << 20
 
 
 def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,82 +88,131 @@ def _sets(k: int):
     return run
 
 
-def _confirm(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch.column("left"), batch.column("right")
-            ok = np.zeros(batch.num_rows, bool)
-            held, was = None, None
-            for i in range(batch.num_rows):
-                x = np.frombuffer(left[i].as_buffer(), U)
-                if (b := batch.column("b")[i]) != was:
-                    held, was = np.frombuffer(right[i].as_buffer(), U), b
-                at = np.searchsorted(held, x)
-                at[at == len(held)] = 0
-                both = int(np.count_nonzero(held[at] == x)) if len(held) else 0
-                ok[i] = both > 0 and 100 * both >= percent * (len(x) + len(held) - both)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok))
+class Union:
+    """Disjoint sets of row numbers; ``label`` names the set of each row."""
 
-    return run
+    def __init__(self, labels: np.ndarray):
+        self.label = np.unique(labels, return_inverse=True)[1]
 
+    def join(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Put the sets of ``others`` and of ``i`` together; one row of each set that was another."""
+        found, at = np.unique(self.label[others], return_index=True)
+        new = found != self.label[i]
+        self.label[np.isin(self.label, found[new])] = self.label[i]
+        return others[at[new]]
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full shingle sets reach the likeness; a written table."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = scratch.write(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(k), "id long, members binary"), f"{name}_sets")
-    rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("left")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("right")), "b").select("a", "b", "left", "right")
-    out = scratch.write(rows.mapInArrow(_confirm(percent), "a long, b long").distinct(), name)
-    scratch.drop(f"{name}_sets")
-    return out
 
-
-def _across(percent: int, least: int):
-    """Pairs of one bucket (or of two of its blocks) that lie in different components and have like sketches."""
-
-    def pairs(ids, comps, sizes, sketch, side, p, q):
-        rows = np.flatnonzero(side == p)
-        cols = rows if p == q else np.flatnonzero(side == q)
-        for i in rows:
-            j = cols[cols > i] if p == q else cols
-            j = j[(comps[j] != comps[i]) & (100 * np.minimum(sizes[j], sizes[i]) >= percent * np.maximum(sizes[j], sizes[i]))]
-            if len(j):
-                j = j[np.count_nonzero(sketch[j] == sketch[i], axis=1) >= least]
-                yield np.full(len(j), ids[i]), ids[j]
+def _groups(keys: list[str], work):
+    """Run ``work`` over each whole group of rows that arrive sorted by ``keys``; it yields (a, b) arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            key, p, q, side, ids, comps, sizes = (table.column(c).to_numpy() for c in ("key", "p", "q", "side", "id", "component", "n"))
-            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), SKETCH)
-            cut = np.flatnonzero((key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
-            a, b = [], []
-            for s, e in zip([0, *cut], [*cut, len(ids)], strict=True):
-                for x, y in pairs(ids[s:e], comps[s:e], sizes[s:e], sketch[s:e], side[s:e], p[s], q[s]):
-                    a.append(x)
-                    b.append(y)
-            if a:
-                a, b = np.concatenate(a), np.concatenate(b)
+            cols = [table.column(c).to_numpy() for c in keys]
+            cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+            found = [x for s, e in zip([0, *cut], [*cut, table.num_rows], strict=True) for x in work(table.slice(s, e - s))]
+            if found:
+                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
+            last = [batch.column(c)[batch.num_rows - 1] for c in keys]
+            if all(held[0].column(c)[0] == v for c, v in zip(keys, last, strict=True)):
+                continue
             table = pa.Table.from_batches(held)
-            key, p, q = (table.column(c).to_numpy() for c in ("key", "p", "q"))
-            last = np.flatnonzero((key != key[-1]) | (p != p[-1]) | (q != q[-1]))
-            whole = int(last[-1]) + 1 if len(last) else 0
-            if whole:
-                yield from emit(table.slice(0, whole))
-            held = table.slice(whole).to_batches()
+            other = np.any([table.column(c).to_numpy() != v.as_py() for c, v in zip(keys, last, strict=True)], axis=0)
+            whole = int(np.flatnonzero(other)[-1]) + 1
+            yield from emit(table.slice(0, whole))
+            held = [b for b in table.slice(whole).to_batches() if b.num_rows]
         if held:
             yield from emit(pa.Table.from_batches(held))
 
     return run
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, block: int = 1000) -> DataFrame:
+def _matrix(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(table.num_rows, SKETCH)
+
+
+def _likely(sizes: np.ndarray, sketch: np.ndarray, i: int, j: np.ndarray, percent: int) -> np.ndarray:
+    """Those rows ``j`` that may be linked with ``i``: by size for certain, by sketch but for one pair in a million."""
+    j = j[100 * np.minimum(sizes[j], sizes[i]) >= percent * np.maximum(sizes[j], sizes[i])]
+    return j[np.count_nonzero(sketch[j] == sketch[i], axis=1) >= LEAST] if len(j) else j
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+    side = table.column("side").to_numpy()
+    return np.flatnonzero(side == p), np.flatnonzero(side == q), p == q
+
+
+def _forest(percent: int):
+    """Likely pairs that connect the clusters of one bucket (or of two of its blocks), no more than a spanning forest needs."""
+
+    def work(table: pa.Table):
+        if table.num_rows < 2:
+            return
+        ids, sizes, sketch, union = table.column("id").to_numpy(), table.column("n").to_numpy(), _matrix(table), Union(table.column("component").to_numpy())
+        rows, cols, same = _sides(table)
+        for i in rows:
+            j = cols[cols > i] if same else cols
+            j = _likely(sizes, sketch, i, j[union.label[j] != union.label[i]], percent)
+            if len(j):
+                new = union.join(i, j)
+                yield np.full(len(new), ids[i]), ids[new]
+
+    return work
+
+
+def _exact(percent: int):
+    """Links of one cluster (or of two of its blocks) confirmed on full sets, no more than a spanning forest needs."""
+
+    def work(table: pa.Table):
+        if table.num_rows < 2:
+            return
+        ids, sizes, sketch, union = table.column("id").to_numpy(), table.column("n").to_numpy(), _matrix(table), Union(np.arange(table.num_rows))
+        code = np.unique(np.frombuffer(b"".join(table.column("members").to_pylist()), U), return_inverse=True)[1]
+        ends = np.cumsum(sizes)
+        marked = np.zeros(int(code.max()) + 1, np.int64)
+        rows, cols, same = _sides(table)
+        for i in rows:
+            j = cols[cols > i] if same else cols
+            j = _likely(sizes, sketch, i, j[union.label[j] != union.label[i]], percent)
+            if not len(j):
+                continue
+            own = code[ends[i] - sizes[i] : ends[i]]
+            marked[own] = 1
+            offs = np.cumsum(sizes[j]) - sizes[j]
+            at = np.arange(int(sizes[j].sum())) + np.repeat(ends[j] - sizes[j] - offs, sizes[j])
+            both = np.add.reduceat(marked[code[at]], offs)
+            marked[own] = 0
+            j = j[100 * both >= percent * (sizes[i] + sizes[j] - both)]
+            if len(j):
+                new = union.join(i, j)
+                yield np.full(len(new), ids[i]), ids[new]
+
+    return work
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sketch", "pivot_sketch"))
+            yield batch.select(["a", "b"]).filter(pa.array(np.count_nonzero(x == y, axis=1) >= LEAST))
+
+
+def _blocks(rows: DataFrame, key: str, count: str, n: int) -> DataFrame:
+    """``rows`` of groups dealt to ``count`` blocks a group, each row to all pairs of blocks that hold its own."""
+    rows = rows.withColumn("side", F.expr(f"int(pmod(xxhash64(id, 7), {count}))")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(count).cast("int") - 1)))
+    rows = rows.withColumns({"p": F.least("side", "other"), "q": F.greatest("side", "other")})
+    return rows.repartition(n, key, "p", "q").sortWithinPartitions(key, "p", "q", "id")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, block: int = 2000) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row for each row of ``docs``.
 
     Words are runs of bytes other than ASCII white space, with A-Z lowered. A
@@ -182,30 +240,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = banded.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("pivot")).where("c > 1")
     buckets = scratch.write(banded.join(shared, "key").select("key", "id", "n", "c", "pivot"), "buckets")
     free_shuffles(spark)
-    sizes = reps.select(F.col("id").alias("pivot"), F.col("n").alias("m"))
-    stars = buckets.where("id <> pivot").select("id", "n", "pivot").distinct().join(sizes, "pivot").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    stars = scratch.write(stars.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
-    links = verified(stars, docs, shingle, percent, scratch, "links")
-    labels = components(links, scratch, "cc")
+    sketches = reps.select("id", "n", "sketch")
+    stars = buckets.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    stars = stars.join(sketches.withColumnRenamed("id", "a").hint("merge"), "a").join(sketches.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("pivot_sketch")).hint("merge"), "b")
+    stars = stars.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("a", "b", "sketch", "pivot_sketch").mapInArrow(_stars, "a long, b long")
+    near = components(stars, scratch, "near")
+    free_shuffles(spark)
+
+    tagged = buckets.join(near.hint("merge"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    mixed = tagged.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / block).alias("nb")).where("lo < hi").select("key", "nb")
+    rest = tagged.join(mixed.hint("merge"), "key").join(reps.select("id", "sketch").hint("merge"), "id")
+    forest = scratch.write(_blocks(rest, "key", "nb", partitions(spark)).select("key", "p", "q", "side", "id", "component", "n", "sketch").mapInArrow(_groups(["key", "p", "q"], _forest(percent)), "a long, b long"), "forest")
+    clusters = components(near.select(F.col("id").alias("a"), F.col("component").alias("b")).union(forest), scratch, "clusters")
+    scratch.drop("buckets", "forest")
     free_shuffles(spark)
 
-    tagged = buckets.join(labels, "id", "left").select("key", "id", "n", "c", F.coalesce("component", "id").alias("component"))
-    mixed = tagged.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    blocks = F.ceil(F.col("c") / block).cast("int")
-    rest = tagged.join(mixed, "key").join(reps.select("id", "sketch"), "id").withColumn("nb", blocks).withColumn("side", F.expr("int(pmod(xxhash64(id, 7), nb))"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rest = rest.select("key", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "id", "component", "n", "sketch")
-    rest = rest.repartition(partitions(spark), "key", "p", "q").sortWithinPartitions("key", "p", "q", "id")
-    again = scratch.write(rest.mapInArrow(_across(percent, 80), "a long, b long").distinct(), "across")
-    if again.isEmpty():
-        final = labels
-    else:
-        more = verified(again, docs, shingle, percent, scratch, "more")
-        name = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"{c}_c"))
-        joined = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
-        upper = components(joined, scratch, "cc_upper").select(F.col("id").alias("component"), F.col("component").alias("top"))
-        known = labels.union(labels.select("component", "component")).union(joined.select("a", "a")).union(joined.select("b", "b")).distinct()
-        final = known.join(upper, "component", "left").select("id", F.coalesce("top", "component").alias("component")).where("id <> component")
+    clusters = scratch.write(clusters.union(clusters.select("component", "component")).distinct(), "members")
+    sets = docs.join(clusters.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(shingle), "id long, members binary")
+    held = clusters.join(sketches.hint("merge"), "id")
+    count = held.groupBy("component").agg(F.ceil(8 * F.sum("n") / CLUSTER_BYTES).alias("nb"))
+    held = held.join(count.hint("merge"), "component").join(sets.hint("merge"), "id").where(F.octet_length("members") == 8 * F.col("n"))
+    links = scratch.write(_blocks(held, "component", "nb", partitions(spark)).select("component", "p", "q", "side", "id", "n", "sketch", "members").mapInArrow(_groups(["component", "p", "q"], _exact(percent)), "a long, b long"), "links")
+    final = components(links, scratch, "cc")
     out = sigs.join(classes, ["fp1", "fp2", "n"], "left").withColumn("id", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))).join(final, "id", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
     result = scratch.write(out, "result")
