@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, line_dedup, near_dedup, packing, secrets, warc
+from . import decontaminate, fingerprints, importance, licenses, line_dedup, near_dedup, packing, secrets, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -89,9 +89,46 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["op10_line_dedup"] = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
-k AS (SELECT *, translate(regexp_replace(line, '^[ 	-]+|[ 	-]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+k AS (SELECT *, translate(regexp_replace(line, '^[ 	-
+]+|[ 	-
+]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
 c AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
 SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
 FROM k LEFT JOIN c ON c.key = k.key GROUP BY doc_id
 """
+
+
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: DuckDB: the words of a text for decontamination, and its distinct five-word shingles (of fewer words, the sequence).
+SQL_RUNS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+ORACLE["op2_decontamination"] = rf"""
+WITH i AS (SELECT item_id, {SQL_RUNS} AS ws FROM benchmark), d AS (SELECT doc_id, {SQL_RUNS} AS ws FROM documents),
+l AS (SELECT DISTINCT least(len(ws), 5) AS k FROM i WHERE len(ws) > 0),
+s AS (SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda p: array_to_string(ws[p:p + k - 1], ' '))) AS g FROM i JOIN l ON k = least(len(ws), 5)),
+n AS (SELECT item_id, count(*) AS n FROM s GROUP BY item_id),
+g AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda p: array_to_string(ws[p:p + k - 1], ' '))) AS g FROM d, l WHERE len(ws) >= k),
+c AS (SELECT doc_id, item_id, count(*) AS m FROM g JOIN s USING (k, g) GROUP BY ALL)
+SELECT doc_id, item_id, n AS n_shingles, m AS n_shared, m / n AS containment FROM c JOIN n USING (item_id) WHERE 100 * m >= 80 * n
+"""
+
+
+@query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"), width=50)
+
+
+@query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "log_weight", "sample_key")
