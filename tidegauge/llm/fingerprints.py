@@ -80,11 +80,12 @@ def _ring(ids: DataFrame, scratch: Scratch) -> DataFrame:
     way, level by level, until one block is left.
     """
     lo, hi = ids.agg(F.min("id"), F.max("id")).first()
-    up = F.shiftright("id", 12)
+    one = lo is None or hi - lo < 4096
+    up = F.lit(0).cast("long") if one else F.shiftright("id", 12)
     block = Window.partitionBy("up").orderBy(F.desc("id"))
     rows = ids.withColumn("up", up).withColumn("next", F.lead("id").over(block))
     heads = ids.groupBy(up.alias("up")).agg(F.max("id").alias("head"))
-    if lo is None or lo >> 12 == hi >> 12:
+    if one:
         top = heads.select("up", "head")
     else:
         links = _ring(heads.select(F.col("up").alias("id")), scratch)
