@@ -51,9 +51,13 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    return packing.pack(docs, json_path=_vocabulary("byte_bpe_50k.json"), ranks_path=_vocabulary("byte_bpe_50k.tiktoken"), capacity=2048)
+
+
 @query
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), json_path=_vocabulary("byte_bpe_50k.json"), ranks_path=_vocabulary("byte_bpe_50k.tiktoken"), capacity=2048)
+    return packed(table(spark, sf_dir, "documents"))
 
 
 @query

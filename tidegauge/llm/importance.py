@@ -36,14 +36,14 @@ from .scratch import Scratch
 from .textvec import LOWER, MULS, SPACE, U, distinct, flat, mix, slices, span_hash
 
 BUCKETS, CHUNK, SALTS = 1 << 18, 1 << 13, 256
-PRIOR, SURE, SHORT = 10.0, 16.0, 0.5
+PRIOR, SURE, SHORT, RUN = 10.0, 16.0, 0.5, 6
 CAPS, REPEAT = U(0x1234567), U(0x7654321)
 KIND = np.where(SPACE, 0, 2).astype(np.uint8)
 KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct n-grams of each text: words, runs of symbols, neighbouring pairs, and two shapes (a word in capitals, a word three times in a row)."""
+    """Hashes of the distinct n-grams of each text: words, runs of symbols, neighbouring pairs, and two shapes (a word in capitals, a word RUN times in a row)."""
     buf, offs = flat(column)
     n = int(offs[-1])
     kind = KIND[buf[:n]]
@@ -60,9 +60,13 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     pair = np.flatnonzero(doc[1:] == doc[:-1])
     upper = np.concatenate([[0], np.cumsum((buf[:n] >= 65) & (buf[:n] <= 90))])
     capital = np.flatnonzero((upper[end] - upper[start] == end - start) & (end - start >= 4))
-    triple = np.flatnonzero((h[2:] == h[1:-1]) & (h[1:-1] == h[:-2]) & (doc[2:] == doc[:-2]))
-    values = np.concatenate([h, mix(h[pair] * MULS[1] + h[pair + 1] * MULS[2] + U(1)), np.full(len(capital), CAPS), np.full(len(triple), REPEAT)])
-    owner = np.concatenate([doc, doc[pair], doc[capital], doc[triple]])
+    plain = np.flatnonzero(kind[start] == 1)
+    w, d = h[plain], doc[plain]
+    same = (w[1:] == w[:-1]) & (d[1:] == d[:-1])
+    run = np.concatenate([[0], np.cumsum(same)])
+    repeat = d[np.flatnonzero(run[RUN - 1 :] - run[: max(len(run) - RUN + 1, 0)] == RUN - 1)]
+    values = np.concatenate([h, mix(h[pair] * MULS[1] + h[pair + 1] * MULS[2] + U(1)), np.full(len(capital), CAPS), np.full(len(repeat), REPEAT)])
+    owner = np.concatenate([doc, doc[pair], doc[capital], repeat])
     order = np.argsort(owner, kind="stable")
     return distinct(values[order], np.bincount(owner, minlength=len(count)))
 
