@@ -49,7 +49,7 @@ def chunked(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """The chunked record table of ``decided`` rows; revisits have one chunk without bytes."""
     kept = F.when(F.col("refers_to").isNull(), F.col("payload"))
     last = F.when(F.col("refers_to").isNull(), F.greatest(F.ceil(F.col("size") / chunk), F.lit(1)) - 1).otherwise(0).cast("int")
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("payload", kept)
+    rows = rows.withColumn("payload", kept)
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
     return rows.withColumn("payload", F.substring("payload", F.col("chunk_no") * chunk + 1, F.lit(chunk)))
 
@@ -70,7 +70,10 @@ def _head(r: dict) -> bytes:
 
 
 def write(rows: DataFrame, uri: str, *, level: int = 3) -> DataFrame:
-    """Write the chunked record table as gzipped archives below ``uri``; (file, records), one row for each archive."""
+    """Write the chunked record table as gzipped archives below ``uri``; (file, records), one row for each archive.
+
+    The chunks of a record follow each other in one partition, as ``chunked`` makes them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, out, records, packer = f"{uri}/{uuid.uuid4().hex}.warc.gz", None, 0, None
@@ -99,8 +102,7 @@ def write(rows: DataFrame, uri: str, *, level: int = 3) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records], pa.int64())], names=["file", "records"])
 
-    n = partitions(rows.sparkSession)
-    return rows.repartition(n, "row").sortWithinPartitions("row", "chunk_no").mapInArrow(run, "file string, records long")
+    return rows.mapInArrow(run, "file string, records long")
 
 
 def _fields(f: io.BufferedReader) -> dict[str, str] | None:
