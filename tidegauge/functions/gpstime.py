@@ -40,7 +40,7 @@ def to_gps(ts: Column) -> Column:
 def to_gps_exact(ts: Column) -> Column:
     """GPS seconds as decimal(19,9)."""
     us = F.unix_micros(ts.cast("timestamp"))
-    return ((us + (_steps(us, [u * 1_000_000 for u in _UNIX]) - GPS_EPOCH) * F.lit(1_000_000)).cast("decimal(25,6)") / F.lit(1_000_000)).cast("decimal(19,9)")
+    return ((us + (_steps(us, [u * 1_000_000 for u in _UNIX]) - GPS_EPOCH).cast("long") * F.lit(1_000_000).cast("long")).cast("decimal(25,6)") / F.lit(1_000_000)).cast("decimal(19,9)")
 
 
 def from_gps(gps: Column, *, on_leap: str = "error") -> Column:

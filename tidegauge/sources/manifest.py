@@ -20,10 +20,10 @@ def manifest(paths: DataFrame, column: str = "path") -> DataFrame:
 
 
 def read_cache(spark: SparkSession, paths: Sequence[str], *, segment: tuple[float, float] | None = None, strict: bool = False) -> DataFrame:
-    """The manifest of list files: a path a line, or five columns (obs desc start duration path), or two (path start)."""
+    """The manifest of list files: a path a line, or several columns, of which the one shaped like a file name with its stretch of time is the path."""
     lines = spark.read.text(list(paths)).select(F.trim("value").alias("line")).where("line <> '' and not startswith(line, '#')")
     p = F.split("line", r"\s+")
-    path = F.when(F.size(p) >= 5, F.get(p, F.lit(4))).otherwise(F.get(p, F.lit(0)))
+    path = F.coalesce(F.get(F.filter(p, lambda x: file_part(x, "start").isNotNull()), F.lit(0)), F.get(p, F.lit(0)))
     out = manifest(lines.select(F.regexp_replace(path, "^file://(localhost)?", "").alias("path")))
     return out if segment is None else sieve(out, *segment, strict=strict)
 

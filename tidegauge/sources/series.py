@@ -60,7 +60,8 @@ def read_json_flags(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """(flag, kind, start, end) of JSON documents of flags, one a file."""
     docs = spark.read.text(list(paths), wholetext=True).select(F.from_json("value", FLAG).alias("d")).select("d.*")
     ident = F.when(F.col("ifo").isNotNull() & ~F.col("name").startswith(F.concat("ifo", F.lit(":"))), F.concat_ws(":", "ifo", "name", F.col("version").cast("string"))).otherwise(F.col("name"))
-    each = F.explode(F.concat(*[F.transform(k, lambda s, k=k: F.struct(F.lit(k).alias("kind"), s[0].alias("start"), s[1].alias("end"))) for k in ("known", "active")]))
+    rows = lambda k: F.transform(k, lambda s: F.struct(F.lit(k).alias("kind"), s[0].alias("start"), s[1].alias("end")))
+    each = F.explode(F.concat(rows("known"), rows("active")))
     return docs.select(ident.alias("flag"), each.alias("s")).select("flag", "s.kind", "s.start", "s.end")
 
 
