@@ -8,6 +8,7 @@ re-read and never a re-run of earlier steps.
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,8 +57,10 @@ def free_shuffles(spark: SparkSession) -> None:
     """Let the driver release the shuffle files of finished steps now rather than at its next collection."""
     import gc
 
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first collection enqueues, the second finds released
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -3,19 +3,21 @@
 A string of ``width`` bytes goes if it also starts in a document with a smaller
 id. Not every suffix has to be sorted for that: every window of ``width`` bytes
 is filed under its anchor, the place of the least hash of a GRAM-byte gram
-within it, and equal windows have equal anchors. Three rounds over the documents,
+within it, and equal windows have equal anchors. Four rounds over the documents,
 in batches of bounded bytes:
 
 1. batches send the hashes of their anchors to shards, which answer which of
    them occur in several documents;
-2. for those, batches send the bytes around the anchor, once for each distinct
-   context, with the least and largest id. The shard sorts the suffixes of these
-   contexts by bucket-pointer refinement: buckets of 8-byte grams are refined by
-   the bucket identifiers of the suffixes 8, then 16, ... bytes further on, each
-   step reusing the identifiers that the last one assigned, and suffixes alone in
-   their bucket are not sorted again. A bucket at depth ``width`` is one distinct
-   window; its least id is the answer;
-3. batches mark and remove what a smaller id has.
+2. for those, batches send a hash of the context (all bytes of the windows of
+   the anchor) and the least id that has it. A document with a larger id than
+   the least one of its context loses all windows of the context;
+3. where an anchor has several contexts, the batch with the least id of each
+   sends its bytes. The shard sorts their suffixes by bucket-pointer refinement:
+   buckets of 8-byte grams are refined by the bucket identifiers of the suffixes
+   8, then 16, ... bytes further on, each step reusing the identifiers that the
+   last one assigned, and suffixes alone in their bucket are not sorted again. A
+   bucket at depth ``width`` is one distinct window; its least id is the answer;
+4. batches mark and remove what a smaller id has.
 
 What a batch sends is aggregated: a passage in a third of all documents costs a
 shard one context a batch.
@@ -32,11 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, free_shuffles
-from .textvec import MULS, U, flat, mix, span_hash, words_at
+from .textvec import MULS, U, flat, mix, slices, span_hash, words_at
 
 GRAM = 20
 BATCH_BYTES = 8 << 20
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 LAST = np.iinfo(np.int64).max
 
 
@@ -144,17 +146,46 @@ def _cut(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return shard[border], np.append(border, len(h))
 
 
+ROWS = pa.schema([("doc_id", pa.int64()), ("text", pa.large_binary())])
+
+
+def _zstd() -> pa.Codec:
+    return pa.Codec("zstd", 3)
+
+
+def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (b, rows): the documents of each batch number that a stretch of the input holds, compressed together."""
+    for batch in slices(batches, "text", BATCH_BYTES):
+        b = batch.column("b").to_numpy()
+        order = np.argsort(b, kind="stable")
+        rows = batch.take(pa.array(order))
+        border = np.flatnonzero(np.concatenate([[True], np.diff(b[order]) != 0]))
+        blobs = []
+        for s, e in zip(border, np.append(border[1:], len(b)), strict=True):
+            sink = pa.BufferOutputStream()
+            part = pa.table({"doc_id": rows.column("doc_id")[s:e], "text": rows.column("text")[s:e].cast(pa.large_binary())}, schema=ROWS)
+            with pa.ipc.new_stream(sink, ROWS, options=pa.ipc.IpcWriteOptions(compression=_zstd())) as out:
+                out.write_table(part)
+            blobs.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(b[order][border]), pa.array(blobs, pa.binary())], names=["b", "rows"])
+
+
+def _opened(table: pa.Table) -> pa.Table:
+    """The documents of a batch."""
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("rows")]).combine_chunks() if table.num_rows else ROWS.empty_table()
+
+
 def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, offsets and ids of a batch; a missing id is the largest, and is marked."""
     column = table.column("text").combine_chunks()
-    buf, offs = flat(column if isinstance(column, pa.Array) else column.chunk(0))
+    buf, offs = flat(column if isinstance(column, pa.Array) else column.chunk(0) if column.num_chunks else pa.array([], pa.large_binary()))
     ids = table.column("doc_id")
     return buf, offs, ids.fill_null(LAST).to_numpy(), ids.is_null().to_numpy()
 
 
 def _ask_hashes(width: int, bits: int):
     def run(table: pa.Table) -> pa.Table:
-        buf, offs, ids, absent = _texts(table)
+        buf, offs, ids, absent = _texts(_opened(table))
         x = Anchors(buf, offs, width)
         use = ~absent[x.doc]
         h, d = x.hash[use], ids[x.doc[use]]
@@ -188,122 +219,189 @@ def _repeated(table: pa.Table) -> pa.Table:
 
 
 def _known(table: pa.Table, column: str, dtype) -> np.ndarray:
-    return np.concatenate([np.empty(0, dtype), *[np.frombuffer(x.as_buffer(), dtype) for x in table.column(column)]])
+    return np.concatenate([np.empty(0, dtype), *[np.frombuffer(x.as_buffer(), dtype) for x in table.column(column) if x.is_valid]])
 
 
-CONTEXT = np.dtype([("h", "<u8"), ("c", "<u8"), ("lo", "<i8"), ("hi", "<i8"), ("many", "<i4"), ("size", "<i4")])
+CLASS = np.dtype([("h", "<u8"), ("c", "<u8"), ("lo", "<i8")])
+LEAST = np.dtype([("h", "<u8"), ("key", "<u8"), ("least", "<i8")])
+WANT = np.dtype([("h", "<u8"), ("key", "<u8")])
+CONTEXT = np.dtype([("h", "<u8"), ("key", "<u8"), ("least", "<i8"), ("many", "<i4"), ("size", "<i4")])
 ANSWER = np.dtype([("h", "<u8"), ("key", "<u8"), ("from", "<i4"), ("many", "<i4"), ("least", "<i8")])
 
 
-def _ask_contexts(width: int, bits: int):
+def _within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted ``known`` ones."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
+
+
+def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for ``count`` places of each, in a row."""
+    return np.arange(int(count.sum())) + np.repeat(start - (np.cumsum(count) - count), count)
+
+
+def _first(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    return np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)])) if len(columns[0]) else np.empty(0, np.int64)
+
+
+def _blank(**kinds: pa.DataType) -> pa.Table:
+    return pa.table({k: pa.array([], t) for k, t in kinds.items()})
+
+
+def _ask_classes(width: int, bits: int):
+    """What a batch knows of each context of a repeated anchor: a hash of it, and the least id that has it."""
+
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
-        names = {"shard": pa.int64(), "b": pa.int64(), "rows": pa.binary(), "bytes": pa.binary()}
         known = np.sort(_known(replies, "hashes", U))
         if not table.num_rows or not len(known):
-            return pa.table({k: pa.array([], t) for k, t in names.items()})
-        buf, offs, ids, absent = _texts(table)
+            return _blank(shard=pa.int64(), b=pa.int64(), rows=pa.binary())
+        buf, offs, ids, absent = _texts(_opened(table))
         x = Anchors(buf, offs, width)
-        at = np.minimum(np.searchsorted(known, x.hash), len(known) - 1)
-        which = np.flatnonzero((known[at] == x.hash) & ~absent[x.doc])
-        first, many, code = x.contexts(which)
+        which = np.flatnonzero(_within(x.hash, known) & ~absent[x.doc])
+        code = x.contexts(which)[2]
         h, d = x.hash[which], ids[x.doc[which]]
         order = np.lexsort((code, h))
-        h, code, d, first, many = h[order], code[order], d[order], first[order], many[order]
-        new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (code[1:] != code[:-1])])) if len(h) else np.empty(0, np.int64)
-        rows = np.empty(len(new), CONTEXT)
-        rows["h"], rows["c"], rows["many"], rows["size"] = h[new], code[new], many[new], many[new] + width - 1
+        h, code, d = h[order], code[order], d[order]
+        new = _first(h, code)
+        rows = np.empty(len(new), CLASS)
+        rows["h"], rows["c"] = h[new], code[new]
         if len(new):
-            rows["lo"], rows["hi"] = np.minimum.reduceat(d, new), np.maximum.reduceat(d, new)
+            rows["lo"] = np.minimum.reduceat(d, new)
+        shard, border = _cut(rows["h"], bits)
+        return pa.table({"shard": pa.array(shard), "b": pa.array([table.column("b")[0].as_py()] * len(shard), pa.int64()), "rows": pa.array([rows[s:e].tobytes() for s, e in zip(border, border[1:], strict=False)], pa.binary())})
+
+    return run
+
+
+def _classes(table: pa.Table) -> pa.Table:
+    """For each batch: the least id of each of its contexts where another batch has it, and which contexts it is to send.
+
+    Bytes are needed only where one anchor has several contexts, and of each
+    context once, from the batch with the least id.
+    """
+    parts = [np.frombuffer(x.as_buffer(), CLASS) for x in table.column("rows")]
+    rows = np.concatenate(parts)
+    order = np.lexsort((rows["lo"], rows["c"], rows["h"]))
+    s = rows[order]
+    new = _first(s["h"], s["c"])
+    kind = np.empty(len(rows), np.int64)
+    kind[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(rows))))
+    least, h = s["lo"][new], s["h"][new]
+    mixed = np.zeros(len(new), bool)
+    mixed[1:] |= h[1:] == h[:-1]
+    mixed[:-1] |= h[1:] == h[:-1]
+    head = np.zeros(len(rows), bool)
+    head[order[new]] = True
+    ends, lows, wants = np.cumsum([len(p) for p in parts]), [], []
+    for p, e in zip(parts, ends, strict=True):
+        mine, own = kind[e - len(p) : e], head[e - len(p) : e]
+        key = _key(p["h"], p["c"])
+        beaten = least[mine] < p["lo"]
+        low = np.empty(int(beaten.sum()), LEAST)
+        low["h"], low["key"], low["least"] = p["h"][beaten], key[beaten], least[mine][beaten]
+        send = own & mixed[mine]
+        want = np.empty(int(send.sum()), WANT)
+        want["h"], want["key"] = p["h"][send], key[send]
+        lows.append(low.tobytes())
+        wants.append(want.tobytes())
+    return pa.table({"b": table.column("b"), "lows": pa.array(lows, pa.binary()), "wants": pa.array(wants, pa.binary())})
+
+
+def _ask_contexts(width: int, bits: int):
+    def run(table: pa.Table, replies: pa.Table) -> pa.Table:
+        wants = _known(replies, "wants", WANT)
+        if not table.num_rows or not len(wants):
+            return _blank(shard=pa.int64(), b=pa.int64(), rows=pa.binary(), bytes=pa.binary())
+        buf, offs, ids, absent = _texts(_opened(table))
+        x = Anchors(buf, offs, width)
+        which = np.flatnonzero(_within(x.hash, np.unique(wants["h"])) & ~absent[x.doc])
+        first, many, code = x.contexts(which)
+        key = _key(x.hash[which], code)
+        use = _within(key, np.sort(wants["key"]))
+        h, key, first, many, d = x.hash[which][use], key[use], first[use], many[use], ids[x.doc[which]][use]
+        order = np.lexsort((d, key, h))
+        h, key, first, many, d = h[order], key[order], first[order], many[order], d[order]
+        new = _first(h, key)
+        rows = np.empty(len(new), CONTEXT)
+        rows["h"], rows["key"], rows["least"], rows["many"], rows["size"] = h[new], key[new], d[new], many[new], many[new] + width - 1
         first = first[new]
         shard, border = _cut(rows["h"], bits)
         blobs, texts = [], []
         for s, e in zip(border, border[1:], strict=False):
-            size = rows["size"][s:e].astype(np.int64)
-            place = np.arange(int(size.sum())) + np.repeat(first[s:e] - (np.cumsum(size) - size), size)
             blobs.append(rows[s:e].tobytes())
-            texts.append(buf[place].tobytes())
-        b = table.column("b")[0].as_py()
-        return pa.table({"shard": pa.array(shard), "b": pa.array([b] * len(shard), pa.int64()), "rows": pa.array(blobs, pa.binary()), "bytes": pa.array(texts, pa.binary())})
+            texts.append(_zstd().compress(buf[_spread(first[s:e], rows["size"][s:e].astype(np.int64))].tobytes(), asbytes=True))
+        return pa.table({"shard": pa.array(shard), "b": pa.array([table.column("b")[0].as_py()] * len(shard), pa.int64()), "rows": pa.array(blobs, pa.binary()), "bytes": pa.array(texts, pa.binary())})
 
     return run
 
 
 def _answer(width: int):
+    """For each context, the runs of windows that a smaller id has within another context."""
+
     def run(table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x.as_buffer(), CONTEXT) for x in table.column("rows")]
         rows = np.concatenate(parts)
+        text = np.concatenate([*[np.frombuffer(_zstd().decompress(x.as_buffer(), int(p["size"].sum())), np.uint8) for x, p in zip(table.column("bytes"), parts, strict=True)], np.zeros(8, np.uint8)])
         place = np.cumsum(rows["size"].astype(np.int64)) - rows["size"]
-        text = np.concatenate([*[np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bytes")], np.zeros(8, np.uint8)])
-        order = np.lexsort((rows["c"], rows["h"]))
-        s = rows[order]
-        new = np.concatenate([[True], (s["h"][1:] != s["h"][:-1]) | (s["c"][1:] != s["c"][:-1])])
-        kind = np.empty(len(rows), np.int64)
-        kind[order] = np.cumsum(new) - 1
-        heads = order[new]
-        least = np.minimum.reduceat(s["lo"], np.flatnonzero(new))
-        # classes of contexts, and their windows
-        many = rows["many"][heads].astype(np.int64)
-        base = np.cumsum(many) - many
-        owner = np.repeat(np.arange(len(heads)), many)
-        window = np.arange(len(owner)) - base[owner]
-        value = least[owner]
-        h = rows["h"][heads]
-        alone = np.ones(len(heads), bool)
-        alone[1:] &= h[1:] != h[:-1]
-        alone[:-1] &= h[1:] != h[:-1]
-        mixed = np.flatnonzero(~alone[owner])
-        if len(mixed):
-            use = np.flatnonzero(~alone)
-            size = rows["size"][heads[use]].astype(np.int64)
-            to = np.cumsum(size) - size
-            take = np.arange(int(size.sum())) + np.repeat(place[heads[use]] - to, size)
-            at = np.empty(len(heads), np.int64)
-            at[use] = to
-            bucket = refine(np.concatenate([text[take], np.zeros(8, np.uint8)]), at[owner[mixed]] + window[mixed], width)
-            low = np.full(int(bucket.max()) + 1, LAST)
-            np.minimum.at(low, bucket, value[mixed])
-            value[mixed] = low[bucket]
-        # runs of windows with one answer
-        edge = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])]))
+        many = rows["many"].astype(np.int64)
+        starts, owner = _spread(place, many), np.repeat(np.arange(len(rows)), many)
+        bucket = refine(text, starts, width)
+        low = np.full(int(bucket.max()) + 1, LAST)
+        np.minimum.at(low, bucket, rows["least"][owner])
+        value, window = low[bucket], starts - place[owner]
+        edge = _first(owner, value)
+        length = np.diff(np.append(edge, len(owner)))
+        use = value[edge] < rows["least"][owner[edge]]
+        edge, length = edge[use], length[use]
         runs = np.empty(len(edge), ANSWER)
-        runs["h"] = h[owner[edge]]
-        runs["key"], runs["from"], runs["many"], runs["least"] = _key(h, rows["c"][heads])[owner[edge]], window[edge], np.diff(np.append(edge, len(owner))), value[edge]
-        begin = np.searchsorted(owner[edge], np.arange(len(heads) + 1))
-        ends, out = np.cumsum([len(p) for p in parts]), []
-        for p, e in zip(parts, ends, strict=True):
-            mine = kind[e - len(p) : e]
-            count = begin[mine + 1] - begin[mine]
-            take = np.arange(int(count.sum())) + np.repeat(begin[mine] - (np.cumsum(count) - count), count)
-            got = runs[take]
-            out.append(got[got["least"] < np.repeat(p["hi"], count)].tobytes())
-        return pa.table({"b": table.column("b"), "answers": pa.array(out, pa.binary())})
+        runs["h"], runs["key"], runs["from"], runs["many"], runs["least"] = rows["h"][owner[edge]], rows["key"][owner[edge]], window[edge], length, value[edge]
+        ends = np.cumsum([len(p) for p in parts])
+        border = np.searchsorted(owner[edge], np.concatenate([[0], ends]))
+        return pa.table({"b": table.column("b"), "answers": pa.array([runs[s:e].tobytes() for s, e in zip(border, border[1:], strict=False)], pa.binary())})
 
     return run
 
 
+def _matched(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``table`` with each key: their indices, and the places of the keys."""
+    order = np.argsort(table["key"], kind="stable")
+    found = table["key"][order]
+    a, e = np.searchsorted(found, keys), np.searchsorted(found, keys, side="right")
+    return order[_spread(a, e - a)], np.repeat(np.arange(len(keys)), e - a)
+
+
 def _remove(width: int, with_kept: bool):
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept]
 
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
+        table = _opened(table)
         buf, offs, ids, absent = _texts(table)
         n = int(offs[-1])
         gone = np.zeros(n + 1, np.int64)
-        answers = _known(replies, "answers", ANSWER)
-        if len(answers):
-            answers = answers[np.argsort(answers["key"], kind="stable")]
-            x = Anchors(buf, offs, width)
-            known = np.unique(answers["h"])
-            which = np.flatnonzero((known[np.minimum(np.searchsorted(known, x.hash), len(known) - 1)] == x.hash) & ~absent[x.doc])
-            first, _, code = x.contexts(which)
-            key = _key(x.hash[which], code)
-            a, e = np.searchsorted(answers["key"], key), np.searchsorted(answers["key"], key, side="right")
-            count = e - a
-            take = np.arange(int(count.sum())) + np.repeat(a - (np.cumsum(count) - count), count)
-            got, start, own = answers[take], np.repeat(first, count), np.repeat(ids[x.doc[which]], count)
-            hit = got["least"] < own
-            start = start[hit] + got["from"][hit]
+        lows, answers = _known(replies, "lows", LEAST), _known(replies, "answers", ANSWER)
+        x = Anchors(buf, offs, width)
+        order = np.argsort(x.hash, kind="stable")
+        h, d = x.hash[order], ids[x.doc[order]]
+        at = _first(h)
+        several = h[at][np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)] if len(at) else h
+        which = np.flatnonzero(_within(x.hash, np.unique(np.concatenate([lows["h"], answers["h"], several]))) & ~absent[x.doc])
+        if len(which):
+            first, many, code = x.contexts(which)
+            key, own = _key(x.hash[which], code), ids[x.doc[which]]
+            kinds, kind = np.unique(key, return_inverse=True)
+            least = np.full(len(kinds), LAST)
+            np.minimum.at(least, kind, own)
+            i, at = _matched(kinds, lows)
+            np.minimum.at(least, at, lows["least"][i])
+            whole = least[kind] < own
+            np.add.at(gone, first[whole], 1)
+            np.add.at(gone, first[whole] + many[whole] + width - 1, -1)
+            i, at = _matched(key, answers)
+            hit = answers["least"][i] < own[at]
+            i, at = i[hit], at[hit]
+            start = first[at] + answers["from"][i]
             np.add.at(gone, start, 1)
-            np.add.at(gone, start + got["many"][hit] + width - 1, -1)
+            np.add.at(gone, start + answers["many"][i] + width - 1, -1)
         removed = np.cumsum(gone)[:n] > 0
         change = removed.copy()
         if n:
@@ -318,8 +416,6 @@ def _remove(width: int, with_kept: bool):
     return run
 
 
-
-
 def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 50, with_kept: bool = False, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary]), one row for each row of ``docs``.
 
@@ -338,15 +434,20 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     batches = max(1, -(-total // batch_bytes))
     bits = max(0, (-(-total // SHARD_BYTES)).bit_length())
-    docs = docs.withColumn("b", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(batches)))
+    docs = docs.withColumn("b", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(batches))).mapInArrow(_bundle, "b long, rows binary")
     asked = docs.groupBy("b").applyInArrow(_ask_hashes(width, bits), "shard long, b long, hashes binary, many binary")
     hot = scratch.write(asked.groupBy("shard").applyInArrow(_repeated, "b long, hashes binary"), "repeated")
     free_shuffles(spark)
-    asked = docs.groupBy("b").cogroup(hot.groupBy("b")).applyInArrow(_ask_contexts(width, bits), "shard long, b long, rows binary, bytes binary")
-    answers = scratch.write(asked.groupBy("shard").applyInArrow(_answer(width), "b long, answers binary"), "answers")
+    asked = docs.groupBy("b").cogroup(hot.groupBy("b")).applyInArrow(_ask_classes(width, bits), "shard long, b long, rows binary")
+    classes = scratch.write(asked.groupBy("shard").applyInArrow(_classes, "b long, lows binary, wants binary"), "classes")
     scratch.drop("repeated")
     free_shuffles(spark)
+    asked = docs.groupBy("b").cogroup(classes.select("b", "wants").groupBy("b")).applyInArrow(_ask_contexts(width, bits), "shard long, b long, rows binary, bytes binary")
+    answers = scratch.write(asked.groupBy("shard").applyInArrow(_answer(width), "b long, answers binary"), "answers")
+    free_shuffles(spark)
+    none = F.lit(None).cast("binary")
+    replies = classes.select("b", "lows", none.alias("answers")).union(answers.select("b", none, "answers"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
-    result = scratch.write(docs.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(_remove(width, with_kept), schema), "result")
+    result = scratch.write(docs.groupBy("b").cogroup(replies.groupBy("b")).applyInArrow(_remove(width, with_kept), schema), "result")
     scratch.close("result")
     return result
