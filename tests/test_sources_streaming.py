@@ -138,3 +138,34 @@ def test_streams(spark, tmp_path):
     assert all(r.n == 30 for r in best)
     held = run(streaming.rolling_buffer(read().select("key", "idx", "value"), size=4, keys=["key"]), "update", "held")
     assert sorted(r.idx for r in held if r.key == "j") == [52, 54, 56, 58]
+
+
+def test_xml_flags_and_merges(spark, tmp_path):
+    from tidegauge.sources import flags as FL
+
+    f = spark.createDataFrame([("X1:A:1", "known", 0.0, 9.0), ("X1:A:1", "active", 1.0, 2.0), ("X1:B:2", "known", 0.0, 9.0)], "flag string, kind string, start double, end double")
+    sources.write(f, f"{tmp_path}/f.xml", format="ligolw.flag")
+    assert sorted(map(tuple, sources.read(spark, f"{tmp_path}/f.xml", format="ligolw.flag").collect())) == sorted(map(tuple, f.collect()))
+    with pytest.raises(KeyError):
+        FL.check_names(f, ["X1:A:1", "nope"])
+    with pytest.warns(UserWarning, match="nope"):
+        assert FL.merge_flags([f, f], names=["X1:A:1", "nope"], on_missing="warn", merged=True).count() == 2
+    assert FL.merge_segments([f.select("start", "end")] * 2, merged=True).count() == 1
+    assert FL.hosts("a.b:31,c", ["c", "d:1"]) == [("a.b", 31), ("c", None), ("d", 1)]
+
+
+def test_pieces_and_padding(spark):
+    from tidegauge.operators import series as X
+
+    s = from_arrays(spark.createDataFrame([("a", [1.0, 2.0])], "channel string, samples array<double>"), "samples")
+    far = s.withColumn("x", F.col("x") + 4)
+    pieces = s.withColumn("piece", F.lit(1)).unionByName(far.withColumn("piece", F.lit(0)))
+    assert [r.value for r in X.join_pieces(pieces, dx=1.0, fill=0.0).orderBy("idx").collect()] == [1, 2, 0, 0, 1, 2]
+    assert [r.x for r in X.join_pieces(pieces, dx=1.0, gap="ignore").orderBy("idx").collect()] == [0, 1, 2, 3]
+    with pytest.raises(Exception, match="gap or an overlap"):
+        X.join_pieces(pieces, dx=1.0).collect()
+    with pytest.raises(Exception, match="does not cover"):
+        X.pad_to(s, -1, 2, dx=1.0).collect()
+    assert X.pad_to(s, 0, 2, dx=1.0).count() == 2
+    with pytest.raises(ValueError, match="unit"):
+        X.compatible({"dx": 1, "unit": "m"}, {"dx": 1, "unit": "s"})

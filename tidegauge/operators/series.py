@@ -320,3 +320,63 @@ def chunks(size: int, stride: int, overlap: int) -> list[tuple[int, int]]:
         out.append((start, end))
         step = (stride - overlap // 2) if i == 0 else step + stride
     return out
+
+
+def pad_to(df: DataFrame, start: float, end: float, *, dx: float, fill: float | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Extended to [start, end) with ``fill`` (whole samples, truncated), or an error for a series that does not cover it if ``fill`` is None."""
+    ends = df.groupBy(*keys).agg(F.min("x").alias("__x0"), (F.max("x") + dx).alias("__x1"), F.min("idx").alias("__i0"), F.max("idx").alias("__i1"))
+    before, after = ((F.col("__x0") - start) / dx).cast("long"), ((F.lit(float(end)) - F.col("__x1")) / dx).cast("long")
+    ends = ends.withColumns({"__b": F.greatest(before, F.lit(0)), "__a": F.greatest(after, F.lit(0))})
+    if fill is None:
+        short = (F.col("__x0") > start + TOLERANCE) | (F.col("__x1") < end - TOLERANCE)
+        ok = ends.select(*keys, F.when(short, F.raise_error(F.lit("the series does not cover the stretch that was asked for")).cast("boolean")).otherwise(F.lit(True)).alias("__ok"))
+        return df.join(ok, list(keys)).where("__ok").drop("__ok")
+    lead = F.when(F.col("__b") > 0, F.sequence(F.col("__i0") - F.col("__b"), F.col("__i0") - 1)).otherwise(F.array().cast("array<bigint>"))
+    tail = F.when(F.col("__a") > 0, F.sequence(F.col("__i1") + 1, F.col("__i1") + F.col("__a"))).otherwise(F.array().cast("array<bigint>"))
+    new = ends.select(*keys, "__x0", "__i0", F.explode(F.concat(lead, tail)).alias("idx")).select(*keys, "idx", (F.col("__x0") + (F.col("idx") - F.col("__i0")) * dx).alias("x"), F.lit(float(fill)).alias("value"))
+    rows = df.select(*keys, "idx", "x", "value").unionByName(new)
+    return rows.join(ends.select(*keys, (F.col("__b") - F.col("__i0")).alias("__s")), list(keys)).withColumn("idx", F.col("idx") + F.col("__s")).drop("__s")
+
+
+def join_pieces(pieces: DataFrame, *, dx: float, gap: str | None = None, fill: float | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Pieces (keys..., piece, idx, x, value) of a channel in one, by start, with the gap policies of ``append``; any number of pieces in one pass."""
+    gap = gap or ("raise" if fill is None else "pad")
+    spans = pieces.groupBy(*keys, "piece").agg(F.min("x").alias("__x0"), F.max("x").alias("__x1"), F.count("*").alias("__n"), F.min("idx").alias("__i0"))
+    w = Window.partitionBy(*[F.col(k) for k in keys]).orderBy("__x0", "piece")
+    hole = F.coalesce(F.col("__x0") - (F.lag("__x1").over(w) + dx), F.lit(0.0))
+    spans = spans.withColumn("__gap", hole)
+    if gap == "ignore":
+        count = F.lit(0).cast("long")
+    else:
+        wrong = F.abs("__gap") >= TOLERANCE if gap == "raise" else F.col("__gap") <= -TOLERANCE
+        count = F.when(wrong, F.raise_error(F.lit("cannot join the pieces: there is a gap or an overlap")).cast("long")).otherwise(F.floor(F.col("__gap") / dx + 0.5))
+    spans = spans.withColumn("__pad", count)
+    offset = F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.sum("__pad").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    spans = spans.withColumns({"__o": offset, "__first": F.min("__x0").over(Window.partitionBy(*[F.col(k) for k in keys]))})
+    idx = F.col("idx") - F.col("__i0") + F.col("__o")
+    x = F.col("__first") + idx * dx if gap == "ignore" else F.col("x")
+    out = pieces.join(spans, [*keys, "piece"]).select(*keys, idx.alias("idx"), x.alias("x"), "value")
+    new = spans.where("__pad > 0").select(*keys, "__x0", "__o", F.explode(F.sequence(F.col("__o") - F.col("__pad"), F.col("__o") - 1)).alias("idx"))
+    return out.unionByName(new.select(*keys, "idx", (F.col("__x0") - (F.col("__o") - F.col("idx")) * dx).alias("x"), F.lit(float(fill or 0.0)).alias("value")))
+
+
+def span(df: DataFrame, *, dx: float = 1.0, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys..., start, end) of the samples; of all channels without keys."""
+    return df.groupBy(*keys).agg(F.min("x").alias("start"), (F.max("x") + dx).alias("end"))
+
+
+def scale(value: Column, slope: Column, offset: Column) -> Column:
+    """Raw samples in physical units."""
+    return value * slope + offset
+
+
+def min_mean_max(df: DataFrame, n: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys..., step, x, low, mean, high) of each n samples: a line with its band."""
+    return df.groupBy(*keys, F.floor(F.col("idx") / n).cast("long").alias("step")).agg(F.min("x").alias("x"), F.min("value").alias("low"), F.avg("value").alias("mean"), F.max("value").alias("high"))
+
+
+def compatible(a: dict, b: dict) -> None:
+    """Whether two series may be combined: equal step and unit; an error says what differs."""
+    for what in ("dx", "unit"):
+        if a.get(what) != b.get(what):
+            raise ValueError(f"the series have different values of {what}: {a.get(what)!r} and {b.get(what)!r}")

@@ -72,7 +72,7 @@ def read(spark: SparkSession, source: str | Sequence[str], *, format: str | None
     Files of one call are one scan; with ``merge_function`` each is a frame of
     its own, and the function joins them.
     """
-    from tidegauge.sources import hdf5, manifest, series, tables, wav, xml  # noqa: F401  they register their formats
+    from tidegauge.sources import flags, hdf5, manifest, series, tables, wav, xml  # noqa: F401  they register their formats
 
     paths = [source] if isinstance(source, str) else list(source)
     reader = FORMATS[format or infer_format(paths)].read
@@ -90,7 +90,7 @@ def read(spark: SparkSession, source: str | Sequence[str], *, format: str | None
 
 
 def write(df: DataFrame, path: str, *, format: str | None = None, **options: Any) -> None:
-    from tidegauge.sources import hdf5, manifest, series, tables, wav, xml  # noqa: F401
+    from tidegauge.sources import flags, hdf5, manifest, series, tables, wav, xml  # noqa: F401
 
     writer = FORMATS[format or infer_format(path)].write
     if writer is None:
