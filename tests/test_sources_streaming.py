@@ -169,3 +169,23 @@ def test_pieces_and_padding(spark):
     assert X.pad_to(s, 0, 2, dx=1.0).count() == 2
     with pytest.raises(ValueError, match="unit"):
         X.compatible({"dx": 1, "unit": "m"}, {"dx": 1, "unit": "s"})
+
+
+def test_xml_arrays(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(
+        '<LIGO_LW><LIGO_LW Name="REAL8FrequencySeries"><Time Name="epoch">10</Time><Param Name="f0:param">0</Param><Param Name="unit:param">m</Param>'
+        '<Array Name="PSD:array"><Dim Start="5" Scale="0.5">3</Dim><Stream Delimiter=" ">1 2 3</Stream></Array></LIGO_LW>'
+        '<LIGO_LW><Array Name="XY:array"><Dim>2</Dim><Dim>2</Dim><Stream Delimiter=",">0,7,1,8</Stream></Array></LIGO_LW></LIGO_LW>'
+    )
+    read = lambda **kw: [(r.name, r.x, r.value) for r in sources.read(spark, f"{tmp_path}/a.xml", format="ligolw.array", **kw).orderBy("name", "idx").collect()]
+    assert read(name="PSD", epoch=10, unit="m") == [("PSD", 5.0, 1.0), ("PSD", 5.5, 2.0), ("PSD", 6.0, 3.0)]
+    assert read(name="XY") == [("XY", 0.0, 7.0), ("XY", 1.0, 8.0)] and len(read()) == 5 and read(epoch=11) == []
+
+
+def test_jdbc(spark):
+    df = spark.createDataFrame([(1, 2.5), (2, 3.5), (3, 9.0)], "ID int, SNR double")
+    url = "jdbc:derby:memory:tidegauge;create=true"
+    df.write.jdbc(url, "TRIG", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    out = registry.jdbc(spark, url, "TRIG", ["ID"], where="SNR > 3", order_by="ID", descending=True, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert [r.ID for r in out.collect()] == [3, 2]
+    assert "PushedFilters: [*IsNotNull(SNR), *GreaterThan(SNR,3.0)]" in out._jdf.queryExecution().toString()

@@ -485,13 +485,13 @@ def q_tiling(spark, d):
 # -- conditioning: no SQL; tests hold these against identities and closed forms
 
 
-def _filtered(name, fn):
+def _filtered(name, fn, sql=None):
     def made(spark, d):
         out = P.per_channel(samples(spark, d), "samples", fn)
         return V(out.select("channel", F.posexplode("samples").alias("idx", "value")))
 
     made.__name__ = name
-    query()(made)
+    query(sql)(made)
 
 
 _filtered("lowpass", lambda x: K.apply_filter(x, K.lowpass(8, 64)))
@@ -503,10 +503,18 @@ _filtered("fir_filter", lambda x: K.apply_filter(x, K.design_fir("lowpass", 8, 1
 _filtered("resample_decimate", lambda x: K.resample(x, 64, 16, n=8))
 _filtered("resample_fourier", lambda x: K.resample(x, 64, 48))
 _filtered("whiten", lambda x: K.whiten(x, 64, fftlength=0.25, overlap=0.125, fduration=0.25))
-_filtered("convolve", lambda x: K.convolve(x, np.array([0.25, 0.5, 0.25, 0.0])))
+_filtered(
+    "convolve",
+    lambda x: K.convolve(x, np.array([0.25, 0.5, 0.25, 0.0])),
+    f"SELECT channel, idx::INTEGER AS idx, round(0.25 * v + 0.5 * coalesce(lead(v) OVER w, 0) + 0.25 * coalesce(lead(v, 2) OVER w, 0), 6) + 0.0 AS value FROM (SELECT channel, idx, value * (CASE WHEN idx IN (0, 63) THEN 0 WHEN idx IN (1, 62) THEN 0.75 ELSE 1 END) AS v FROM {SQL_SERIES}) WINDOW w AS (PARTITION BY channel ORDER BY idx)",
+)
 _filtered("correlate", lambda x: K.correlate(x, x[8:24], 64))
 _filtered("fir_from_transfer", lambda x: K.fir_from_transfer(np.ones(33), 16) * x[:16])
-_filtered("planck_window", lambda x: x * K.planck(64, 8, 8))
+_filtered(
+    "planck_window",
+    lambda x: x * K.planck(64, 8, 8),
+    f"SELECT channel, idx::INTEGER AS idx, round(value * (CASE WHEN k = 0 THEN 0 WHEN k < 8 THEN 1 / (exp(8.0 / k - 8.0 / (8 - k)) + 1) ELSE 1 END), 6) + 0.0 AS value FROM (SELECT *, least(idx, 63 - idx) AS k FROM {SQL_SERIES})",
+)
 
 
 @query()
@@ -545,9 +553,25 @@ def frequency_response(spark, d):
     return V(P.multiply_response(spectrum, K.lowpass(8, 64), fs=64.0))
 
 
-@query()
+def sql_segments(nfft: int, starts: str) -> str:
+    """(channel, c, k, fi, re, im) of mean-free Hann segments of nfft samples at places of a table of (c, k, a)."""
+    hann = f"(0.5 - 0.5 * cos({PI2} * j / {nfft}))"
+    return f"""(WITH s AS (SELECT vec_id, c, k, embedding[a + 1 : a + {nfft}]::DOUBLE[] AS v FROM embeddings, {starts}), m AS (SELECT *, list_avg(v) AS mu FROM s)
+SELECT vec_id AS channel, c, k, fi, sum((v[j + 1] - mu) * {hann} * cos({PI2} * j * fi / {nfft})) AS re, -sum((v[j + 1] - mu) * {hann} * sin({PI2} * j * fi / {nfft})) AS im
+FROM m, range({nfft}) r(j), range({nfft // 2 + 1}) f(fi) GROUP BY ALL)"""
+
+
+#: Segments of 8 samples, half overlapping, of the two chunks of 36 samples (the last ends with the data).
+CHUNK8 = "(SELECT c, k, c * 28 + 4 * k AS a FROM range(2) x(c), range(8) y(k))"
+NORM8 = sum((0.5 - 0.5 * math.cos(2 * math.pi * j / 8)) ** 2 for j in range(8))
+
+
+@query(f"""WITH z AS MATERIALIZED (SELECT * FROM {sql_segments(16, "(SELECT c, k, 4 * c + 8 * k AS a FROM range(2) x(c), range(6) y(k))")})
+SELECT a.channel, a.fi, round((pow(avg(a.re * b.re + a.im * b.im), 2) + pow(avg(a.re * b.im - a.im * b.re), 2)) / (avg(a.re * a.re + a.im * a.im) * avg(b.re * b.re + b.im * b.im)), 5) + 0.0 AS value
+FROM z a JOIN z b ON b.channel = a.channel AND b.k = a.k AND b.fi = a.fi WHERE a.c = 0 AND b.c = 1 AND a.fi BETWEEN 1 AND 7 GROUP BY 1, 2""")
 def auto_coherence(spark, d):
-    return V(P.auto_coherence(samples(spark, d), "samples", 4, nfft=16, noverlap=8))
+    out = P.auto_coherence(samples(spark, d), "samples", 4, nfft=16, noverlap=8).where("fi between 1 and 7")
+    return out.select("channel", "fi", (F.round("value", 5) + 0.0).alias("value"))
 
 
 @query()
@@ -556,15 +580,17 @@ def coherence_spectrogram(spark, d):
     return V(P.coherence_spectrogram(s, X.shift(s, 0.0).withColumn("value", F.col("value") * F.cos("idx")), fs=1.0, stride=32, nfft=8))
 
 
-@query()
+@query(f"SELECT channel, c AS ti, fi, round(-avg(re * re + im * im) / {NORM8} * (CASE WHEN fi IN (0, 4) THEN 1 ELSE 2 END), 6) + 0.0 AS re, 0.0 AS im FROM {sql_segments(8, CHUNK8)} GROUP BY 1, 2, 3")
 def csd_spectrogram(spark, d):
+    """Of each channel with its negative."""
     s = series(spark, d)
-    return V(P.csd_spectrogram(s, s.withColumn("value", -F.col("value")), fs=1.0, stride=32, nfft=8, noverlap=4), "re", "im")
+    return V(P.csd_spectrogram(s, s.withColumn("value", -F.col("value")), fs=1.0, stride=32, nfft=8, noverlap=4), "re", "im").drop("f")
 
 
-@query()
+@query(f"SELECT channel, c AS ti, fi, round(stddev_pop(re * re + im * im) / avg(re * re + im * im), 5) + 0.0 AS value FROM {sql_segments(8, CHUNK8)} WHERE fi BETWEEN 1 AND 3 GROUP BY 1, 2, 3")
 def rayleigh_spectrogram(spark, d):
-    return V(P.rayleigh_spectrogram(series(spark, d), fs=1.0, stride=32, nfft=8, noverlap=4))
+    out = P.rayleigh_spectrogram(series(spark, d), fs=1.0, stride=32, nfft=8, noverlap=4).where("fi between 1 and 3")
+    return out.select("channel", "ti", "fi", (F.round("value", 5) + 0.0).alias("value"))
 
 
 @query()

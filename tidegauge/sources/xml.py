@@ -93,3 +93,41 @@ def write_table(df: DataFrame, path: str, *, tablename: str, mode: str = "errori
 
 
 register("ligolw", read=read_table, write=write_table, extensions=("xml",))
+
+
+def read_array(spark: SparkSession, paths: Sequence[str], *, name: str | None = None, epoch: float | None = None, **params: str) -> DataFrame:
+    """(name, idx, x, value) of <Array> elements: matched by name, by the epoch of their element and by its other <Param> values.
+
+    A stream of one column has its axis from the start and scale of the first
+    <Dim>; of two, the first column is the axis.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                root = ElementTree.parse(io.BytesIO(content.as_py())).getroot()
+                for parent in root.iter("LIGO_LW"):
+                    have = {p.get("Name", "").removesuffix(":param"): (p.text or "").strip() for p in parent.findall("Param")}
+                    time = next((float(t.text or 0) for t in parent.findall("Time")), None)
+                    if (epoch is not None and time != epoch) or any(have.get(k) != str(v) for k, v in params.items()):
+                        continue
+                    for a in parent.findall("Array"):
+                        label = a.get("Name", "").removesuffix(":array")
+                        if name is not None and name not in (label, _bare(label)):
+                            continue
+                        dims = a.findall("Dim")
+                        stream = a.find("Stream")
+                        v = [float(s) for s in (stream.text or "").replace(stream.get("Delimiter", " "), " ").split()]
+                        n = int((dims[0].text or "0").strip()) if dims else len(v)
+                        if n and len(v) >= 2 * n:
+                            step = len(v) // n
+                            x, y = v[::step], v[1::step]
+                        else:
+                            x0, dx = (float(dims[0].get(k, d)) for k, d in (("Start", "0"), ("Scale", "1"))) if dims else (0.0, 1.0)
+                            x, y = [x0 + i * dx for i in range(len(v))], v
+                        yield pa.RecordBatch.from_arrays([pa.array([label] * len(y)), pa.array(range(len(y)), pa.int64()), pa.array(x, pa.float64()), pa.array(y, pa.float64())], names=["name", "idx", "x", "value"])
+
+    return spark.read.format("binaryFile").load(list(paths)).select("content").mapInArrow(run, "name string, idx long, x double, value double")
+
+
+register("ligolw.array", read=read_array)
