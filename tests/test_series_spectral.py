@@ -195,3 +195,17 @@ def test_spectrogram_by_chunks_equals_the_kernel(spark):
     assert np.allclose([r.re + 1j * r.im for r in z], K.fft(x))
     built = rows.select(P.sql_dft(F.slice("samples", 1, 16), 16).alias("z")).first().z
     assert np.allclose([r.re + 1j * r.im for r in built], np.fft.rfft(x[:16]))
+
+
+def test_elliptic_prototype_and_notch():
+    for order in (1, 2, 3, 5):
+        z, p, k = K.elliptic(order, 1.0, 40.0)
+        w = np.linspace(0, 1, 200)
+        h = np.abs(k * np.prod(1j * w[:, None] - z, axis=1) / np.prod(1j * w[:, None] - p, axis=1))
+        assert h.max() < 1 + 1e-9 and h.min() > 10 ** (-1 / 20) - 1e-9 and (p.real < 0).all()
+    h = np.abs(k * np.prod(1j * np.linspace(2, 50, 500)[:, None] - z, axis=1) / np.prod(1j * np.linspace(2, 50, 500)[:, None] - p, axis=1))
+    assert h.max() <= 10 ** (-40 / 20) * 1.001
+    n = K.notch(60, 1024)
+    db = lambda f: 20 * np.log10(gain(n, f, 1024))
+    assert db(60) < -10 and db(60.1) < -9.9 and db(59.0) > -1.01 and db(61.0) > -1.01 and db(200) > -1.01
+    assert K.elliptic_order(10, 1, 10) <= 2
