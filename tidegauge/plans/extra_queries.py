@@ -30,7 +30,7 @@ def series_pad_to(spark, d):
     return X.pad_to(series(spark, d).where("channel < 60"), -3.4, 70.2, dx=1.0, fill=0.5)
 
 
-@query(f'SELECT 0.0 AS start, 64.0 AS "end"')
+@query(f'SELECT 0.0::DOUBLE AS start, 64.0::DOUBLE AS "end"')
 def series_span(spark, d):
     return X.span(series(spark, d))
 
@@ -65,7 +65,7 @@ def spectrogram_row(spark, d):
     return _plane(spark, d).where("ti = 2").select("channel", "fi", "value")
 
 
-@query(f"SELECT event_id, value / 2 AS w, t - value / 4 AS x0, t - value / 4 + value / 2 AS x1, user_id - 0.0 AS y0, user_id + 1.0 AS y1 FROM {SQL_EVENTS}")
+@query(f"SELECT event_id, value / 2 AS w, t - value / 4 AS x0, t - value / 4 + value / 2 AS x1, user_id::DOUBLE AS y0, user_id::DOUBLE + 1 AS y1 FROM {SQL_EVENTS}")
 def tile_corners(spark, d):
     e = events(spark, d).withColumn("w", F.col("value") / 2)
     c = products.tile_corners(F.col("t"), F.col("user_id") + 0.5, F.col("w"), F.lit(1.0))
@@ -139,7 +139,7 @@ def channel_ifos(spark, d):
     return c.agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_set(channel_part(F.col("name"), "ifo"))), ", "), F.lit("]")).alias("ifos"))
 
 
-@query("SELECT i AS idx, 5.0 + i * 0.25 AS x FROM range(10) r(i)")
+@query("SELECT i AS idx, 5.0::DOUBLE + i * 0.25::DOUBLE AS x FROM range(10) r(i)")
 def axis_define(spark, d):
     return X.axis(spark, 5.0, 0.25, 10)
 

@@ -259,7 +259,7 @@ R0, R1 = T0 + 400000, T0 + 1500000
 
 
 @query(
-    out(sql_coalesce(f"(SELECT 'X' || n.n_regionkey || ':' || n.n_name || ':' || v % 2 AS flag, greatest({T0} + v * 86400.0, {R0}) AS s, least(CASE WHEN v % 3 = 0 THEN 'inf'::DOUBLE ELSE {T0} + v * 86400.0 + 200000 END, {R1}) AS e FROM nation n, range(20) r(v) WHERE n.n_regionkey = 2 AND {T0} + v * 86400.0 < {R1} AND (v % 3 = 0 OR {T0} + v * 86400.0 + 200000 > {R0}))"))
+    out(sql_coalesce(f"(SELECT 'X' || n.n_regionkey || ':' || n.n_name || ':' || v % 2 AS flag, greatest({T0} + v * 86400.0, {R0})::DOUBLE AS s, least(CASE WHEN v % 3 = 0 THEN 'inf'::DOUBLE ELSE {T0} + v * 86400.0 + 200000 END, {R1}) AS e FROM nation n, range(20) r(v) WHERE n.n_regionkey = 2 AND {T0} + v * 86400.0 < {R1} AND (v % 3 = 0 OR {T0} + v * 86400.0 + 200000 > {R0}))"))
 )
 def veto_clip(spark, d):
     """Veto definers of one detector, cut to a range; an end of 0 is open."""

@@ -76,7 +76,7 @@ def rolling_update(spark, d):
     return X.update(a, b, dx=1.0, size=40)
 
 
-@query(f"""SELECT g.user_id, g.idx, {T0} + g.idx * 21600.0 AS x, coalesce(c, 0)::DOUBLE AS value FROM (SELECT DISTINCT user_id, i AS idx FROM events, range(120) r(i)) g
+@query(f"""SELECT g.user_id, g.idx, ({T0} + g.idx * 21600.0)::DOUBLE AS x, coalesce(c, 0)::DOUBLE AS value FROM (SELECT DISTINCT user_id, i AS idx FROM events, range(120) r(i)) g
 LEFT JOIN (SELECT user_id, floor((t - {T0}) / 21600)::BIGINT AS idx, count(*) AS c FROM {SQL_EVENTS} GROUP BY 1, 2) e ON e.user_id = g.user_id AND e.idx = g.idx""")
 def series_gapfill(spark, d):
     return X.regrid(events(spark, d), time="t", value=F.count("*"), step=21600.0, start=T0, end=T0 + 120 * 21600, keys=["user_id"])
@@ -187,7 +187,7 @@ def bits_and_resample(spark, d):
     return X.bits_resample(_bits(spark, d), 4, 6).select("channel", "step", "value")
 
 
-@query(f"SELECT a.channel, k AS idx, k * 0.7 AS x, round(a.value + coalesce((b.value - a.value) * (k * 0.7 - a.idx), 0), 6) + 0.0 AS value FROM range(91) r(k) JOIN {SQL_SERIES} a ON a.idx = floor(k * 0.7) LEFT JOIN {SQL_SERIES} b ON b.channel = a.channel AND b.idx = a.idx + 1")
+@query(f"SELECT a.channel, k AS idx, k::DOUBLE * 0.7::DOUBLE AS x, round(a.value + coalesce((b.value - a.value) * (k * 0.7 - a.idx), 0), 6) + 0.0 AS value FROM range(91) r(k) JOIN {SQL_SERIES} a ON a.idx = floor(k * 0.7) LEFT JOIN {SQL_SERIES} b ON b.channel = a.channel AND b.idx = a.idx + 1")
 def interp_linear(spark, d):
     return V(X.interpolate(series(spark, d), 0.7)).withColumn("x", F.col("idx") * 0.7)
 
@@ -580,7 +580,7 @@ def coherence_spectrogram(spark, d):
     return V(P.coherence_spectrogram(s, X.shift(s, 0.0).withColumn("value", F.col("value") * F.cos("idx")), fs=1.0, stride=32, nfft=8))
 
 
-@query(f"SELECT channel, c AS ti, fi, round(-avg(re * re + im * im) / {NORM8} * (CASE WHEN fi IN (0, 4) THEN 1 ELSE 2 END), 6) + 0.0 AS re, 0.0 AS im FROM {sql_segments(8, CHUNK8)} GROUP BY 1, 2, 3")
+@query(f"SELECT channel, c AS ti, fi, round(-avg(re * re + im * im) / {NORM8} * (CASE WHEN fi IN (0, 4) THEN 1 ELSE 2 END), 6) + 0.0 AS re, 0.0::DOUBLE AS im FROM {sql_segments(8, CHUNK8)} GROUP BY 1, 2, 3")
 def csd_spectrogram(spark, d):
     """Of each channel with its negative."""
     s = series(spark, d)
