@@ -60,6 +60,23 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+ORACLE["op5_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, unnest(range(n - 49)) AS i FROM d WHERE n >= 50),
+x AS (SELECT w.doc_id, i, array_slice(b, i + 1, i + 50) AS s FROM w JOIN d ON d.doc_id = w.doc_id),
+m AS (SELECT s, min(doc_id) AS m FROM x GROUP BY s),
+r AS (SELECT x.doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY x.doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM x JOIN m ON m.s = x.s WHERE m.m < x.doc_id),
+k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM r),
+g AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS e FROM k GROUP BY doc_id, k),
+p AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t FROM g
+      UNION ALL SELECT d.doc_id, coalesce(max(e), 0), any_value(n) FROM d LEFT JOIN g ON g.doc_id = d.doc_id GROUP BY d.doc_id),
+h AS (SELECT p.doc_id, string_agg(CASE WHEN t > f THEN hex(array_slice(b, f + 1, t)) ELSE '' END, '' ORDER BY t, f) AS h FROM p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id),
+c AS (SELECT doc_id, sum(e - a)::BIGINT AS removed, count(*) AS spans FROM g GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(h)) AS kept_sha256
+FROM d JOIN h ON h.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+"""
+
+
 @query
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
@@ -70,6 +87,31 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def secret_sql(kinds) -> str:
+    """The scan of ``kinds`` in DuckDB, whose patterns know no possessive repeats."""
+    parts = []
+    for i, (kind, pattern, group, least) in enumerate(kinds):
+        p = pattern.replace("}+", "}").replace("*+", "*").replace("'", "''")
+        parts.append(f"SELECT doc_id, source, {i} AS ord, '{kind}' AS kind, {least} AS least, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {group}) AS v, string_split_regex(t, '{p}') AS s FROM t WHERE regexp_matches(t, '{p}')")
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(source, '?') AS source, coalesce(text, '') AS t FROM documents),
+k AS ({" UNION ALL ".join(parts)}),
+e AS (SELECT doc_id, source, ord, kind, least, m, v, s, unnest(range(1, len(m) + 1)) AS i FROM k),
+f AS (SELECT doc_id, source, ord, kind, v[i] AS value, length(m[i]) AS n, list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a FROM e WHERE length(v[i]) >= least),
+o AS (SELECT value, count(DISTINCT source) AS owners FROM f GROUP BY value),
+g AS (SELECT doc_id, ord, owners, a, kind || ':' || a::BIGINT || ':' || (a + n)::BIGINT AS span FROM f JOIN o ON o.value = f.value)
+SELECT t.doc_id, count(*) FILTER (WHERE ord = 0) AS n_assign, count(*) FILTER (WHERE ord = 1) AS n_access, count(*) FILTER (WHERE ord = 2) AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY a, ord) FILTER (WHERE ord < 3), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY a, ord) FILTER (WHERE ord < 3 OR owners <= 1), '') AS spans,
+       coalesce(string_agg(span, ',' ORDER BY a, ord) FILTER (WHERE owners <= 1), '') AS live_spans,
+       count(*) FILTER (WHERE ord < 3 AND owners > 1) AS n_copied
+FROM t LEFT JOIN g ON g.doc_id = t.doc_id GROUP BY t.doc_id
+"""
+
+
+ORACLE["op7_secret_scan"] = secret_sql([*secrets.BASE, *secrets.GENERIC])
+
+
 @query
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.summary(warc.archive(table(spark, sf_dir, "pages"), least=1000)[1])
