@@ -98,3 +98,17 @@ def test_segment_tables_round_trip(spark, flag):
 def test_veto_definers(spark):
     d = spark.createDataFrame([("X1", "A", 1, 0, 0), ("X1", "A", 1, 50, 60), ("X1", "B", 1, 500, 600), ("Y1", "C", 1, 0, 10)], "ifo string, name string, version int, start_time int, end_time int")
     assert [(r.flag, r.start, r.end) for r in S.from_veto_definers(d, 10, 100, "X1").collect()] == [("X1:A:1", 10.0, 100.0)]
+
+
+def test_stretches_change_nothing(spark):
+    import random
+
+    r = random.Random(4)
+    rows = lambda n: spark.createDataFrame([(r.choice("ab"), x := r.uniform(-50, 100), x + r.expovariate(0.2)) for _ in range(n)], "flag string, start double, end double")
+    a, b = rows(80), rows(60)
+    full = lambda df: sorted((x.flag, x.start, x.end) for x in df.collect())
+    for op in (S.union, S.intersection, S.difference, S.symmetric_difference):
+        want = full(op(a, b, ["flag"]))
+        assert want and all(full(op(a, b, ["flag"], coarse=c)) == want for c in (7.0, 33.3, 1000.0))
+    keyed = E.cluster(a, "start", "end", 1.5, by=["flag"])
+    assert full(E.cluster(a, "start", "end", 1.5, by=["flag"], coarse=6.0)) == full(keyed) and keyed.count() < 80

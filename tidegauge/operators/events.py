@@ -81,28 +81,29 @@ def histogram(df: DataFrame, column: str, bins: int, low: float, high: float, *,
 def cluster(df: DataFrame, index: str, rank: str, window: float, *, by: Sequence[str] = (), tie: Sequence[str] = (), coarse: float | None = None) -> DataFrame:
     """The row of largest ``rank`` of each chain of rows whose ``index`` gaps are at most ``window``; ties go to the first by index, then ``tie``.
 
-    Without keys, ``coarse`` (a stretch of the index) lets stretches be chained
-    apart: rows alone know their predecessor through the last index of the
-    stretches before, a table with a row for each stretch.
+    With ``coarse`` (a stretch of the index), stretches are chained apart, so that
+    neither a table without keys nor a hot key is one task: rows know their
+    predecessor through the last index of the stretches before, a table with a
+    row for each key and stretch.
     """
     if window <= 0:
         raise ValueError("the window must be positive")
+    keys = [F.col(k) for k in by]
     order = [F.col(index), *[F.col(t) for t in tie]]
-    if coarse and not by:
+    running = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    if coarse:
         df = df.withColumn("__part", F.floor(F.col(index) / coarse))
-        ends = df.groupBy("__part").agg(F.max(index).alias("__last"))
-        parts = Window.partitionBy(F.lit(0)).orderBy("__part")
-        ends = ends.select("__part", F.lag("__last").over(parts).alias("__before"))
-        df = df.join(F.broadcast(ends), "__part")
-        w = Window.partitionBy("__part").orderBy(*order)
+        at, parts = [*by, "__part"], Window.partitionBy(*keys, *[F.lit(0)] * (not by)).orderBy("__part")
+        ends = df.groupBy(*at).agg(F.max(index).alias("__last")).select(*at, F.lag("__last").over(parts).alias("__before"))
+        df = df.join(ends, at)
+        w = Window.partitionBy(*[F.col(k) for k in at]).orderBy(*order)
         gap = F.col(index) - F.coalesce(F.lag(index).over(w), F.col("__before"))
         df = df.withColumn("__new", F.when(gap <= window, 0).otherwise(1))
-        heads = df.groupBy("__part").agg(F.sum("__new").alias("__n"))
-        heads = heads.select("__part", (F.sum("__n").over(parts) - F.col("__n")).alias("__base"))
-        df = df.join(F.broadcast(heads), "__part").withColumn("__chain", F.col("__base") + F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        heads = df.groupBy(*at).agg(F.sum("__new").alias("__n")).select(*at, (F.sum("__n").over(parts) - F.col("__n")).alias("__base"))
+        df = df.join(heads, at).withColumn("__chain", F.col("__base") + F.sum("__new").over(running(w)))
     else:
-        w = Window.partitionBy(*[F.col(k) for k in by]).orderBy(*order)
+        w = Window.partitionBy(*keys).orderBy(*order)
         df = df.withColumn("__new", F.when(F.col(index) - F.lag(index).over(w) <= window, 0).otherwise(1))
-        df = df.withColumn("__chain", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        df = df.withColumn("__chain", F.sum("__new").over(running(w)))
     best = Window.partitionBy(*[F.col(k) for k in by], "__chain").orderBy(F.desc(rank), *order)
     return df.withColumn("__nth", F.row_number().over(best)).where("__nth = 1").drop(*[c for c in ("__nth", "__new", "__chain", "__part", "__before", "__base")])

@@ -43,36 +43,50 @@ def coalesce(df: DataFrame, keys: Sequence[str] = (), *, start: str = "start", e
     return _islands(df, keys, start, end)
 
 
-def sweep(frames: dict[str, DataFrame], keep: Callable[[dict[str, Column]], Column], keys: Sequence[str] = (), *, start: str = "start", end: str = "end") -> DataFrame:
-    """Stretches where ``keep`` holds of the depths of the named frames; coalesced."""
+def _cut(df: DataFrame, coarse: float, start: str, end: str) -> DataFrame:
+    """Segments cut at the borders of stretches, with the number of the stretch."""
+    parts = F.sequence(F.floor(F.col(start) / coarse), F.ceil(F.col(end) / coarse) - 1)
+    df = df.withColumn("__part", F.explode(parts))
+    return df.withColumns({start: F.greatest(F.col(start), (F.col("__part") * coarse).cast("double")), end: F.least(F.col(end), ((F.col("__part") + 1) * coarse).cast("double"))})
+
+
+def sweep(frames: dict[str, DataFrame], keep: Callable[[dict[str, Column]], Column], keys: Sequence[str] = (), *, start: str = "start", end: str = "end", coarse: float | None = None) -> DataFrame:
+    """Stretches where ``keep`` holds of the depths of the named frames; coalesced.
+
+    With ``coarse``, segments are cut at multiples of it and swept apart, so that
+    a key with many boundaries is no single task; what was cut is joined again.
+    """
     names = list(frames)
+    by = [*keys, *["__part"] * bool(coarse)]
     rows = None
     for name, df in frames.items():
         df = df.where(F.col(start) < F.col(end))
+        df = _cut(df, coarse, start, end) if coarse else df
         step = F.explode(F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("d")), F.struct(F.col(end).alias("t"), F.lit(-1).alias("d"))))
-        part = df.select(*keys, step.alias("e")).select(*keys, F.col("e.t").alias("t"), *[(F.col("e.d") if n == name else F.lit(0)).alias(f"__{n}") for n in names])
+        part = df.select(*by, step.alias("e")).select(*by, F.col("e.t").alias("t"), *[(F.col("e.d") if n == name else F.lit(0)).alias(f"__{n}") for n in names])
         rows = part if rows is None else rows.unionByName(part)
-    rows = rows.groupBy(*keys, "t").agg(*[F.sum(f"__{n}").alias(f"__{n}") for n in names])
-    w = Window.partitionBy(*_by(keys)).orderBy("t")
+    rows = rows.groupBy(*by, "t").agg(*[F.sum(f"__{n}").alias(f"__{n}") for n in names])
+    w = Window.partitionBy(*_by(by)).orderBy("t")
     rows = rows.withColumns({f"__{n}": F.sum(f"__{n}").over(w) for n in names} | {"__to": F.lead("t").over(w)})
     rows = rows.where(F.col("__to").isNotNull() & keep({n: F.col(f"__{n}") for n in names}))
-    return _islands(rows.select(*keys, F.col("t").alias(start), F.col("__to").alias(end)), keys, start, end)
+    rows = _islands(rows.select(*by, F.col("t").alias(start), F.col("__to").alias(end)), by, start, end)
+    return _islands(rows.drop("__part"), keys, start, end) if coarse else rows
 
 
-def union(a: DataFrame, b: DataFrame, keys: Sequence[str] = (), **cols: str) -> DataFrame:
-    return coalesce(a.select(*keys, cols.get("start", "start"), cols.get("end", "end")).unionByName(b.select(*keys, cols.get("start", "start"), cols.get("end", "end"))), keys, **cols)
+def union(a: DataFrame, b: DataFrame, keys: Sequence[str] = (), *, start: str = "start", end: str = "end", coarse: float | None = None) -> DataFrame:
+    return coalesce(a.select(*keys, start, end).unionByName(b.select(*keys, start, end)), keys, start=start, end=end, coarse=coarse)
 
 
-def intersection(a: DataFrame, b: DataFrame, keys: Sequence[str] = (), **cols: str) -> DataFrame:
-    return sweep({"a": a, "b": b}, lambda d: (d["a"] > 0) & (d["b"] > 0), keys, **cols)
+def intersection(a: DataFrame, b: DataFrame, keys: Sequence[str] = (), **kw) -> DataFrame:
+    return sweep({"a": a, "b": b}, lambda d: (d["a"] > 0) & (d["b"] > 0), keys, **kw)
 
 
-def difference(a: DataFrame, b: DataFrame, keys: Sequence[str] = (), **cols: str) -> DataFrame:
-    return sweep({"a": a, "b": b}, lambda d: (d["a"] > 0) & (d["b"] <= 0), keys, **cols)
+def difference(a: DataFrame, b: DataFrame, keys: Sequence[str] = (), **kw) -> DataFrame:
+    return sweep({"a": a, "b": b}, lambda d: (d["a"] > 0) & (d["b"] <= 0), keys, **kw)
 
 
-def symmetric_difference(a: DataFrame, b: DataFrame, keys: Sequence[str] = (), **cols: str) -> DataFrame:
-    return sweep({"a": a, "b": b}, lambda d: (d["a"] > 0) != (d["b"] > 0), keys, **cols)
+def symmetric_difference(a: DataFrame, b: DataFrame, keys: Sequence[str] = (), **kw) -> DataFrame:
+    return sweep({"a": a, "b": b}, lambda d: (d["a"] > 0) != (d["b"] > 0), keys, **kw)
 
 
 def contract(df: DataFrame, by: float, keys: Sequence[str] = (), **cols: str) -> DataFrame:
