@@ -37,7 +37,7 @@ from .scratch import Scratch, free_shuffles
 from .textvec import MULS, U, flat, mix, slices, span_hash, words_at
 
 GRAM = 20
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 SHARD_BYTES = 16 << 20
 LAST = np.iinfo(np.int64).max
 

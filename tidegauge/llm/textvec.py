@@ -31,7 +31,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds at most ``most`` bytes of text, or one row."""
     for batch in batches:
         if not batch.num_rows:
