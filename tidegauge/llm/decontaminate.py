@@ -134,6 +134,7 @@ def _indexes(benchmark: DataFrame, item_col: str, text_col: str, k: int, percent
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "members"), F.lit(blocks)) == b).collect()
         yield scratch.spark.sparkContext.broadcast(Index(rows, k, percent))
+    scratch.close()
 
 
 def contained(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:

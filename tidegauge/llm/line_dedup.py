@@ -146,6 +146,7 @@ def drop_common_lines(docs: DataFrame, *, text_col: str = "text", min_docs: int
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     if size <= broadcast_bytes:
         held = spark.sparkContext.broadcast({r.shard: bytes(r.arrays) for r in index.collect()})
+        scratch.close()
         opened: dict[int, PerfectHash] = {}
 
         def decide(_, x: Lines) -> np.ndarray:
@@ -209,6 +210,7 @@ def _routed(docs, text_col, min_docs, min_chars, index, bits, schema, scratch):
     ready = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
     replies = asked.groupBy("shard", "salt").cogroup(ready.groupBy("shard", "salt")).applyInArrow(answer, "uid string, hashes binary")
     replies = scratch.write(replies.groupBy("uid").agg(F.collect_list("hashes").alias("hashes")), "replies")
+    scratch.close("replies")
 
     def decide(batch: pa.RecordBatch, x: Lines) -> np.ndarray:
         out = np.zeros(len(x.some), bool)
