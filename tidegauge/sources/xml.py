@@ -92,6 +92,7 @@ def write_table(df: DataFrame, path: str, *, tablename: str, mode: str = "errori
     df.sparkSession.createDataFrame([(text,)], "value string").repartition(1).write.mode(mode).text(path)
 
 
+#: Format names that start with `ligolw` are those that files of this XML dialect are known by.
 register("ligolw", read=read_table, write=write_table, extensions=("xml",))
 
 
