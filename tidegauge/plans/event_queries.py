@@ -198,11 +198,10 @@ def minute_trend(spark, d):
     return events(spark, d).select("event_id", s.alias("start"), e.alias("end"))
 
 
-@query("SELECT event_id, pow(2.0, round_even(log2(value), 0)) AS nearest, pow(2.0, floor(log2(value))) AS lower, pow(2.0, ceil(log2(value))) AS upper FROM events WHERE log2(value) <> round(log2(value))")
+@query("SELECT event_id, pow(2.0, round_even(x, 0)) AS nearest, pow(2.0, floor(x)) AS lower, pow(2.0, ceil(x)) AS upper FROM (SELECT event_id, CASE WHEN abs(log2(value) - round(log2(value))) < 1e-9 THEN round(log2(value)) ELSE log2(value) END AS x FROM events)")
 def round_to_power(spark, d):
     v = F.col("value")
-    rows = events(spark, d).where(F.log2(v) != F.round(F.log2(v)))
-    return rows.select("event_id", *[derived.round_to_power(v, 2, w).alias(w or "nearest") for w in (None, "lower", "upper")])
+    return events(spark, d).select("event_id", *[derived.round_to_power(v, 2, w).alias(w or "nearest") for w in (None, "lower", "upper")])
 
 
 @query("SELECT event_id, CAST(trunc(value * 16) AS INTEGER) AS n FROM events")

@@ -16,18 +16,18 @@ from tidegauge.plans.series_queries import DFT, SQL_2D, _plane
 from tidegauge.sources import flags as FL
 
 
-@query(f"SELECT channel, CASE WHEN idx >= 40 THEN idx + 5 ELSE idx END AS idx, CASE WHEN idx >= 40 THEN x + 5 ELSE x END AS x, value FROM {SQL_SERIES} WHERE channel < 60 UNION ALL SELECT vec_id, k + 40, k + 40.0, 7.0 FROM embeddings, range(5) r(k) WHERE vec_id < 60")
+@query(f"SELECT channel, CASE WHEN idx >= 40 THEN idx + 5 ELSE idx END AS idx, CASE WHEN idx >= 40 THEN x + 5 ELSE x END AS x, value FROM {SQL_SERIES} UNION ALL SELECT vec_id, k + 40, k + 40.0, 7.0 FROM embeddings, range(5) r(k)")
 def series_join_pieces(spark, d):
     """Three pieces a channel, the last behind a gap of five samples."""
-    s = series(spark, d).where("channel < 60")
+    s = series(spark, d)
     piece = F.when(F.col("idx") < 10, 2).when(F.col("idx") < 40, 0).otherwise(1)
     pieces = s.withColumn("piece", piece).withColumn("x", F.when(F.col("idx") >= 40, F.col("x") + 5).otherwise(F.col("x")))
     return X.join_pieces(pieces, dx=1.0, fill=7.0)
 
 
-@query(f"SELECT channel, idx + 3 AS idx, x, value FROM {SQL_SERIES} WHERE channel < 60 UNION ALL SELECT vec_id, CASE WHEN k < 3 THEN k ELSE k + 64 END, CASE WHEN k < 3 THEN k - 3.0 ELSE k + 61.0 END, 0.5 FROM embeddings, range(9) r(k) WHERE vec_id < 60")
+@query(f"SELECT channel, idx + 3 AS idx, x, value FROM {SQL_SERIES} UNION ALL SELECT vec_id, CASE WHEN k < 3 THEN k ELSE k + 64 END, CASE WHEN k < 3 THEN k - 3.0 ELSE k + 61.0 END, 0.5 FROM embeddings, range(9) r(k)")
 def series_pad_to(spark, d):
-    return X.pad_to(series(spark, d).where("channel < 60"), -3.4, 70.2, dx=1.0, fill=0.5)
+    return X.pad_to(series(spark, d), -3.4, 70.2, dx=1.0, fill=0.5)
 
 
 @query(f'SELECT 0.0::DOUBLE AS start, 64.0::DOUBLE AS "end"')

@@ -8,15 +8,15 @@ from tidegauge.operators import segments as S
 from tidegauge.plans.registry import SQL_EVENTS, SQL_SEGMENTS, T0, events, query, segments, table
 from tidegauge.sources import manifest as M
 
-#: Two families of segments by user group (key ``flag`` = user_id % 4): of even and of odd events; known: two of each three days.
-A = f"(SELECT 'u' || user_id % 4 AS flag, t AS s, t + 30 * value AS e FROM {SQL_EVENTS} WHERE event_id % 2 = 0)"
-B = f"(SELECT 'u' || user_id % 4 AS flag, t AS s, t + 50 * value AS e FROM {SQL_EVENTS} WHERE event_id % 2 = 1)"
+#: Two families of segments by user group (key ``flag``), one from the events, one behind them; known: two of each three days.
+A = f"(SELECT 'u' || user_id % 4 AS flag, t AS s, t + 30 * value AS e FROM {SQL_EVENTS})"
+B = f"(SELECT 'u' || user_id % 4 AS flag, t + 900 AS s, t + 900 + 50 * value AS e FROM {SQL_EVENTS})"
 K = f"(SELECT 'u' || k AS flag, ({T0} + d * 259200 + k * 7200)::DOUBLE AS s, ({T0} + d * 259200 + 172800 + o)::DOUBLE AS e FROM range(4) r(k), range(10) q(d))"
 
 
 def _side(spark, d, which):
-    e = events(spark, d).where(F.col("event_id") % 2 == which)
-    return e.select(F.concat(F.lit("u"), F.col("user_id") % 4).alias("flag"), F.col("t").alias("start"), (F.col("t") + (30 if which == 0 else 50) * F.col("value")).alias("end"))
+    start = F.col("t") + 900 if which else F.col("t")
+    return events(spark, d).select(F.concat(F.lit("u"), F.col("user_id") % 4).alias("flag"), start.alias("start"), (start + (50 if which else 30) * F.col("value")).alias("end"))
 
 
 def _known(spark, extra=0):

@@ -53,24 +53,24 @@ def series_pad(spark, d):
 
 
 def _halves(spark, d, gap):
-    s = series(spark, d).where("channel < 50")
+    s = series(spark, d)
     a = X.crop(s, None, 32)
     b = X.shift(X.crop(s, 32, None), gap)
     return a, b
 
 
-@query(f"SELECT channel, CASE WHEN idx < 32 THEN idx ELSE idx + 4 END AS idx, CASE WHEN idx < 32 THEN x ELSE x + 4 END AS x, value FROM {SQL_SERIES} WHERE channel < 50 UNION ALL SELECT channel, k + 32, k + 32.0, 9.0 FROM (SELECT DISTINCT channel FROM {SQL_SERIES} WHERE channel < 50), range(4) r(k)")
+@query(f"SELECT channel, CASE WHEN idx < 32 THEN idx ELSE idx + 4 END AS idx, CASE WHEN idx < 32 THEN x ELSE x + 4 END AS x, value FROM {SQL_SERIES} UNION ALL SELECT channel, k + 32, k + 32.0, 9.0 FROM (SELECT DISTINCT channel FROM {SQL_SERIES}), range(4) r(k)")
 def series_append_pad(spark, d):
     a, b = _halves(spark, d, 4.0)
     return X.append(a, b, dx=1.0, fill=9.0)
 
 
-@query(f"SELECT channel, idx, x, value FROM {SQL_SERIES} WHERE channel < 50")
+@query(f"SELECT channel, idx, x, value FROM {SQL_SERIES}")
 def series_append_contiguous(spark, d):
     return X.append(*_halves(spark, d, 0.0), dx=1.0)
 
 
-@query(f"SELECT channel, idx - 24 AS idx, x, value FROM {SQL_SERIES} WHERE channel < 50 AND idx >= 24")
+@query(f"SELECT channel, idx - 24 AS idx, x, value FROM {SQL_SERIES} WHERE idx >= 24")
 def rolling_update(spark, d):
     a, b = _halves(spark, d, 0.0)
     return X.update(a, b, dx=1.0, size=40)
@@ -302,10 +302,10 @@ def dft_amp(spark, d):
     return out.select("channel", "fi", r6(F.hypot("re", "im")).alias("value"))
 
 
-@query(f"SELECT channel, fi, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM {DFT} WHERE channel < 100")
+@query(f"SELECT channel, fi, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM {DFT}")
 def dft_builtin(spark, d):
     """The same transform in built-in expressions alone."""
-    rows = samples(spark, d).where("channel < 100").select("channel", F.posexplode(P.sql_dft(F.col("samples"), 64)).alias("fi", "z"))
+    rows = samples(spark, d).select("channel", F.posexplode(P.sql_dft(F.col("samples"), 64)).alias("fi", "z"))
     k = F.when(F.col("fi") == 0, 1.0).otherwise(2.0) / 64
     return V(rows.select("channel", F.col("fi").cast("long").alias("fi"), (F.col("z.re") * k).alias("re"), (F.col("z.im") * k).alias("im")), "re", "im")
 
@@ -397,7 +397,7 @@ def average_fft(spark, d):
 @query(f"""SELECT channel, k::BIGINT AS ti, fi, round(p, 6) + 0.0 AS value FROM {sql_psd(16, 16, 4)}""")
 def spectrogram(spark, d):
     """One density for each stride of 16 samples, from chunks of the long form."""
-    out = P.spectrogram(series(spark, d).where("channel < 1000000"), fs=1.0, stride=16, fftlength=16, overlap=0, method="welch")
+    out = P.spectrogram(series(spark, d), fs=1.0, stride=16, fftlength=16, overlap=0, method="welch")
     return V(out).select("channel", "ti", "fi", "value")
 
 
@@ -494,12 +494,16 @@ def _filtered(name, fn, sql=None):
     query(sql)(made)
 
 
-_filtered("lowpass", lambda x: K.apply_filter(x, K.lowpass(8, 64)))
-_filtered("highpass", lambda x: K.apply_filter(x, K.highpass(8, 64)))
-_filtered("bandpass", lambda x: K.apply_filter(x, K.bandpass(6, 12, 64)))
-_filtered("notch", lambda x: K.apply_filter(x, K.notch(10, 64)))
-_filtered("zpk_filter", lambda x: K.apply_filter(x, K.digital([0.0], [1.0], 1.0, 64)))
-_filtered("fir_filter", lambda x: K.apply_filter(x, K.design_fir("lowpass", 8, 16, 64)))
+def _designed(name, filt):
+    _filtered(name, lambda x: K.apply_filter(x, filt))
+
+
+_designed("lowpass", K.sections(*K.lowpass(8, 64)))
+_designed("highpass", K.sections(*K.highpass(8, 64)))
+_designed("bandpass", K.sections(*K.bandpass(6, 12, 64)))
+_designed("notch", K.sections(*K.notch(10, 64)))
+_designed("zpk_filter", K.sections(*K.digital([0.0], [1.0], 1.0, 64)))
+_designed("fir_filter", K.design_fir("lowpass", 8, 16, 64))
 _filtered("resample_decimate", lambda x: K.resample(x, 64, 16, n=8))
 _filtered("resample_fourier", lambda x: K.resample(x, 64, 48))
 _filtered("whiten", lambda x: K.whiten(x, 64, fftlength=0.25, overlap=0.125, fduration=0.25))
@@ -544,7 +548,7 @@ def q_gram(spark, d):
 
 @query()
 def q_transform(spark, d):
-    return Q.transform(samples(spark, d).where("channel < 20"), "samples", fs=64.0, nt=16, nf=8, qrange=(4, 8), frange=(8, 24))
+    return Q.transform(samples(spark, d), "samples", fs=64.0, nt=16, nf=8, qrange=(4, 8), frange=(8, 24))
 
 
 @query()
