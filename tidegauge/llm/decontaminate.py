@@ -21,16 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .textvec import LOWER, MULS, U, Circulant, distinct, mix, shingles, slices, word_hashes
+from .textvec import U, Circulant, distinct, mix, shingles, slices, word_hashes
 
 K = 64
 BLOCK_BYTES = 16 << 20
 #: Bytes between words: all but ASCII letters and digits, and parts of other characters.
 APART = np.ones(256, bool)
+AS_IS = np.arange(256, dtype=np.uint8)
 APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
@@ -39,11 +41,15 @@ def size_class(n: np.ndarray) -> np.ndarray:
     return np.maximum(8, 2 ** np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
 
 
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return word_hashes(pc.utf8_lower(column.cast(pa.large_string())), APART, AS_IS)
+
+
 def _items(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         circulant = Circulant(K)
         for batch in slices(batches, "text"):
-            hashes, words = word_hashes(batch.column("text"), APART, LOWER)
+            hashes, words = _words(batch.column("text"))
             values, count = distinct(*shingles(hashes, words, k))
             sig = circulant(values, count)
             ends = np.cumsum(count)
@@ -84,7 +90,7 @@ class Index:
 
     def match(self, column: pa.Array, circulant: Circulant) -> list[tuple[int, int, int]]:
         """(row, item, shared shingles) of every text and item whose containment reaches ``percent``."""
-        hashes, words = word_hashes(column, APART, LOWER)
+        hashes, words = _words(column)
         values, count = shingles(hashes, words, self.k)
         count = np.where(words >= self.k, count, 0)
         values = values[np.repeat(words >= self.k, np.where(words >= self.k, count, words > 0))]
@@ -140,7 +146,7 @@ def _indexes(benchmark: DataFrame, item_col: str, text_col: str, k: int, percent
 def contained(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared, containment): each row and item with at least ``percent`` of the item's shingles in the row's text.
 
-    Words are runs of letters and digits, A-Z lowered. An item of fewer words than
+    Words are runs of letters and digits in lower case. An item of fewer words than
     a shingle counts as one shingle of its own length. Items without words are
     contained in nothing.
 

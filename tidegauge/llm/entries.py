@@ -151,7 +151,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: DuckDB: the words of a text for decontamination, and its distinct five-word shingles (of fewer words, the sequence).
-SQL_RUNS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SQL_RUNS = r"regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 ORACLE["op2_decontamination"] = rf"""
 WITH i AS (SELECT item_id, {SQL_RUNS} AS ws FROM benchmark), d AS (SELECT doc_id, {SQL_RUNS} AS ws FROM documents),
