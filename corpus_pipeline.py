@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import decontaminate, entries, importance, line_dedup, near_dedup, packing
+from tidegauge.llm import decontaminate, entries, importance, line_dedup, near_dedup
 from tidegauge.llm.scratch import Scratch
 
 
