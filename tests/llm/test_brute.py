@@ -372,6 +372,25 @@ def test_importance(spark, empty):
     assert importance.select(empty, lab).count() == 0
 
 
+def test_importance_of_rare_words(spark):
+    """Each toxic word is in about ten of a thousand documents, too few for the raw text to tell."""
+    r = random.Random(6)
+    vocabulary, bad = [f"w{i}" for i in range(400)], [f"vile{i}" for i in range(30)]
+    docs, labels = [], []
+    for i in range(1000):
+        w = [r.choice(vocabulary) for _ in range(60)]
+        if i % 10 == 0:
+            w[5:5] = r.sample(bad, 3)
+        docs.append((i, " ".join(w)))
+        if i % 20 < 12 and i % 40 != 20:
+            labels.append((i, 1, int(i % 10 == 0)))
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = {x.doc_id for x in importance.select(spark.createDataFrame(docs, "doc_id long, text string"), lab).collect()}
+    held = set(range(1000)) - {x[0] for x in labels}
+    toxic = {i for i in held if i % 10 == 0}
+    assert len(toxic) >= 25 and len(toxic & kept) < 0.3 * len(toxic) and len(kept & held) > 0.9 * len(held - toxic)
+
+
 def test_kth_largest(spark):
     values = [0, -1, 1, 5, 5, -(1 << 63), (1 << 63) - 1, 1 << 40, -(1 << 40)]
     frame = spark.createDataFrame([(v,) for v in values], "v long")

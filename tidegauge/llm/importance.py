@@ -11,9 +11,14 @@ Where this differs from the plain method, and why:
   repeats moves a count by one;
 * every n-gram has two buckets in independent tables, and the weaker evidence
   counts, so that chance collisions don't condemn a document;
-* a bucket's ratio counts only if the target is significantly short of it, by
-  half or more. Ratios above one are left out: a long clean text would otherwise
-  outweigh the few words that make it toxic;
+* labelled bad documents are evidence too: the good ones are set against all
+  labelled ones as well as against the raw text, and the lower ratio counts;
+* a bucket's ratio is shrunken smoothly, by how sure it is that the target is
+  short of it and by how much, so that rare words keep the evidence they give
+  while chance doesn't add up over a long text. Ratios above one are left out:
+  they would otherwise outweigh the few words that make a text toxic;
+* a labelled document is judged by the counts without itself, so that the
+  threshold holds for documents that have no label;
 * k is the number of documents whose log weight reaches a threshold that
   separates the labelled documents best, and the weights are sharpened by a
   temperature, so that noise decides among documents next to the threshold only.
@@ -35,8 +40,9 @@ from pyspark.sql import types as T
 from .scratch import Scratch
 from .textvec import LOWER, MULS, SPACE, U, distinct, flat, mix, slices, span_hash
 
-BUCKETS, CHUNK, SALTS = 1 << 18, 1 << 13, 256
-PRIOR, SURE, SHORT, RUN = 10.0, 16.0, 0.5, 6
+BUCKETS, CHUNK, SALTS = 1 << 20, 1 << 15, 256
+PRIOR, SURE_RAW, SURE, SHORT, RUN = 2.0, 16.0, 12.0, 0.5, 6
+COUNTS = ("raw", "target", "bad")
 CAPS, REPEAT = U(0x1234567), U(0x7654321)
 KIND = np.where(SPACE, 0, 2).astype(np.uint8)
 KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
@@ -103,43 +109,71 @@ def labelled(labels: DataFrame, most: int) -> Labels:
 
 def _count(labels, id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target, docs = np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64), np.zeros(2, np.int64)
+        total, docs = np.zeros((3, 2 * BUCKETS), np.int32), np.zeros(3, np.int32)
         for batch in slices(batches, text_col):
             values, count = features(batch.column(text_col))
-            good = labels.value.of(batch.column(id_col)) == 1
+            kind = labels.value.of(batch.column(id_col))
+            sets = (kind >= -1, kind == 1, kind == 0)
             for b in _buckets(values):
-                raw += np.bincount(b, minlength=2 * BUCKETS)
-                target += np.bincount(b[np.repeat(good, count)], minlength=2 * BUCKETS)
-            docs += [batch.num_rows, int(good.sum())]
+                for t, of in zip(total, sets, strict=True):
+                    np.add.at(t, b[np.repeat(of, count)], 1)
+            docs += np.array([of.sum() for of in sets], np.int32)
         if docs[0]:
-            salt = int(mix(np.array([docs[0]], U) + raw[:1].astype(U))[0] % U(SALTS))
-            parts = [(c, salt, raw[c * CHUNK : (c + 1) * CHUNK].tobytes(), target[c * CHUNK : (c + 1) * CHUNK].tobytes()) for c in range(2 * BUCKETS // CHUNK)]
-            parts.append((-1, salt, docs[:1].tobytes(), docs[1:].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*parts, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "salt", "raw", "target"])
+            salt = int(mix(np.array([docs[0]], U) + total[0, :1].astype(U))[0] % U(SALTS))
+            parts = [(c, salt, *[t[c * CHUNK : (c + 1) * CHUNK].tobytes() for t in total]) for c in range(2 * BUCKETS // CHUNK)]
+            parts.append((-1, salt, *[docs[i : i + 1].tobytes() for i in range(3)]))
+            kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*parts, strict=True), kinds, strict=True)], names=["chunk", "salt", *COUNTS])
 
     return run
 
 
 def _add(table: pa.Table) -> pa.Table:
-    total = {c: sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column(c)).tobytes() for c in ("raw", "target")}
+    total = {c: np.minimum(sum(np.frombuffer(x.as_buffer(), np.int32).astype(np.int64) for x in table.column(c)), (1 << 31) - 1).astype(np.int32).tobytes() for c in COUNTS}
     return pa.table({"chunk": table.column("chunk")[:1], **({"salt": table.column("salt")[:1]} if "salt" in table.column_names else {}), **{c: pa.array([b], pa.binary()) for c, b in total.items()}})
 
 
-def ratios(raw: np.ndarray, target: np.ndarray, n_raw: int, n_target: int) -> np.ndarray:
-    """Log ratios of the buckets of which the target is significantly short, else 0; the target's model is smoothed towards the raw one."""
-    share = n_target / max(n_raw, 1)
-    expected = raw * share
+def _shrunken(target: np.ndarray, among: np.ndarray, share: float, surprise: np.ndarray, sure: float) -> np.ndarray:
+    """Log ratios below 0 of ``target`` to its ``share`` of ``among``, nearer to 0 the less sure and the smaller they are."""
+    log = np.log((target + PRIOR * share) / ((among + PRIOR) * share))
+    with np.errstate(divide="ignore", over="ignore"):
+        return np.where(target < among * share, log / (1 + (sure / surprise) ** 8) / (1 + (np.log(SHORT) / log) ** 4), 0.0)
+
+
+def ratios(raw: np.ndarray, target: np.ndarray, bad: np.ndarray, n_raw: int, n_target: int, n_bad: int) -> np.ndarray:
+    """Shrunken log ratios of the buckets of which the target is short, by the raw text or by the labelled bad documents, else 0.
+
+    They are multiples of 2 ** -16, whose sums are exact in any order.
+    """
+    raw, target, bad = (np.maximum(x, 0).astype(np.float64) for x in (raw, target, bad))
+    if n_raw <= 0 or n_target <= 0:
+        return np.zeros(len(raw), np.float32)
+    share, part = n_target / n_raw, n_target / (n_target + max(n_bad, 0))
     with np.errstate(divide="ignore", invalid="ignore"):
-        surprise = 2 * (np.where(target > 0, target * np.log(target / expected), 0) - (target - expected))
-        log = np.log((target + PRIOR * share) / ((raw + PRIOR) * share))
-    return np.where((target < expected) & (surprise > SURE) & (log < np.log(SHORT)), log, 0.0) if share else np.zeros(len(raw))
+        far = 2 * (np.where(target > 0, target * np.log(target / (raw * share)), 0) - (target - raw * share))
+        out = _shrunken(target, raw, share, np.maximum(far, 0), SURE_RAW)
+        both = target + bad
+        far = 2 * (np.where(target > 0, target * np.log(target / (both * part)), 0) + np.where(bad > 0, bad * np.log(bad / (both * (1 - part))), 0))
+        out = np.minimum(out, _shrunken(target, both, part, np.maximum(far, 0), SURE))
+    return (np.round(out * 65536) / 65536).astype(np.float32)
+
+
+def models(counts: np.ndarray, docs: list[int]) -> np.ndarray:
+    """The ratios for documents labelled bad, labelled good (their own count taken out) and unlabelled, in a row."""
+    out = np.zeros((3, counts.shape[1]), np.float32)
+    for i, own in enumerate(((1, 0, 1), (1, 1, 0), (0, 0, 0))):
+        for c in range(0, counts.shape[1], CHUNK):  # in parts, to bound the driver's memory
+            out[i, c : c + CHUNK] = ratios(*[x[c : c + CHUNK] - o for x, o in zip(counts, own, strict=True)], *[n - o for n, o in zip(docs, own, strict=True)])
+    return out.ravel()
 
 
-def weights(column: pa.Array, model: np.ndarray) -> np.ndarray:
+def weights(column: pa.Array, kind: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """The log weight of each text of a class (``Labels.of``)."""
     values, count = features(column)
     a, b = _buckets(values)
-    each = np.maximum(model[a], model[b])
-    return np.concatenate([[0.0], np.cumsum(each)])[np.cumsum(count)] - np.concatenate([[0.0], np.cumsum(each)])[np.cumsum(count) - count]
+    at = np.repeat(np.where(kind < 0, 2, kind) * (2 * BUCKETS), count)
+    sums = np.concatenate([[0.0], np.cumsum(np.maximum(model[a + at], model[b + at]), dtype=np.float64)])
+    return sums[np.cumsum(count)] - sums[np.cumsum(count) - count]
 
 
 def gumbel(column: pa.Array, ids: pa.Array, seed: int) -> np.ndarray:
@@ -204,22 +238,25 @@ def select(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     docs = docs.drop("log_weight", "sample_key")
     held = spark.sparkContext.broadcast(labelled(labels, most_labels))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    counted = rows.mapInArrow(_count(held, "id", "text"), "chunk int, salt int, raw binary, target binary")
-    counted = counted.groupBy("chunk", "salt").applyInArrow(_add, "chunk int, salt int, raw binary, target binary").drop("salt").groupBy("chunk").applyInArrow(_add, "chunk int, raw binary, target binary")
-    raw, target, total = np.zeros(2 * BUCKETS), np.zeros(2 * BUCKETS), (0, 0)
+    counted = rows.mapInArrow(_count(held, "id", "text"), "chunk int, salt int, raw binary, target binary, bad binary")
+    counted = counted.groupBy("chunk", "salt").applyInArrow(_add, "chunk int, salt int, raw binary, target binary, bad binary").drop("salt").groupBy("chunk").applyInArrow(_add, "chunk int, raw binary, target binary, bad binary")
+    counts, total = np.zeros((3, 2 * BUCKETS), np.int32), [0, 0, 0]
     for r in counted.collect():  # the tables have a fixed size
-        a, b = np.frombuffer(bytes(r.raw), np.int64), np.frombuffer(bytes(r.target), np.int64)
-        if r.chunk < 0:
-            total = int(a[0]), int(b[0])
-        else:
-            raw[r.chunk * CHUNK : (r.chunk + 1) * CHUNK], target[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = a, b
-    model = spark.sparkContext.broadcast(ratios(raw, target, *total).astype(np.float32))
+        for i, c in enumerate(COUNTS):
+            got = np.frombuffer(bytes(r[c]), np.int32)
+            if r.chunk < 0:
+                total[i] = int(got[0])
+            else:
+                counts[i, r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = got
+    model = spark.sparkContext.broadcast(models(counts, total))
+    del counts
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            w = weights(batch.column("text"), model.value)
+            kind = held.value.of(batch.column("id"))
+            w = weights(batch.column("text"), kind, model.value)
             key = w / temperature + gumbel(batch.column("text"), batch.column("id"), seed)
-            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(ordered(key)), pa.array(held.value.of(batch.column("id")))], names=["w", "key", "class"])
+            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(ordered(key)), pa.array(kind)], names=["w", "key", "class"])
 
     scores = scratch.write(rows.mapInArrow(score, "w double, key long, class long"), "scores")
     got = scores.where("class >= 0").select("w", "class").toArrow()
@@ -232,7 +269,7 @@ def select(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
             text, ids = batch.column(text_col), batch.column(id_col)
-            w = weights(text, model.value)
+            w = weights(text, held.value.of(ids), model.value)
             key = w / temperature + gumbel(text, ids, seed)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(w), pa.array(key)], names=schema.names).filter(pa.array(ordered(key) >= least))
 
