@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import types
 import zlib
 from collections import defaultdict
 
@@ -107,6 +108,18 @@ def test_containment(spark, corpus, empty):
     assert decontaminate.contained(docs, bench.limit(0)).count() == 0
 
 
+def test_containment_of_items_of_five_words():
+    """At the end of 3000 documents, where sketches alone miss some."""
+    r = random.Random(8)
+    texts = [[f"w{r.randrange(10**6)}" for _ in range(40)] for _ in range(3000)]
+    for size in (5, 6):
+        items = pa.RecordBatch.from_pydict({"item_id": pa.array(range(len(texts))), "text": pa.array([" ".join(w[-size:]) for w in texts])})
+        rows = pa.Table.from_batches(decontaminate._items(5)(iter([items]))).to_pylist()
+        index = decontaminate.Index([types.SimpleNamespace(**x) for x in rows], 5, 80)
+        hits = index.match(pa.array([" ".join(w) for w in texts]), decontaminate.Circulant(decontaminate.K))
+        assert hits == [(i, i, size - 4) for i in range(len(texts))]
+
+
 def test_packing(spark, corpus, empty):
     rows, docs = corpus
     from tokenizers import Tokenizer

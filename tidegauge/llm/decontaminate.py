@@ -9,7 +9,9 @@ class that is contained to 0.8 in a row has a likeness of at least 1/4 with that
 window, so that with 64 coordinates it shares one but for one case in 10**7;
 scattered over four places it still does but for one in 10**4. A shared
 coordinate makes a candidate; candidates are verified by the exact containment of
-the item's shingles in the set of the whole document.
+the item's shingles in the set of the whole document. The bound doesn't hold for
+items of up to FEW distinct shingles, as windows hold 12 at least: these are
+candidates wherever a document has one of their shingles.
 
 The items are searched for in blocks of bounded bytes, each broadcast once it
 has been measured; documents are not shuffled.
@@ -29,6 +31,7 @@ from .scratch import Scratch
 from .textvec import U, Circulant, distinct, mix, shingles, slices, word_hashes
 
 K = 64
+FEW = 4
 BLOCK_BYTES = 16 << 20
 #: Bytes between words: all but ASCII letters and digits, and parts of other characters.
 APART = np.ones(256, bool)
@@ -73,8 +76,13 @@ class Index:
         self.classes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         whole = np.flatnonzero(self.words == k)
         cls = size_class(n)
-        for u in np.unique(cls[whole]):
-            of = whole[cls[whole] == u]
+        few, many = whole[n[whole] <= FEW], whole[n[whole] > FEW]
+        grams = np.concatenate([np.empty(0, U), *[self.members[i] for i in few]])
+        order = np.argsort(grams, kind="stable")
+        #: shingles of the items of few shingles, sorted, and their items
+        self.few = grams[order], np.repeat(few, n[few])[order]
+        for u in np.unique(cls[many]):
+            of = many[cls[many] == u]
             keys = self.keys(np.stack([np.frombuffer(bytes(rows[i].sketch), np.uint32) for i in of])).ravel()
             order = np.argsort(keys, kind="stable")
             keys, owner = keys[order], np.repeat(of, K)[order]
@@ -113,6 +121,13 @@ class Index:
             a, e = np.searchsorted(keys, asked), np.searchsorted(keys, asked, side="right")
             for r, x, y in zip(doc[first[row]][e > a].tolist(), a[e > a].tolist(), e[e > a].tolist(), strict=True):
                 found.update((r, i) for i in owner[x:y].tolist())
+        grams, owner = self.few
+        if len(grams):
+            a, e = np.searchsorted(grams, values), np.searchsorted(grams, values, side="right")
+            hit = np.flatnonzero(e > a)
+            rows = np.searchsorted(ends, hit, side="right")
+            for r, x, y in zip(rows.tolist(), a[hit].tolist(), e[hit].tolist(), strict=True):
+                found.update((r, i) for i in owner[x:y].tolist())
         out, held, was = [], np.empty(0, U), -1
         for r, i in sorted(found):
             if r != was:
