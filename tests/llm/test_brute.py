@@ -356,6 +356,52 @@ def test_licences(spark, corpus, empty):
     assert licenses.scan(docs).count() == docs.count()
 
 
+GPL = """    This program is free software{a} you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation{b} either version {n} of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program{c}
+"""
+LGPL = """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+"""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+"""
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+"""
+
+
+def test_verbatim_licence_headers():
+    found = lambda t: licenses.licences([k for _, _, k in licenses.identified(t)])
+    for tag, name in (("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("GPL-3.0-only", "GPL-3.0"), ("GPL-3.0-or-later", "GPL-3.0"), ("GPL-2.0-only", "GPL-2.0"), ("GPL-2.0-or-later", "GPL-2.0"), ("LGPL-2.1-only", "LGPL"), ("LGPL-2.1-or-later", "LGPL"), ("LGPL-3.0-only", "LGPL"), ("LGPL-3.0-or-later", "LGPL"), ("BSD-3-Clause", "BSD-3-Clause"), ("BSD-2-Clause", "BSD-2-Clause"), ("MPL-2.0", "MPL-2.0"), ("Unlicense", "Unlicense"), ("CC0-1.0", "CC0-1.0")):
+        assert found(f"#!/bin/sh\n# SPDX-License-Identifier: {tag}\necho") == ([name], [])
+    assert found(GPL.format(a=";", b=";", n=2, c="; if not, write to the Free Software")) == (["GPL"], [])
+    assert found(GPL.format(a=":", b=",", n=3, c=".  If not, see <https://www.gnu.org/licenses/>.")) == (["GPL"], [])
+    assert found(LGPL) == (["LGPL"], []) and found(MPL) == (["MPL-2.0"], [])
+    assert found(APACHE) == (["Apache-2.0"], []) and len(licenses.identified(APACHE)) == 5
+
+
 def test_importance(spark, empty):
     r = random.Random(2)
     vocabulary, bad = [f"w{i}" for i in range(3000)], ["vile", "nasty", "gross"]

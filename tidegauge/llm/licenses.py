@@ -1,6 +1,7 @@
 """Licence recognition by sentences and rules.
 
-A text is cut into sentences, which are normalised and mapped to the identifiers
+A text is cut into pieces at marks and line ends; the pieces, and runs of adjacent
+ones up to the longest known sentence, are normalised and mapped to the identifiers
 of known licence sentences. The identifiers, in the order of the text, are then
 matched against ordered rules: a rule names a licence by a run of identifiers,
 and takes the ones that it matches, so that a full licence text is not read as
@@ -39,7 +40,11 @@ SENTENCES = {
     "gpl-warranty": ["this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
     "gpl-details": ["see the gnu general public license for more details"],
     "gpl-copy": ["you should have received a copy of the gnu general public license along with this program"],
-    "lgpl-name": ["licensed under the gnu lesser general public license version {n}", "spdx license identifier lgpl 2.1 only", "spdx license identifier lgpl 2.1 or later", "spdx license identifier lgpl 3.0 only"],
+    "lgpl-name": ["licensed under the gnu lesser general public license version {n}", "spdx license identifier lgpl 2.1 only", "spdx license identifier lgpl 2.1 or later", "spdx license identifier lgpl 3.0 only", "spdx license identifier lgpl 3.0 or later"],
+    "lgpl-free": [
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version {n} of the license or at your option any later version",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version {n} of the license or at your option any later version",
+    ],
     "bsd-grant": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "bsd-source": ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"],
     "bsd-binary": ["redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"],
@@ -69,6 +74,7 @@ RULES = [
     ("MIT", ["mit-name"]),
     ("GPL-3.0", ["gpl3-name"]),
     ("GPL-2.0", ["gpl2-name"]),
+    ("LGPL", ["lgpl-free"]),
     ("LGPL", ["lgpl-name"]),
     ("BSD-3-Clause", ["bsd3-name"]),
     ("BSD-2-Clause", ["bsd2-name"]),
@@ -83,10 +89,11 @@ RULES = [
 #: Every known sentence holds one of these; texts without any are not cut up.
 TRIGGER = r"(?i)licen[sc]|permission|warrant|redistribut|copyright|rights reserved|public domain|free software|under cc|apache|warranties"
 
-_ENDS = re.compile(r"[.!?;:](?=\s|$)|\n\s*\n")
 _APART = re.compile(r"[^a-z0-9.]+|\.(?![a-z0-9])|(?<![a-z0-9])\.")
 _EXACT = {s: k for k, v in SENTENCES.items() for s in v if "{" not in s}
 _OPEN = [(re.compile(re.sub(r"\\\{\w+\\\}", r"[a-z0-9. ]{1,80}?", re.escape(s))), k) for k, v in SENTENCES.items() for s in v if "{" in s]
+_HEADS = [(s[: s.index("{")], len(s) + 80) for v in SENTENCES.values() for s in v if "{" in s]
+_PREFIXES = {" ".join(w[:i]) for s in [*_EXACT, *[h for h, _ in _HEADS]] for w in [s.split()] for i in range(1, len(w) + 1)}
 
 
 def normal(sentence: str) -> str:
@@ -94,11 +101,16 @@ def normal(sentence: str) -> str:
     return _APART.sub(" ", sentence.lower()).strip()
 
 
-def known(sentence: str) -> str | None:
-    s = normal(sentence)
+def known(s: str) -> str | None:
+    """The identifier of a normalised sentence."""
     return _EXACT.get(s) or next((k for p, k in _OPEN if p.fullmatch(s)), None)
 
 
+def _goes_on(s: str) -> bool:
+    """Whether a known sentence may begin with ``s``."""
+    return s in _PREFIXES or any(s.startswith(h) and len(s) <= n for h, n in _HEADS)
+
+
 def _cut(text: str, ends: re.Pattern) -> Iterator[tuple[int, int]]:
     at = 0
     for m in ends.finditer(text):
@@ -111,14 +123,22 @@ _LINE = re.compile(r"[.!?;:](?=\s|$)|\n")
 
 
 def identified(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, identifier) of the known sentences. Sentences may run over lines, and may stand on lines of their own amid other text."""
-    spans: dict[int, tuple[int, int, str]] = {}
-    for ends in (_ENDS, _LINE):
-        for s, e in _cut(text, ends):
-            if e > s and (k := known(text[s:e])):
-                s += len(text[s:e]) - len(text[s:e].lstrip())
-                spans.setdefault(e, (s, e, k))
-    return [spans[e] for e in sorted(spans)]
+    """(start, end, identifier) of the known sentences, the longest at each place. They may run over lines and hold marks, and may stand on lines of their own amid other text."""
+    pieces = [(s, e, n) for s, e in _cut(text, _LINE) if (n := normal(text[s:e]))]
+    out, i = [], 0
+    while i < len(pieces):
+        run, last = "", None
+        for j in range(i, len(pieces)):
+            run = f"{run} {pieces[j][2]}" if run else pieces[j][2]
+            if k := known(run):
+                last = j, k
+            if not _goes_on(run):
+                break
+        if last:
+            s, e = pieces[i][0], pieces[last[0]][1]
+            out.append((s + len(text[s:e]) - len(text[s:e].lstrip()), e, last[1]))
+        i = last[0] + 1 if last else i + 1
+    return out
 
 
 def licences(ids: list[str]) -> tuple[list[str], list[str]]:
