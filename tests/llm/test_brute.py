@@ -1,6 +1,7 @@
 """Operators against plain versions that compare everything with everything, on texts that repeat each other."""
 
 import hashlib
+import math
 import random
 import re
 import types
@@ -431,6 +432,90 @@ def test_importance(spark, empty):
     assert importance.select(empty, lab).count() == 0
 
 
+def plain_importance(docs, labels, share):
+    """Weights and selection by loops over n-grams; only the hashes and the noise are the operator's."""
+    good = {}
+    for d, q, t in labels:
+        if d is not None and q is not None:
+            good[d] = good.get(d, True) and q == 1 and not t
+
+    def buckets(gram):
+        """The two buckets of a word or of a pair of words."""
+        tokens = [set(importance.features(pa.array([w]))[0].tolist()) for w in gram.split(" ")]
+        own = set(importance.features(pa.array([gram]))[0].tolist())
+        (value,) = own - set().union(*tokens) if " " in gram else own
+        a, b = importance._buckets(np.array([value], np.uint64))
+        return int(a[0]), int(b[0])
+
+    known = {}
+    sets = []
+    for _, text in docs:
+        w = (text or "").split()
+        grams = set(w) | {f"{a} {b}" for a, b in zip(w, w[1:])}
+        sets.append({known.setdefault(g, buckets(g)) if g not in known else known[g] for g in grams})
+    counts = [defaultdict(int) for _ in range(3)]
+    n = [len(docs), 0, 0]
+    for (d, _), s in zip(docs, sets):
+        of = [0] + ([1 if good[d] else 2] if d in good else [])
+        for i in of:
+            n[i] += i > 0
+            for x in {x for pair in s for x in pair}:
+                # two n-grams of a document that share a bucket count twice
+                counts[i][x] += sum(x in pair for pair in s)
+
+    def ratio(raw, target, bad, n_raw, n_target, n_bad):
+        raw, target, bad = max(raw, 0), max(target, 0), max(bad, 0)
+
+        def shrunk(among, share, surprise, sure):
+            log = math.log((target + importance.PRIOR * share) / ((among + importance.PRIOR) * share))
+            if log == 0 or surprise <= 0:
+                return 0.0
+            return log / (1 + (sure / surprise) ** 8) / (1 + (importance.SMALL / log) ** 4)
+
+        share, part = n_target / n_raw, n_target / (n_target + n_bad)
+        term = lambda x, e: x * math.log(x / e) if x else 0.0
+        one = shrunk(raw, share, 2 * (term(target, raw * share) - (target - raw * share)), importance.SURE_RAW)
+        both = target + bad
+        two = shrunk(both, part, 2 * (term(target, both * part) + term(bad, both * (1 - part))), importance.SURE)
+        return round((one if abs(one) > abs(two) else two) * 65536) / 65536
+
+    weights = []
+    for (d, _), s in zip(docs, sets):
+        own = (1, int(good[d]), int(not good[d])) if d in good else (0, 0, 0)
+        total = 0.0
+        for pair in s:
+            x, y = (ratio(*[counts[i][b] - own[i] for i in range(3)], *[n[i] - own[i] for i in range(3)]) for b in pair)
+            total += min(x, y, key=abs) if x * y > 0 else 0.0
+        weights.append(total)
+    noise = importance.gumbel(pa.array([t for _, t in docs]), pa.array([d for d, _ in docs], pa.int64()), 0)
+    keys = np.array(weights) + noise
+    least = sorted(keys, reverse=True)[round(share * len(docs)) - 1]
+    return {(d, w) for (d, _), w, k in zip(docs, weights, keys) if k >= least}
+
+
+def test_importance_against_a_plain_version(spark):
+    r = random.Random(12)
+    vocabulary, bad, fine = [f"w{i}" for i in range(30)], [f"vile{i}" for i in range(5)], [f"fine{i}" for i in range(5)]
+    docs, labels = [], []
+    for i in range(400):
+        w = [r.choice(vocabulary) for _ in range(r.randint(0, 60))]
+        kind = r.random()
+        w += r.sample(bad, 2) if kind < 0.3 else r.sample(fine, 2) if kind > 0.7 else []
+        docs.append((i, " ".join(w)))
+        if r.random() < 0.5:
+            labels.append((i, int(kind > 0.6), int(kind < 0.15)))
+    docs.append((None, None))
+    frame, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for share in (0.3, 0.8):
+        out = importance.select(frame, lab, share=share).collect()
+        assert {(x.doc_id, x.log_weight) for x in out} == plain_importance(docs, labels, share)
+        assert len(out) == round(share * len(docs))
+    weights = [x.log_weight for x in out]
+    assert min(weights) < -0.1 and max(weights) > 0.1 and len(set(weights)) > 50
+    samples = [frozenset(x.doc_id for x in importance.select(frame, lab, share=0.3, seed=s).collect()) for s in range(3)]
+    assert len(set(samples)) == 3
+
+
 def test_importance_of_rare_words(spark):
     """Each toxic word is in about ten of a thousand documents, too few for the raw text to tell."""
     r = random.Random(6)

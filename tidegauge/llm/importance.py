@@ -2,26 +2,23 @@
 
 Two generative models over hashed n-grams, one of a target (documents labelled
 good) and one of the raw text (all documents), give each document an importance:
-the ratio of its probabilities. A sample without replacement by that weight is
-the top k of log weight plus Gumbel noise.
+the ratio of its probabilities under the two. A sample without replacement by
+that weight is the top k of log weight plus standard Gumbel noise; k is a share
+of the documents, by default that of the good ones among the labelled.
 
-Where this differs from the plain method, and why:
+Where the models differ from maximum likelihood, and why (figures in the README):
 
 * an n-gram counts once a document, so that one long document or a run of
   repeats moves a count by one;
-* every n-gram has two buckets in independent tables, and the weaker evidence
-  counts, so that chance collisions don't condemn a document;
+* log ratios of either sign are shrunken smoothly towards 0, by how sure the
+  counts are and by how large the ratio is. The raw counts of rare n-grams add up
+  to a noise of hundreds in a long text, which buries the evidence;
 * labelled bad documents are evidence too: the good ones are set against all
-  labelled ones as well as against the raw text, and the lower ratio counts;
-* a bucket's ratio is shrunken smoothly, by how sure it is that the target is
-  short of it and by how much, so that rare words keep the evidence they give
-  while chance doesn't add up over a long text. Ratios above one are left out:
-  they would otherwise outweigh the few words that make a text toxic;
-* a labelled document is judged by the counts without itself, so that the
-  threshold holds for documents that have no label;
-* k is the number of documents whose log weight reaches a threshold that
-  separates the labelled documents best, and the weights are sharpened by a
-  temperature, so that noise decides among documents next to the threshold only.
+  labelled ones as well as against the raw text, and the stronger ratio counts;
+* every n-gram has two buckets in independent tables, of which the ratio nearer to
+  0 counts (none, if their signs differ), so that chance collisions move nothing;
+* a labelled document is judged by the counts without itself, so that it is
+  treated like one without a label.
 
 The labelled rows that are used are bounded by ``most_labels``; the raw model,
 the scores and the selection cover all documents.
@@ -41,7 +38,8 @@ from .scratch import Scratch
 from .textvec import LOWER, MULS, SPACE, U, distinct, flat, mix, slices, span_hash
 
 BUCKETS, CHUNK, SALTS = 1 << 20, 1 << 15, 256
-PRIOR, SURE_RAW, SURE, SHORT, RUN = 2.0, 16.0, 12.0, 0.5, 6
+#: Documents that a bucket is taken to have seen beforehand; the surprise at which a ratio is halved, against the raw text and the labelled; the ratio at which it is halved; the length of a run of one word that counts
+PRIOR, SURE_RAW, SURE, SMALL, RUN = 1.0, 12.0, 10.0, 0.3, 6
 COUNTS = ("raw", "target", "bad")
 CAPS, REPEAT = U(0x1234567), U(0x7654321)
 KIND = np.where(SPACE, 0, 2).astype(np.uint8)
@@ -128,20 +126,25 @@ def _count(labels, id_col: str, text_col: str):
     return run
 
 
-def _add(table: pa.Table) -> pa.Table:
-    total = {c: np.minimum(sum(np.frombuffer(x.as_buffer(), np.int32).astype(np.int64) for x in table.column(c)), (1 << 31) - 1).astype(np.int32).tobytes() for c in COUNTS}
-    return pa.table({"chunk": table.column("chunk")[:1], **({"salt": table.column("salt")[:1]} if "salt" in table.column_names else {}), **{c: pa.array([b], pa.binary()) for c, b in total.items()}})
+def _add(kind: type):
+    """Sums, as 64-bit numbers, of the arrays of ``kind`` that share a chunk (and salt)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        total = {c: sum(np.frombuffer(x.as_buffer(), kind).astype(np.int64) for x in table.column(c)).tobytes() for c in COUNTS}
+        return pa.table({"chunk": table.column("chunk")[:1], **({"salt": table.column("salt")[:1]} if "salt" in table.column_names else {}), **{c: pa.array([b], pa.binary()) for c, b in total.items()}})
+
+    return run
 
 
 def _shrunken(target: np.ndarray, among: np.ndarray, share: float, surprise: np.ndarray, sure: float) -> np.ndarray:
-    """Log ratios below 0 of ``target`` to its ``share`` of ``among``, nearer to 0 the less sure and the smaller they are."""
+    """Log ratios of ``target`` to its ``share`` of ``among``, nearer to 0 the less sure and the smaller they are."""
     log = np.log((target + PRIOR * share) / ((among + PRIOR) * share))
     with np.errstate(divide="ignore", over="ignore"):
-        return np.where(target < among * share, log / (1 + (sure / surprise) ** 8) / (1 + (np.log(SHORT) / log) ** 4), 0.0)
+        return np.where(log == 0, 0.0, log / (1 + (sure / surprise) ** 8) / (1 + (SMALL / log) ** 4))
 
 
 def ratios(raw: np.ndarray, target: np.ndarray, bad: np.ndarray, n_raw: int, n_target: int, n_bad: int) -> np.ndarray:
-    """Shrunken log ratios of the buckets of which the target is short, by the raw text or by the labelled bad documents, else 0.
+    """Shrunken log ratios of the buckets, of the target to the raw text or to all labelled documents, whichever says more.
 
     They are multiples of 2 ** -16, whose sums are exact in any order.
     """
@@ -149,12 +152,14 @@ def ratios(raw: np.ndarray, target: np.ndarray, bad: np.ndarray, n_raw: int, n_t
     if n_raw <= 0 or n_target <= 0:
         return np.zeros(len(raw), np.float32)
     share, part = n_target / n_raw, n_target / (n_target + max(n_bad, 0))
+    both = target + bad
     with np.errstate(divide="ignore", invalid="ignore"):
+        # twice the log likelihood ratio of the counts to what the share lets expect
         far = 2 * (np.where(target > 0, target * np.log(target / (raw * share)), 0) - (target - raw * share))
-        out = _shrunken(target, raw, share, np.maximum(far, 0), SURE_RAW)
-        both = target + bad
+        by_raw = _shrunken(target, raw, share, np.maximum(far, 0), SURE_RAW)
         far = 2 * (np.where(target > 0, target * np.log(target / (both * part)), 0) + np.where(bad > 0, bad * np.log(bad / (both * (1 - part))), 0))
-        out = np.minimum(out, _shrunken(target, both, part, np.maximum(far, 0), SURE))
+        by_label = _shrunken(target, both, part, np.maximum(far, 0), SURE)
+    out = np.where(np.abs(by_raw) > np.abs(by_label), by_raw, by_label)
     return (np.round(out * 65536) / 65536).astype(np.float32)
 
 
@@ -172,14 +177,16 @@ def weights(column: pa.Array, kind: np.ndarray, model: np.ndarray) -> np.ndarray
     values, count = features(column)
     a, b = _buckets(values)
     at = np.repeat(np.where(kind < 0, 2, kind) * (2 * BUCKETS), count)
-    sums = np.concatenate([[0.0], np.cumsum(np.maximum(model[a + at], model[b + at]), dtype=np.float64)])
+    x, y = model[a + at], model[b + at]
+    weaker = np.where(np.sign(x) == np.sign(y), np.where(np.abs(x) < np.abs(y), x, y), 0)
+    sums = np.concatenate([[0.0], np.cumsum(weaker, dtype=np.float64)])
     return sums[np.cumsum(count)] - sums[np.cumsum(count) - count]
 
 
 def gumbel(column: pa.Array, ids: pa.Array, seed: int) -> np.ndarray:
     """Noise that depends on the row's id and text alone."""
     buf, offs = flat(column)
-    h = mix(span_hash(buf, offs[:-1], offs[1:]) + mix(ids.cast(pa.int64()).fill_null(-1).to_numpy().astype(U)) * MULS[2] + U(seed) * MULS[3])
+    h = mix(span_hash(buf, offs[:-1], offs[1:]) + mix(ids.cast(pa.int64()).fill_null(-1).to_numpy().astype(U)) * MULS[2] + U(seed * int(MULS[3]) % 2**64))
     u = ((h >> U(11)).astype(np.float64) + 0.5) / 2.0**53
     return -np.log(-np.log(u))
 
@@ -190,20 +197,6 @@ def ordered(x: np.ndarray) -> np.ndarray:
     return np.where(i < 0, i ^ np.int64(0x7FFFFFFFFFFFFFFF), i)
 
 
-def separating(scores: np.ndarray, good: np.ndarray) -> float:
-    """The threshold with the best balance of kept good and rejected bad rows; the middle of the widest best gap."""
-    if not len(scores) or good.all() or not good.any():
-        return -np.inf
-    order = np.argsort(scores, kind="stable")
-    s, g = scores[order], good[order].astype(float)
-    gain = np.concatenate([[0.0], np.cumsum((1 - g) / (1 - g).sum() - g / g.sum())])
-    cut = np.concatenate([[True], s[1:] > s[:-1], [False]])
-    best = np.flatnonzero(cut & (gain >= gain[cut].max() - 1e-12))
-    low = np.where(best > 0, s[np.maximum(best - 1, 0)], s[0] - 2)
-    at = int(np.argmax(s[best] - low))
-    return float((s[best][at] + low[at]) / 2)
-
-
 def kth_largest(keys: DataFrame, column: str, k: int) -> int:
     """The k-th largest value of a long column, by four counts of 16 bits each; no rows are gathered."""
     low, left = None, k
@@ -221,29 +214,33 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> int:
     return v - (1 << 64) if v >> 63 else v
 
 
-def select(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_labels: int = 50_000, temperature: float = 0.01, seed: int = 0) -> DataFrame:
+def select(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float | None = None, most_labels: int = 50_000, seed: int = 0) -> DataFrame:
     """The selected rows of ``docs``, all columns, and ``log_weight`` and ``sample_key``.
 
-    ``labels`` has doc_id, quality and toxic. Without good labels every document
-    has weight one; without bad ones the threshold keeps all, and so does an
-    absent or empty table of labels.
+    ``labels`` has doc_id, quality and toxic. The sample has round(share * rows)
+    rows. ``share`` is by default the share of good documents among the labelled
+    ones that are used, and 1 if there are no good or no bad ones. Without good
+    labels every document has weight one.
 
     Null text counts as empty and has weight one. Rows with a null or unlabelled
     id are scored like all others. Equal rows have equal keys and are selected
-    together, even beyond k. Input columns of the two new names are replaced. An
-    empty table gives an empty result.
+    together, even beyond k. Input columns of the two new names are replaced, all
+    others pass unchanged. Empty tables of documents or labels are allowed; an empty
+    one of documents gives an empty result.
     """
+    if share is not None and not 0 <= share <= 1:
+        raise ValueError(f"share {share} is not from 0 to 1")
     spark = docs.sparkSession
     scratch = Scratch(spark, "importance")
     docs = docs.drop("log_weight", "sample_key")
     held = spark.sparkContext.broadcast(labelled(labels, most_labels))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     counted = rows.mapInArrow(_count(held, "id", "text"), "chunk int, salt int, raw binary, target binary, bad binary")
-    counted = counted.groupBy("chunk", "salt").applyInArrow(_add, "chunk int, salt int, raw binary, target binary, bad binary").drop("salt").groupBy("chunk").applyInArrow(_add, "chunk int, raw binary, target binary, bad binary")
-    counts, total = np.zeros((3, 2 * BUCKETS), np.int32), [0, 0, 0]
+    counted = counted.groupBy("chunk", "salt").applyInArrow(_add(np.int32), "chunk int, salt int, raw binary, target binary, bad binary").drop("salt").groupBy("chunk").applyInArrow(_add(np.int64), "chunk int, raw binary, target binary, bad binary")
+    counts, total = np.zeros((3, 2 * BUCKETS), np.int64), [0, 0, 0]
     for r in counted.collect():  # the tables have a fixed size
         for i, c in enumerate(COUNTS):
-            got = np.frombuffer(bytes(r[c]), np.int32)
+            got = np.frombuffer(bytes(r[c]), np.int64)
             if r.chunk < 0:
                 total[i] = int(got[0])
             else:
@@ -253,16 +250,14 @@ def select(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            kind = held.value.of(batch.column("id"))
-            w = weights(batch.column("text"), kind, model.value)
-            key = w / temperature + gumbel(batch.column("text"), batch.column("id"), seed)
-            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(ordered(key)), pa.array(kind)], names=["w", "key", "class"])
-
-    scores = scratch.write(rows.mapInArrow(score, "w double, key long, class long"), "scores")
-    got = scores.where("class >= 0").select("w", "class").toArrow()
-    cut = separating(got.column("w").to_numpy(), got.column("class").to_numpy() == 1)
-    k = scores.where(F.col("w") >= F.lit(cut)).count()
-    least = kth_largest(scores, "key", k) if k else (1 << 63) - 1
+            w = weights(batch.column("text"), held.value.of(batch.column("id")), model.value)
+            yield pa.RecordBatch.from_arrays([pa.array(ordered(w + gumbel(batch.column("text"), batch.column("id"), seed)))], names=["key"])
+
+    keys = scratch.write(rows.mapInArrow(score, "key long"), "keys")
+    if share is None:
+        share = total[1] / (total[1] + total[2]) if total[1] and total[2] else 1.0
+    k = round(share * total[0])
+    least = kth_largest(keys, "key", k) if k else (1 << 63) - 1
     scratch.close()
     schema = T.StructType([*docs.schema.fields, T.StructField("log_weight", T.DoubleType()), T.StructField("sample_key", T.DoubleType())])
 
@@ -270,7 +265,7 @@ def select(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
         for batch in slices(batches, text_col):
             text, ids = batch.column(text_col), batch.column(id_col)
             w = weights(text, held.value.of(ids), model.value)
-            key = w / temperature + gumbel(text, ids, seed)
+            key = w + gumbel(text, ids, seed)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(w), pa.array(key)], names=schema.names).filter(pa.array(ordered(key) >= least))
 
     return docs.mapInArrow(keep, schema)
