@@ -13,8 +13,10 @@ the item's shingles in the set of the whole document. The bound doesn't hold for
 items of up to FEW distinct shingles, as windows hold 12 at least: these are
 candidates wherever a document has one of their shingles.
 
-The items are searched for in blocks of bounded bytes, each broadcast once it
-has been measured; documents are not shuffled.
+The items are searched for in blocks of bounded bytes (sets, coordinates and
+objects), each broadcast once it has been measured; documents are not shuffled.
+Where there are several blocks, the pairs of one are written and its broadcast is
+given back before the next one is made.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, steps
 from .textvec import U, Circulant, distinct, mix, shingles, slices, word_hashes
 
 K = 64
@@ -150,15 +152,16 @@ class Index:
 def _indexes(benchmark: DataFrame, item_col: str, text_col: str, k: int, percent: int, scratch: Scratch):
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
     items = scratch.write(items.mapInArrow(_items(k), "item_id long, words long, n long, sketch binary, members binary").where("words > 0"), "items")
-    size = items.agg(F.sum(F.octet_length("members") + 4 * K)).first()[0] or 0
+    size = items.agg(F.sum(F.octet_length("members") + 16 * K + 200)).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "members"), F.lit(blocks)) == b).collect()
-        yield scratch.spark.sparkContext.broadcast(Index(rows, k, percent))
-    scratch.close()
+        yield scratch.spark.sparkContext.broadcast(Index(rows, k, percent)), blocks
+    scratch.drop("items")
 
 
-def contained(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+@steps("leaks")
+def contained(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle: int = 5, percent: int = 80, scratch: Scratch) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared, containment): each row and item with at least ``percent`` of the item's shingles in the row's text.
 
     Words are runs of letters and digits in lower case. An item of fewer words than
@@ -168,11 +171,10 @@ def contained(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     Null texts count as empty; null and repeated ids come back as they are, row
     by row. Empty tables give an empty result. Other columns are not read.
     """
-    scratch = Scratch(docs.sparkSession, "leaks")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, n_shingles long, n_shared long, containment double"
     out = None
-    for index in _indexes(benchmark, item_col, item_text_col, shingle, percent, scratch):
+    for index, blocks in _indexes(benchmark, item_col, item_text_col, shingle, percent, scratch):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             x, circulant = index.value, Circulant(K)
@@ -183,14 +185,17 @@ def contained(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(r)), pa.array([x.ids[j] for j in i], pa.int64()), pa.array(n, pa.int64()), pa.array(shared, pa.int64()), pa.array([a / b for a, b in zip(shared, n, strict=True)])], names=["doc_id", "item_id", "n_shingles", "n_shared", "containment"])
 
         part = rows.mapInArrow(run, schema)
+        if blocks > 1:
+            part = scratch.write(part, f"pairs{len(scratch.paths)}")
+            index.destroy()
         out = part if out is None else out.union(part)
     return out
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+@steps("leaks")
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle: int = 5, percent: int = 80, scratch: Scratch) -> DataFrame:
     """The rows of ``docs`` that contain no item, all columns unchanged; cases as in ``contained``."""
-    scratch = Scratch(docs.sparkSession, "leaks")
-    for index in _indexes(benchmark, item_col, item_text_col, shingle, percent, scratch):
+    for index, _ in _indexes(benchmark, item_col, item_text_col, shingle, percent, scratch):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             x, circulant = index.value, Circulant(K)

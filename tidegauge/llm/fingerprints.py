@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, steps
 
 BITS, STORED = 7, 8
 BINS = 1 << BITS
@@ -84,16 +84,16 @@ def _ring(ids: DataFrame, scratch: Scratch) -> DataFrame:
     up = F.lit(0).cast("long") if one else F.shiftright("id", 12)
     block = Window.partitionBy("up").orderBy(F.desc("id"))
     rows = ids.withColumn("up", up).withColumn("next", F.lead("id").over(block))
-    heads = ids.groupBy(up.alias("up")).agg(F.max("id").alias("head"))
     if one:
-        top = heads.select("up", "head")
-    else:
-        links = _ring(heads.select(F.col("up").alias("id")), scratch)
-        top = links.join(heads.select(F.col("up").alias("next"), "head"), "next").select(F.col("id").alias("up"), "head")
+        return rows.select("id", F.coalesce("next", F.lit(hi)).alias("next"))
+    heads = ids.groupBy(up.alias("up")).agg(F.max("id").alias("head"))
+    links = _ring(heads.select(F.col("up").alias("id")), scratch)
+    top = links.join(heads.select(F.col("up").alias("next"), "head"), "next").select(F.col("id").alias("up"), "head")
     return rows.join(top, "up").select("id", F.coalesce("next", "head").alias("next"))
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+@steps("prints")
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, scratch: Scratch) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one row for each row of ``docs``.
 
     Words are separated by ASCII white space and compared in lower case. The
@@ -106,8 +106,6 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     row is its own next. Texts without words have the empty fingerprint. An empty
     table gives an empty result. Other columns are not read.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "prints")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("k", F.coalesce("doc_id", F.lit(LOWEST)))
     block = F.shiftright("k", 8)
     heads = scratch.write(rows.groupBy(block.alias("id")).agg(F.max("k").alias("k")), "heads")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import Scratch
+from .scratch import Scratch, steps
 from .textvec import LOWER, MULS, SPACE, U, distinct, flat, mix, slices, span_hash
 
 BUCKETS, CHUNK, SALTS = 1 << 20, 1 << 15, 256
@@ -214,7 +214,8 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> int:
     return v - (1 << 64) if v >> 63 else v
 
 
-def select(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float | None = None, most_labels: int = 50_000, seed: int = 0) -> DataFrame:
+@steps("importance")
+def select(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float | None = None, most_labels: int = 50_000, seed: int = 0, scratch: Scratch) -> DataFrame:
     """The selected rows of ``docs``, all columns, and ``log_weight`` and ``sample_key``.
 
     ``labels`` has doc_id, quality and toxic. The sample has round(share * rows)
@@ -231,7 +232,6 @@ def select(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     if share is not None and not 0 <= share <= 1:
         raise ValueError(f"share {share} is not from 0 to 1")
     spark = docs.sparkSession
-    scratch = Scratch(spark, "importance")
     docs = docs.drop("log_weight", "sample_key")
     held = spark.sparkContext.broadcast(labelled(labels, most_labels))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

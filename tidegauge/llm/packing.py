@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, steps
 
 PIECES_A_BUCKET = 20_000
 
@@ -140,7 +140,8 @@ def _pieces(json_path: str, ranks_path: str | None, capacity: int, end_id: int,
     return run
 
 
-def pack(docs: DataFrame, *, json_path: str, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+@steps("pack")
+def pack(docs: DataFrame, *, json_path: str, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = False, scratch: Scratch) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for).
 
     A document is its token ids and ``end_id``. Only documents of more than
@@ -154,7 +155,6 @@ def pack(docs: DataFrame, *, json_path: str, ranks_path: str | None = None, id_c
     to be readable on every executor.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "pack")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_pieces(json_path, ranks_path, capacity, end_id, with_ids), schema)
     pieces = scratch.write(pieces, "pieces")
@@ -166,7 +166,7 @@ def pack(docs: DataFrame, *, json_path: str, ranks_path: str | None = None, id_c
     runs, _ = best_fit(histogram, capacity)
     plan = spark.sparkContext.broadcast(runs)  # its size depends on the capacity, not on the corpus
     before = counts.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("length", "bucket", F.coalesce("base", F.lit(0)).alias("base"))
-    placed = ranked.join(before, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("nth")).drop("base", "nth", "bucket")
+    placed = ranked.join(before.hint("merge"), ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("nth")).drop("base", "nth", "bucket")
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,8 +7,8 @@ re-read and never a re-run of earlier steps.
 
 from __future__ import annotations
 
+import functools
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +17,11 @@ KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by the session; where it names none (tests), a local one that is then set."""
+    """The folder named by the session. A local session that names none (as in tests) gets one; a cluster has to name it."""
     found = spark.conf.get(KEY, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{KEY} has to name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidegauge-")
         spark.conf.set(KEY, found)
     return found.rstrip("/")
@@ -28,39 +30,68 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """A family of written tables of one run; ``keep`` tables outlive ``close``."""
 
+    #: Roots of the runs whose results still lie in the shared folder.
+    kept: set[str] = set()
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
 
     def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+        """The place of a table or folder below the root; ``close`` deletes it as well."""
+        self.kept.add(self.root)
+        return self.paths.setdefault(name, f"{self.root}/{name}")
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the written table."""
         df.write.mode("overwrite").parquet(self.path(name))
-        self.paths[name] = self.path(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
         """Delete written tables that no later step reads."""
-        jvm = self.spark._jvm
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            delete(self.spark, self.path(name))
             self.paths.pop(name, None)
 
     def close(self, *keep: str) -> None:
         self.drop(*[x for x in list(self.paths) if x not in keep])
+        if not self.paths:
+            self.discard()
+
+    def discard(self) -> None:
+        """Delete all, kept results included."""
+        delete(self.spark, self.root)
+        self.kept.discard(self.root)
+
+
+def delete(spark: SparkSession, uri: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def steps(name: str):
+    """Give an operator whose first argument is a DataFrame a ``scratch``, of which nothing stays if the operator fails."""
+
+    def wrap(operator):
+        @functools.wraps(operator)
+        def run(docs: DataFrame, *args, **options):
+            scratch = Scratch(docs.sparkSession, name)
+            try:
+                return operator(docs, *args, scratch=scratch, **options)
+            except BaseException:
+                scratch.discard()
+                raise
+
+        return run
 
+    return wrap
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let the driver release the shuffle files of finished steps now rather than at its next collection."""
-    import gc
 
-    for _ in range(2):  # what the first collection enqueues, the second finds released
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.2)
+def clean(spark: SparkSession) -> None:
+    """Delete the results of all operators of this process, which their DataFrames read; for when none is needed any more."""
+    for root in list(Scratch.kept):
+        delete(spark, root)
+        Scratch.kept.discard(root)
 
 
 def partitions(spark: SparkSession) -> int:
