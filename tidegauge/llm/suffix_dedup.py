@@ -12,33 +12,36 @@ in batches of bounded bytes:
    the anchor) and the least id that has it. A document with a larger id than
    the least one of its context loses all windows of the context;
 3. where an anchor has several contexts, the batch with the least id of each
-   sends its bytes. The shard sorts their suffixes by bucket-pointer refinement:
-   buckets of 8-byte grams are refined by the bucket identifiers of the suffixes
-   8, then 16, ... bytes further on, each step reusing the identifiers that the
-   last one assigned, and suffixes alone in their bucket are not sorted again. A
-   bucket at depth ``width`` is one distinct window; its least id is the answer;
+   sends its bytes. The shard sorts their suffixes by bucket-pointer refinement
+   (``refine``). A bucket at depth ``width`` is one distinct window; its least id
+   is the answer;
 4. batches mark and remove what a smaller id has.
 
-What a batch sends is aggregated: a passage in a third of all documents costs a
-shard one context a batch.
+A batch is a stretch of the input, written once as a compressed file in the shared
+folder and read by its name in each round, so that texts are never shuffled. What
+a batch sends is aggregated: a passage in a third of all documents costs a shard
+one context a batch. Batches and shards grow with the square root of the corpus,
+so that a batch still has some hundreds of hashes for each shard.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, free_shuffles
-from .textvec import MULS, U, flat, mix, slices, span_hash, words_at
+from .batches import Batches, dealt
+from .scratch import Scratch, steps
+from .textvec import MASKS, MULS, U, flat, mix, span_hash, words_at
 
 GRAM = 20
 BATCH_BYTES = 4 << 20
 SHARD_BYTES = 16 << 20
+WAVE = 1 << 18
 LAST = np.iinfo(np.int64).max
 
 
@@ -98,41 +101,73 @@ class Anchors:
         return first, many, code
 
 
-def refine(text: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """Bucket numbers of the suffixes at ``starts`` to a depth of ``width`` bytes: equal if and only if the bytes are.
+def refine(text: np.ndarray, starts: np.ndarray, width: int, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Bucket pointers of the suffixes at ``starts`` to a depth of ``width`` bytes: equal if and only if the bytes are.
 
-    ``text`` has at least ``width`` bytes from every start, and 8 more at its end.
+    ``text`` holds strings of ``sizes`` bytes in a row (one string by default) and 8
+    bytes more. A suffix ends with its string; one of ``starts`` has at least
+    ``width`` bytes.
+
+    All suffixes are sorted into buckets of equal 8-byte grams. The pointer of a
+    suffix is the last place of its bucket in the suffix array, so that a bucket
+    splits without a change elsewhere. Buckets with several of ``starts`` are refined
+    one stretch of the array after the other: a bucket that is sorted to depth h is
+    sorted by the pointers h bytes further on, which adds the depth of the buckets
+    that they name; its parts go on at once, recursively, until they are ``width``
+    deep. Later stretches meet the pointers that earlier ones have updated, and so
+    gain more than 8 bytes at a step. Pointers that tell apart what only differs
+    beyond ``width`` bytes give way to the first ones, of 8 bytes.
     """
-    bucket = np.full(len(text), -1, np.int64)
-    wanted = np.zeros(len(text), bool)
-    plan, depth = [], width
-    while depth > 8:  # depth from half: the suffix itself and one further on
-        half = 8
-        while half * 2 < depth:
-            half *= 2
-        plan.append((depth, half))
-        depth = half
-    need = [starts]
-    for depth, half in plan:
-        wanted[:] = False
-        wanted[need[-1]] = True
-        wanted[need[-1] + depth - half] = True
-        need.append(np.flatnonzero(wanted))
-    at = need.pop()
-    bucket[at] = np.unique(words_at(text)[at], return_inverse=True)[1]
-    while plan:
-        depth, half = plan.pop()
-        at = need.pop()
-        first = bucket[at]
-        size = np.bincount(first)
-        live = size[first] > 1
-        pair = first[live].astype(np.uint64) << U(32) | bucket[at[live] + depth - half].astype(np.uint64)
-        fresh = np.empty(len(at), np.int64)
-        found, fresh[live] = np.unique(pair, return_inverse=True)
-        fresh[~live] = len(found) + np.arange(int((~live).sum()))
-        bucket[:] = -1
-        bucket[at] = fresh
-    return bucket[starts]
+    n = len(text) - 8
+    ends = np.cumsum([n] if sizes is None else sizes)
+    end = np.repeat(ends, np.diff(ends, prepend=0)).astype(np.int32)
+    left = np.minimum(end - np.arange(n, dtype=np.int32), 8)
+    gram = words_at(text)[:n] & MASKS[left]
+    short = np.flatnonzero(left < 8)
+    whole = np.flatnonzero(left == 8)
+    order = np.concatenate([whole[np.argsort(gram[whole], kind="stable")], short[np.lexsort((gram[short], left[short]))]]).astype(np.int32)
+    new = np.ones(n, bool)
+    new[1:] = (gram[order][1:] != gram[order][:-1]) | (left[order][1:] != left[order][:-1])
+    del gram, left, short, whole
+    wanted = np.zeros(n, bool)
+    wanted[starts] = True
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], n) - 1
+    pointer = np.empty(n, np.int32)
+    pointer[order] = np.repeat(last, last - first + 1)
+    grams = pointer.copy()
+    depth = np.full(n, 8, np.int16)  # of the bucket that ends at a place
+    live = np.add.reduceat(wanted[order], first, dtype=np.int64) > 1 if n else np.empty(0, bool)
+    first, last = first[live], last[live]
+    stretch = np.cumsum(last - first + 1) // WAVE
+    for part in np.split(np.arange(len(first)), np.flatnonzero(np.diff(stretch)) + 1):
+        lo, hi, h = first[part], last[part], depth[last[part]].astype(np.int64)
+        while len(lo):
+            count = hi - lo + 1
+            place, of = _spread(lo, count), np.repeat(np.arange(len(lo)), count)
+            at = order[place]
+            far = at + h[of]
+            key = np.where(far < end[at], pointer[np.minimum(far, n - 1)], -1).astype(np.int64)
+            gain = np.where(key < 0, 1, depth[key])
+            over = h + np.maximum.reduceat(gain, np.cumsum(count) - count) > width
+            if over.any():
+                step = np.minimum(h, width - 8)
+                near = at + step[of]
+                key = np.where(over[of], np.where(near < end[at], grams[np.minimum(near, n - 1)], -1), key)
+                gain = np.where(over[of], step[of] + 8 - h[of], gain)
+            by = np.argsort(of * np.int64(n + 1) + key, kind="stable")
+            key, at, gain = key[by], at[by], gain[by]
+            cut = np.ones(len(by), bool)
+            cut[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
+            head = np.flatnonzero(cut)
+            tail = np.append(head[1:], len(by)) - 1
+            order[place] = at
+            pointer[at] = np.repeat(place[tail], tail - head + 1)
+            deep = np.where(key[head] < 0, width, h[of[head]] + gain[head])
+            depth[place[tail]] = deep
+            on = (np.add.reduceat(wanted[at], head, dtype=np.int64) > 1) & (deep < width)
+            lo, hi, h = place[head][on], place[tail][on], deep[on]
+    return pointer[starts].astype(np.int64)
 
 
 def _key(h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -146,35 +181,10 @@ def _cut(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return shard[border], np.append(border, len(h))
 
 
-ROWS = pa.schema([("doc_id", pa.int64()), ("text", pa.large_binary())])
-
-
 def _zstd() -> pa.Codec:
     return pa.Codec("zstd", 3)
 
 
-def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (b, rows): the documents of each batch number that a stretch of the input holds, compressed together."""
-    for batch in slices(batches, "text", BATCH_BYTES):
-        b = batch.column("b").to_numpy()
-        order = np.argsort(b, kind="stable")
-        rows = batch.take(pa.array(order))
-        border = np.flatnonzero(np.concatenate([[True], np.diff(b[order]) != 0]))
-        blobs = []
-        for s, e in zip(border, np.append(border[1:], len(b)), strict=True):
-            sink = pa.BufferOutputStream()
-            part = pa.table({"doc_id": rows.column("doc_id")[s:e], "text": rows.column("text")[s:e].cast(pa.large_binary())}, schema=ROWS)
-            with pa.ipc.new_stream(sink, ROWS, options=pa.ipc.IpcWriteOptions(compression=_zstd())) as out:
-                out.write_table(part)
-            blobs.append(sink.getvalue().to_pybytes())
-        yield pa.RecordBatch.from_arrays([pa.array(b[order][border]), pa.array(blobs, pa.binary())], names=["b", "rows"])
-
-
-def _opened(table: pa.Table) -> pa.Table:
-    """The documents of a batch."""
-    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("rows")]).combine_chunks() if table.num_rows else ROWS.empty_table()
-
-
 def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, offsets and ids of a batch; a missing id is the largest, and is marked."""
     column = table.column("text").combine_chunks()
@@ -183,9 +193,9 @@ def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return buf, offs, ids.fill_null(LAST).to_numpy(), ids.is_null().to_numpy()
 
 
-def _ask_hashes(width: int, bits: int):
+def _ask_hashes(width: int, bits: int, held: Batches):
     def run(table: pa.Table) -> pa.Table:
-        buf, offs, ids, absent = _texts(_opened(table))
+        buf, offs, ids, absent = _texts(held.read(table))
         x = Anchors(buf, offs, width)
         use = ~absent[x.doc]
         h, d = x.hash[use], ids[x.doc[use]]
@@ -248,14 +258,14 @@ def _blank(**kinds: pa.DataType) -> pa.Table:
     return pa.table({k: pa.array([], t) for k, t in kinds.items()})
 
 
-def _ask_classes(width: int, bits: int):
+def _ask_classes(width: int, bits: int, held: Batches):
     """What a batch knows of each context of a repeated anchor: a hash of it, and the least id that has it."""
 
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         known = np.sort(_known(replies, "hashes", U))
         if not table.num_rows or not len(known):
             return _blank(shard=pa.int64(), b=pa.int64(), rows=pa.binary())
-        buf, offs, ids, absent = _texts(_opened(table))
+        buf, offs, ids, absent = _texts(held.read(table))
         x = Anchors(buf, offs, width)
         which = np.flatnonzero(_within(x.hash, known) & ~absent[x.doc])
         code = x.contexts(which)[2]
@@ -277,7 +287,7 @@ def _classes(table: pa.Table) -> pa.Table:
     """For each batch: the least id of each of its contexts where another batch has it, and which contexts it is to send.
 
     Bytes are needed only where one anchor has several contexts, and of each
-    context once, from the batch with the least id.
+    context from the batch with the least id (several, if rows repeat that id).
     """
     parts = [np.frombuffer(x.as_buffer(), CLASS) for x in table.column("rows")]
     rows = np.concatenate(parts)
@@ -290,16 +300,14 @@ def _classes(table: pa.Table) -> pa.Table:
     mixed = np.zeros(len(new), bool)
     mixed[1:] |= h[1:] == h[:-1]
     mixed[:-1] |= h[1:] == h[:-1]
-    head = np.zeros(len(rows), bool)
-    head[order[new]] = True
     ends, lows, wants = np.cumsum([len(p) for p in parts]), [], []
     for p, e in zip(parts, ends, strict=True):
-        mine, own = kind[e - len(p) : e], head[e - len(p) : e]
+        mine = kind[e - len(p) : e]
         key = _key(p["h"], p["c"])
         beaten = least[mine] < p["lo"]
         low = np.empty(int(beaten.sum()), LEAST)
         low["h"], low["key"], low["least"] = p["h"][beaten], key[beaten], least[mine][beaten]
-        send = own & mixed[mine]
+        send = ~beaten & mixed[mine]
         want = np.empty(int(send.sum()), WANT)
         want["h"], want["key"] = p["h"][send], key[send]
         lows.append(low.tobytes())
@@ -307,12 +315,12 @@ def _classes(table: pa.Table) -> pa.Table:
     return pa.table({"b": table.column("b"), "lows": pa.array(lows, pa.binary()), "wants": pa.array(wants, pa.binary())})
 
 
-def _ask_contexts(width: int, bits: int):
+def _ask_contexts(width: int, bits: int, held: Batches):
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         wants = _known(replies, "wants", WANT)
         if not table.num_rows or not len(wants):
             return _blank(shard=pa.int64(), b=pa.int64(), rows=pa.binary(), bytes=pa.binary())
-        buf, offs, ids, absent = _texts(_opened(table))
+        buf, offs, ids, absent = _texts(held.read(table))
         x = Anchors(buf, offs, width)
         which = np.flatnonzero(_within(x.hash, np.unique(wants["h"])) & ~absent[x.doc])
         first, many, code = x.contexts(which)
@@ -345,7 +353,7 @@ def _answer(width: int):
         place = np.cumsum(rows["size"].astype(np.int64)) - rows["size"]
         many = rows["many"].astype(np.int64)
         starts, owner = _spread(place, many), np.repeat(np.arange(len(rows)), many)
-        bucket = refine(text, starts, width)
+        bucket = refine(text, starts, width, rows["size"].astype(np.int64))
         low = np.full(int(bucket.max()) + 1, LAST)
         np.minimum.at(low, bucket, rows["least"][owner])
         value, window = low[bucket], starts - place[owner]
@@ -370,11 +378,11 @@ def _matched(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order[_spread(a, e - a)], np.repeat(np.arange(len(keys)), e - a)
 
 
-def _remove(width: int, with_kept: bool):
+def _remove(width: int, with_kept: bool, held: Batches):
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept]
 
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
-        table = _opened(table)
+        table = held.read(table)
         buf, offs, ids, absent = _texts(table)
         n = int(offs[-1])
         gone = np.zeros(n + 1, np.int64)
@@ -416,7 +424,8 @@ def _remove(width: int, with_kept: bool):
     return run
 
 
-def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 50, with_kept: bool = False, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+@steps("suffix")
+def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 50, with_kept: bool = False, batch_bytes: int | None = None, scratch: Scratch) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary]), one row for each row of ``docs``.
 
     Texts are UTF-8 bytes. Each byte goes that is covered by a ``width``-byte
@@ -424,30 +433,28 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     overlaps count, strings are judged on the input, and never cross documents.
 
     Null text counts as empty. A row with a null id loses nothing and takes
-    nothing from others. Rows that repeat an id don't take from each other.
-    Texts shorter than ``width`` bytes stay. An empty table gives an empty result.
-    Other columns are not read.
+    nothing from others. Rows that repeat an id, with equal or different texts, don't
+    take from each other. Texts shorter than ``width`` bytes stay; a text longer than
+    ``batch_bytes`` is a batch of its own. An empty table gives an empty result.
+    Other columns are not read, so they may have any name.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "suffix")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    batches = max(1, -(-total // batch_bytes))
-    bits = max(0, (-(-total // SHARD_BYTES)).bit_length())
-    docs = docs.withColumn("b", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(batches))).mapInArrow(_bundle, "b long, rows binary")
-    asked = docs.groupBy("b").applyInArrow(_ask_hashes(width, bits), "shard long, b long, hashes binary, many binary")
+    grown = math.isqrt(1024 * total)
+    bits = max(0, (-(-total // max(SHARD_BYTES, grown))).bit_length())
+    held = Batches(scratch, "batches")
+    files = dealt(scratch.write(held.write(docs, "text", batch_bytes or max(BATCH_BYTES, grown)), "files"))
+    asked = files.applyInArrow(_ask_hashes(width, bits, held), "shard long, b long, hashes binary, many binary")
     hot = scratch.write(asked.groupBy("shard").applyInArrow(_repeated, "b long, hashes binary"), "repeated")
-    free_shuffles(spark)
-    asked = docs.groupBy("b").cogroup(hot.groupBy("b")).applyInArrow(_ask_classes(width, bits), "shard long, b long, rows binary")
+    asked = files.cogroup(hot.groupBy("b")).applyInArrow(_ask_classes(width, bits, held), "shard long, b long, rows binary")
     classes = scratch.write(asked.groupBy("shard").applyInArrow(_classes, "b long, lows binary, wants binary"), "classes")
     scratch.drop("repeated")
-    free_shuffles(spark)
-    asked = docs.groupBy("b").cogroup(classes.select("b", "wants").groupBy("b")).applyInArrow(_ask_contexts(width, bits), "shard long, b long, rows binary, bytes binary")
+    asked = files.cogroup(classes.select("b", "wants").groupBy("b")).applyInArrow(_ask_contexts(width, bits, held), "shard long, b long, rows binary, bytes binary")
     answers = scratch.write(asked.groupBy("shard").applyInArrow(_answer(width), "b long, answers binary"), "answers")
-    free_shuffles(spark)
     none = F.lit(None).cast("binary")
     replies = classes.select("b", "lows", none.alias("answers")).union(answers.select("b", none, "answers"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
-    result = scratch.write(docs.groupBy("b").cogroup(replies.groupBy("b")).applyInArrow(_remove(width, with_kept), schema), "result")
+    result = scratch.write(files.cogroup(replies.groupBy("b")).applyInArrow(_remove(width, with_kept, held), schema), "result")
     scratch.close("result")
     return result
