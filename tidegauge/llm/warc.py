@@ -1,13 +1,17 @@
 """WARC archives as a chunked record table.
 
-A record is one or more rows (record, chunk number, bytes). Writers stream the
-chunks of a record into a gzip member; readers hand out rows of at most
-``chunk`` payload bytes with the SHA-1 and the length so far, so neither side
-holds a whole record.
-
-Archives are written and read through ``pyarrow.fs`` by URI, on the executors,
-into the folder that the cluster shares. A task writes a file under a name of
-its own and reports it when it is complete; only reported files are read.
+A record is one or more rows (record, chunk number, bytes). Payloads are cut into
+chunks once, as they are read, with the SHA-1 and the length so far; the chunk
+rows go into files of bounded size in the shared folder. Which record revisits
+which is decided on narrow rows (number, size, digest). Archives are then written
+from the chunk files, a chunk at a time, into gzip members, and the chunks of
+revisits are passed over; readers hand out rows of at most ``chunk`` payload bytes.
+Payloads are never shuffled, and past the scan of ``pages``, which holds a batch of
+them, no task holds more than a few chunks.
+
+Files are written and read through ``pyarrow.fs`` by URI, on the executors, in
+the folder that the cluster shares. A task writes a file under a name of its own
+and reports it when it is complete; only reported files are read.
 """
 
 from __future__ import annotations
@@ -24,34 +28,96 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, partitions
+from .scratch import Scratch, steps
 
 CHUNK = 1 << 20
+#: A file of chunks ends beyond so many bytes or records.
+FILE_BYTES, FILE_RECORDS = 64 << 20, 100_000
+SALTS = 16
 URN = "urn:page:"
 DATE = "1970-01-01T00:00:00Z"
 FIELDS = "file string, record string, chunk_no int, record_type string, uri string, refers_to string, payload binary, payload_bytes long, payload_digest string, last boolean"
 
 
-def decided(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000) -> DataFrame:
-    """(page_id, url, payload, size, digest, refers_to): which rows revisit which page.
+ROWS = pa.schema([("number", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("chunk_no", pa.int32()), ("payload", pa.binary()), ("size", pa.int64()), ("digest", pa.string()), ("last", pa.bool_())])
+RECORDS = "file string, number long, page_id long, size long, digest string"
+
+
+def _opened_output(name: str):
+    store, path = fs.FileSystem.from_uri(name)
+    store.create_dir(path.rpartition("/")[0], recursive=True)
+    return store.open_output_stream(path)
 
-    Of rows with equal payloads of at least ``least`` bytes, the largest id is
-    the response; rows with another id refer to it.
-    """
-    payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
-    again = rows.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("keeper"), F.count("*").alias("c")).where("c > 1 and keeper is not null").drop("c")
-    revisit = ~F.col("page_id").eqNullSafe(F.col("keeper")) & F.col("keeper").isNotNull()
-    return rows.join(again, ["digest", "size"], "left").withColumn("refers_to", F.when(revisit, F.col("keeper"))).drop("keeper")
 
+class Chunks:
+    """A file of chunk rows that is being written, in batches of a few chunks."""
+
+    def __init__(self, folder: str):
+        self.name = f"{folder}/{uuid.uuid4().hex}.arrow"
+        self.raw = _opened_output(self.name)
+        self.out = pa.ipc.new_stream(self.raw, ROWS, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3)))
+        self.rows: list[tuple] = []
+        self.held = self.bytes = self.records = 0
+
+    def add(self, page: int | None, url: str | None, payload: memoryview, chunk: int) -> tuple:
+        """Write one record; its row of RECORDS."""
+        digest, number = hashlib.sha1(usedforsecurity=False), self.records
+        for no, at in enumerate(range(0, max(len(payload), 1), chunk)):
+            part = payload[at : at + chunk]
+            digest.update(part)
+            done = at + len(part)
+            self.rows.append((number, page, url, no, part, done, digest.hexdigest(), done == len(payload)))
+            self.held += len(part) + 128
+            if self.held >= 4 * CHUNK:
+                self.flush()
+        self.records, self.bytes = number + 1, self.bytes + len(payload)
+        return self.name, number, page, len(payload), digest.hexdigest()
 
-def chunked(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """The chunked record table of ``decided`` rows; revisits have one chunk without bytes."""
-    kept = F.when(F.col("refers_to").isNull(), F.col("payload"))
-    last = F.when(F.col("refers_to").isNull(), F.greatest(F.ceil(F.col("size") / chunk), F.lit(1)) - 1).otherwise(0).cast("int")
-    rows = rows.withColumn("payload", kept)
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
-    return rows.withColumn("payload", F.substring("payload", F.col("chunk_no") * chunk + 1, F.lit(chunk)))
+    def flush(self) -> None:
+        if self.rows:
+            self.out.write_batch(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*self.rows, strict=True), ROWS.types, strict=True)], schema=ROWS))
+        self.rows, self.held = [], 0
+
+    def close(self) -> None:
+        self.flush()
+        self.out.close()
+        self.raw.close()
+
+
+def chunked(pages: DataFrame, folder: str, chunk: int = CHUNK) -> DataFrame:
+    """Write the chunk rows of (page_id, url, payload) below ``folder``; the narrow rows of RECORDS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: Chunks | None = None
+        for batch in batches:
+            made = []
+            for page, url, payload in zip(batch.column("page_id"), batch.column("url"), batch.column("payload"), strict=True):
+                out = out or Chunks(folder)
+                made.append(out.add(page.as_py(), url.as_py(), memoryview(payload.as_buffer() or b""), chunk))
+                if out.bytes >= FILE_BYTES or out.records >= FILE_RECORDS:
+                    out.close()
+                    out = None
+            if made:
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)], names=[x.split()[0] for x in RECORDS.split(", ")])
+        if out:
+            out.close()
+
+    return pages.select("page_id", "url", "payload").mapInArrow(run, RECORDS)
+
+
+def decided(records: DataFrame, least: int = 1000) -> DataFrame:
+    """(file, number, refers_to): the records that revisit a page, and which.
+
+    Of records with equal payloads of at least ``least`` bytes, that with the
+    largest page number is the response; records with another number refer to it. A
+    payload that very many records share meets its response in SALTS tasks.
+    """
+    again = records.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("keeper"), F.count("*").alias("c")).where("c > 1 and keeper is not null").drop("c")
+    again = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = records.where(F.col("size") >= least).withColumn("salt", F.pmod(F.xxhash64("file", "number"), F.lit(SALTS)).cast("int"))
+    rows = rows.join(again.hint("merge"), ["digest", "size", "salt"]).where(~F.col("page_id").eqNullSafe(F.col("keeper")))
+    return rows.select("file", "number", F.col("keeper").alias("refers_to"))
 
 
 def _line(name: str, value: object) -> bytes:
@@ -69,38 +135,46 @@ def _head(r: dict) -> bytes:
     return out + _line("Content-Length", len(http) + (size if refers is None else 0)) + b"\r\n" + http
 
 
-def write(rows: DataFrame, uri: str, *, level: int = 3) -> DataFrame:
-    """Write the chunked record table as gzipped archives below ``uri``; (file, records), one row for each archive.
+def write(records: DataFrame, revisits: DataFrame, uri: str, *, level: int = 3) -> DataFrame:
+    """Write the files of chunk rows that ``records`` name as gzipped archives below ``uri``; (file, records), one row for each archive.
 
-    The chunks of a record follow each other in one partition, as ``chunked`` makes them.
+    The revisits of a file come to it as one row, which is as bounded as the file.
     """
+    files = records.groupBy("file").agg(F.count("*").alias("n"))
+    told = revisits.groupBy("file").agg(F.collect_list(F.struct("number", "refers_to")).alias("revisits"))
+    rows = files.join(told.hint("merge"), "file", "left")
+    rows = rows.repartition(max(1, 2 * files.count()), "file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, out, records, packer = f"{uri}/{uuid.uuid4().hex}.warc.gz", None, 0, None
-
-        def close() -> None:
-            if packer:
-                out.write(packer.compress(b"\r\n\r\n"))
-                out.write(packer.flush())
-
         for batch in batches:
-            heads = batch.select([c for c in batch.schema.names if c != "payload"]).to_pylist()
-            payload = batch.column("payload")
-            for i, r in enumerate(heads):
-                if out is None:
-                    store, path = fs.FileSystem.from_uri(name)
-                    store.create_dir(path.rpartition("/")[0], recursive=True)
-                    out = store.open_output_stream(path)
-                if r["chunk_no"] == 0:
-                    close()
-                    packer, records = zlib.compressobj(level, zlib.DEFLATED, 31), records + 1
-                    out.write(packer.compress(_head(r)))
-                if (b := payload[i].as_buffer()) is not None:
-                    out.write(packer.compress(b))
-        if out is not None:
-            close()
-            out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records], pa.int64())], names=["file", "records"])
+            for row in batch.to_pylist():
+                yield _archive(row["file"], {x["number"]: x["refers_to"] for x in row["revisits"] or ()})
+
+    def _archive(chunks: str, refers: dict[int, int]) -> pa.RecordBatch:
+        # headers need the size and digest of the whole payload, which the last chunk carries
+        store, path = fs.FileSystem.from_uri(chunks)
+        totals = {}
+        with store.open_input_stream(path) as raw, pa.ipc.open_stream(raw) as got:
+            for part in got:
+                part = part.filter(part.column("last"))
+                totals.update(zip(part.column("number").to_pylist(), zip(part.column("size").to_pylist(), part.column("digest").to_pylist(), strict=True), strict=True))
+        name, packer = f"{uri}/{uuid.uuid4().hex}.warc.gz", None
+        with _opened_output(name) as out, store.open_input_stream(path) as raw, pa.ipc.open_stream(raw) as got:
+            for part in got:
+                payload = part.column("payload")
+                heads = part.select(["number", "page_id", "url", "chunk_no", "last"]).to_pylist()
+                for i, r in enumerate(heads):
+                    number = r["number"]
+                    if r["chunk_no"] == 0:
+                        packer = zlib.compressobj(level, zlib.DEFLATED, 31)
+                        size, digest = totals[number]
+                        out.write(packer.compress(_head(r | {"size": size, "digest": digest, "refers_to": refers.get(number)})))
+                    if number not in refers:
+                        out.write(packer.compress(payload[i].as_buffer()))
+                    if r["last"]:
+                        out.write(packer.compress(b"\r\n\r\n"))
+                        out.write(packer.flush())
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(totals)], pa.int64())], names=["file", "records"])
 
     return rows.mapInArrow(run, "file string, records long")
 
@@ -166,7 +240,7 @@ def read(files: DataFrame, *, chunk: int = CHUNK, with_payload: bool = True) ->
                 if rows:
                     yield _rows(rows)
 
-    return files.select("file").repartition(partitions(files.sparkSession), "file").mapInArrow(run, FIELDS)
+    return files.select("file").repartition(max(1, 2 * files.count()), "file").mapInArrow(run, FIELDS)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -174,19 +248,22 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in FIELDS.split(", ")])
 
 
-def archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+@steps("warc")
+def archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000, chunk: int = CHUNK, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Write ``pages`` as WARC archives into the shared folder; the table of archives and their records as read back (without bytes).
 
     A null payload counts as empty, a null URL is left out of the header, and line
     breaks in a URL are escaped. Rows with a null id become records without a
     page number; they may revisit, and are never referred to. Rows that repeat an
     id are records of their own; of equal payloads those with the largest id are
-    all responses. An empty table gives no archives. Other columns are not read.
+    all responses. An empty table gives no archives. Other columns are not read, so
+    they may have any name.
     """
-    spark = pages.sparkSession
-    scratch = Scratch(spark, "warc")
-    rows = chunked(decided(pages, id_col=id_col, url_col=url_col, payload_col=payload_col, least=least), chunk)
-    files = scratch.write(write(rows, scratch.path("archives")), "files")
+    payload = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    records = scratch.write(chunked(rows, scratch.path("chunks"), chunk), "records")
+    files = scratch.write(write(records, decided(records, least), scratch.path("archives")), "files")
+    scratch.close("archives", "files")
     return files, read(files, chunk=chunk, with_payload=False)
 
 
