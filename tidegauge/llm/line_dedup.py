@@ -1,11 +1,16 @@
 """Removal of lines that many documents share.
 
-A sharded minimal perfect hash over the hashes of the lines that reach the
-threshold indexes compact fingerprint and count arrays, and documents probe the
-arrays. Where all shards together stay under a byte bound, measured on the
-written index, they are broadcast and the documents are read once, without any
-shuffle of text. Beyond the bound, line hashes are routed to their shard (salted,
-so that a hot line meets no single task) and only the decisions return.
+A sharded minimal perfect hash over all distinct line hashes indexes compact
+fingerprint and saturating count arrays, and documents probe the arrays: a line
+whose count reaches the threshold goes. Shards are built where the counts of their
+lines meet. Each keeps its arrays over all lines, and the same over those alone
+that its counts show to reach the threshold.
+
+Where the arrays over all lines stay under a byte bound, measured as they lie in
+memory, they are broadcast; else those over the lines that reach it, which decide
+alike. Either way the documents are read once, without any shuffle of text. Where
+those don't fit either, documents are cut into batches, whose distinct line hashes
+are routed to the shards, and only decisions return.
 """
 
 from __future__ import annotations
@@ -14,17 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import Batches, dealt
 from .perfect_hash import PerfectHash
-from .scratch import Scratch, partitions
+from .scratch import Scratch, steps
 from .textvec import LOWER, MULS, SPACE, U, flat, mix, slices, span_hash
 
-SHARD_KEYS = 50_000
-BROADCAST_BYTES = 48 << 20
+#: Bytes of text whose lines a shard has on average, of arrays that are broadcast, and of text in a routed batch.
+SHARD_BYTES, BROADCAST_BYTES, BATCH_BYTES = 32 << 20, 48 << 20, 16 << 20
 
 
 class Lines:
@@ -75,29 +80,58 @@ class Lines:
         return pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.string())
 
 
-def _tally(least: int):
+def _merged(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, sorted by their first word, and the sums of ``n``."""
+    order = np.lexsort((b, a))
+    a, b, n = a[order], b[order], n[order]
+    at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.empty(0, np.int64)
+    return a[at], b[at], np.add.reduceat(n, at) if len(at) else n
+
+
+def _cut(a: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shards of sorted first words, and their borders."""
+    shard = _shard(a, bits)
+    border = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(a) else np.empty(0, np.int64)
+    return shard[border], np.append(border, len(a))
+
+
+def _tally(least: int, bits: int):
+    """Rows (shard, keys, counts): the keys of a stretch of documents, counted once a document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             x = Lines(batch.column("text"), least)
-            if not len(x.some):
-                continue
             doc = x.doc[x.some]
             order = np.lexsort((x.h2, x.h1, doc))
             d, a, b = doc[order], x.h1[order], x.h2[order]
             new = np.ones(len(d), bool)
             new[1:] = (d[1:] != d[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            a, b = a[new], b[new]
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            yield pa.RecordBatch.from_arrays([pa.array(a[at].view(np.int64)), pa.array(b[at].view(np.int64)), pa.array(np.diff(np.append(at, len(a))))], names=["h1", "h2", "n"])
+            a, b, n = _merged(a[new], b[new], np.ones(int(new.sum()), np.int64))
+            shard, border = _cut(a, bits)
+            spans = list(zip(border, border[1:], strict=False))
+            keys = np.stack([a, b], 1)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array([keys[s:e].tobytes() for s, e in spans], pa.binary()), pa.array([n[s:e].astype(np.int32).tobytes() for s, e in spans], pa.binary())], names=["shard", "keys", "counts"])
 
     return run
 
 
-def _build(table: pa.Table) -> pa.Table:
-    made = PerfectHash.build(table.column("h1").to_numpy().view(U), table.column("h2").to_numpy().view(U), table.column("n").to_numpy())
-    return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int64()), "arrays": pa.array([made.dumps()], pa.binary())})
+def _keys(column) -> np.ndarray:
+    return np.concatenate([np.empty((0, 2), U), *[np.frombuffer(x.as_buffer(), U).reshape(-1, 2) for x in column]])
+
+
+def _build(min_docs: int):
+    """The arrays of a shard: over all its lines, with fingerprints of 16 bits (those that are asked for are in the set), and over those that reach the threshold, with 64 bits (others are asked for too)."""
+    kind = np.uint8 if min_docs < 1 << 8 else np.uint16 if min_docs < 1 << 16 else np.int64
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = _keys(table.column("keys"))
+        a, b, n = _merged(keys[:, 0], keys[:, 1], np.concatenate([np.frombuffer(x.as_buffer(), np.int32).astype(np.int64) for x in table.column("counts")]))
+        whole = PerfectHash.build(a, b, n, fingerprint=np.uint16, count=kind)
+        often = whole.counts[whole.index(a, b)] >= min_docs
+        common = PerfectHash.build(a[often], b[often], n[often], count=kind)
+        return pa.table({"shard": table.column("shard")[:1], "whole_bytes": pa.array([whole.nbytes], pa.int64()), "common_bytes": pa.array([common.nbytes], pa.int64()), "whole": pa.array([whole.dumps()], pa.binary()), "common": pa.array([common.dumps()], pa.binary())})
+
+    return run
 
 
 def _shard(h1: np.ndarray, bits: int) -> np.ndarray:
@@ -120,7 +154,8 @@ def _rewrite(schema: T.StructType, least: int, text: str, decide):
     return run
 
 
-def drop_common_lines(docs: DataFrame, *, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+@steps("lines")
+def drop_common_lines(docs: DataFrame, *, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, broadcast_bytes: int = BROADCAST_BYTES, batch_bytes: int = BATCH_BYTES, scratch: Scratch) -> DataFrame:
     """``docs`` with the text of each row without its common lines, and the columns ``n_lines`` (before) and ``n_dropped``.
 
     A line's key is the line without ASCII white space at both ends, A-Z lowered.
@@ -129,23 +164,22 @@ def drop_common_lines(docs: DataFrame, *, text_col: str = "text", min_docs: int
 
     Null and empty texts have one empty line and come back as empty text. Every
     row counts as a document of its own, repeated ids included. Input columns
-    called n_lines or n_dropped are replaced; all others pass unchanged. An empty
-    table gives an empty result. Lines are compared by 128 bits of hash.
+    called n_lines or n_dropped are replaced; all others pass unchanged, whatever
+    their names. An empty table gives an empty result. Lines are compared by 128 bits
+    of hash.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "lines")
     docs = docs.drop("n_lines", "n_dropped")
-    text = docs.select(F.col(text_col).alias("text"))
-    common = text.mapInArrow(_tally(min_chars), "h1 long, h2 long, n long").groupBy("h1", "h2").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs)
-    common = scratch.write(common, "common")
-    keys = common.count()
-    bits = max(0, (max(keys, 1) // SHARD_KEYS).bit_length())
-    shard = F.shiftrightunsigned("h1", 64 - bits) if bits else F.lit(0).cast("long")
-    index = scratch.write(common.withColumn("shard", shard).groupBy("shard").applyInArrow(_build, "shard long, arrays binary"), "index")
-    size = index.agg(F.sum(F.octet_length("arrays"))).first()[0] or 0
+    text = docs.select(F.col(text_col).cast("string").alias("text"))
+    total = text.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    bits = max(0, (total // SHARD_BYTES).bit_length())
+    counted = text.mapInArrow(_tally(min_chars, bits), "shard long, keys binary, counts binary")
+    index = scratch.write(counted.groupBy("shard").applyInArrow(_build(min_docs), "shard long, whole_bytes long, common_bytes long, whole binary, common binary"), "index")
+    whole, common = index.agg(F.sum("whole_bytes"), F.sum("common_bytes")).first()
+    arrays = "whole" if (whole or 0) <= broadcast_bytes else "common"
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    if size <= broadcast_bytes:
-        held = spark.sparkContext.broadcast({r.shard: bytes(r.arrays) for r in index.collect()})
+    if (whole or 0) <= broadcast_bytes or (common or 0) <= broadcast_bytes:
+        held = spark.sparkContext.broadcast({r[0]: bytes(r[1]) for r in index.select("shard", arrays).collect()})
         scratch.close()
         opened: dict[int, PerfectHash] = {}
 
@@ -153,7 +187,7 @@ def drop_common_lines(docs: DataFrame, *, text_col: str = "text", min_docs: int
             return _probe(opened, held.value.get, x.h1, x.h2, bits) >= min_docs
 
         return docs.mapInArrow(_rewrite(schema, min_chars, text_col, decide), schema)
-    return _routed(docs, text_col, min_docs, min_chars, index, bits, schema, scratch)
+    return _routed(docs, text_col, min_docs, min_chars, index, bits, schema, batch_bytes, scratch)
 
 
 def _probe(opened: dict, fetch, h1: np.ndarray, h2: np.ndarray, bits: int) -> np.ndarray:
@@ -171,57 +205,49 @@ def _probe(opened: dict, fetch, h1: np.ndarray, h2: np.ndarray, bits: int) -> np
     return out
 
 
-def _routed(docs, text_col, min_docs, min_chars, index, bits, schema, scratch):
-    """The way beyond the broadcast bound: decisions are made at the shards and return by a digest of the text, of which they are a function."""
-    spark = docs.sparkSession
-    uid = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+def _routed(docs, text_col, min_docs, min_chars, index, bits, schema, batch_bytes, scratch):
+    """The way beyond the broadcast bound: the shards decide, for batches of documents."""
+    held = Batches(scratch, "batches")
+    files = dealt(scratch.write(held.write(docs, text_col, batch_bytes), "files"))
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            x = Lines(batch.column("text"), min_chars)
-            doc, shard = x.doc[x.some], _shard(x.h1, bits)
-            order = np.lexsort((shard, doc))
-            cut = np.flatnonzero((np.diff(doc[order]) != 0) | (np.diff(shard[order]) != 0)) + 1
-            parts = [p for p in np.split(order, cut) if len(p)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([int(shard[p[0]]) for p in parts], pa.int64()),
-                    pc.take(batch.column("uid"), pa.array([int(doc[p[0]]) for p in parts], pa.int64())),
-                    pa.array([np.unique(np.stack([x.h1[p], x.h2[p]], 1), axis=0).tobytes() for p in parts], pa.binary()),
-                ],
-                names=["shard", "uid", "hashes"],
-            )
+    def ask(table: pa.Table) -> pa.Table:
+        shards, keys = [], []
+        got = held.read(table)
+        parts = [Lines(batch.column(text_col), min_chars) for batch in slices(iter(got.to_batches()), text_col)]
+        a, b, _ = _merged(*(np.concatenate([np.empty(0, U), *[getattr(x, h) for x in parts]]) for h in ("h1", "h2")), np.ones(sum(len(x.h1) for x in parts), np.int64))
+        shards, border = _cut(a, bits)
+        keys = np.stack([a, b], 1)
+        return pa.table({"shard": pa.array(shards), "b": pa.array([table.column("b")[0].as_py()] * len(shards), pa.int64()), "keys": pa.array([keys[s:e].tobytes() for s, e in zip(border, border[1:], strict=False)], pa.binary())})
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        uids, found = [], []
-        if right.num_rows:
-            arrays = PerfectHash.loads(right.column("arrays")[0].as_py())
-            for u, blob in zip(left.column("uid"), left.column("hashes"), strict=True):
+        found = []
+        if left.num_rows:
+            arrays = PerfectHash.loads(right.column("whole")[0].as_py())
+            for blob in left.column("keys"):
                 h = np.frombuffer(blob.as_buffer(), U).reshape(-1, 2)
-                h = h[arrays.count_of(h[:, 0], h[:, 1]) >= min_docs]
-                if len(h):
-                    uids.append(u.as_py())
-                    found.append(h.tobytes())
-        return pa.table({"uid": pa.array(uids, pa.string()), "hashes": pa.array(found, pa.binary())})
-
-    asked = docs.select(F.col(text_col).alias("text"), uid.alias("uid")).dropDuplicates(["uid"]).mapInArrow(ask, "shard long, uid string, hashes binary")
-    salts = max(1, partitions(spark) // max(1, 1 << bits))
-    asked = asked.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(salts)))
-    ready = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
-    replies = asked.groupBy("shard", "salt").cogroup(ready.groupBy("shard", "salt")).applyInArrow(answer, "uid string, hashes binary")
-    replies = scratch.write(replies.groupBy("uid").agg(F.collect_list("hashes").alias("hashes")), "replies")
-    scratch.close("replies")
-
-    def decide(batch: pa.RecordBatch, x: Lines) -> np.ndarray:
-        out = np.zeros(len(x.some), bool)
-        doc = x.doc[x.some]
-        for i, blobs in enumerate(batch.column("__found").to_pylist()):
-            if blobs:
-                h = np.frombuffer(b"".join(blobs), U).reshape(-1, 2)
-                at = np.arange(*np.searchsorted(doc, [i, i + 1]))
-                gone = set(map(tuple, h.tolist()))
-                out[at] = [(a, b) in gone for a, b in zip(x.h1[at].tolist(), x.h2[at].tolist(), strict=True)]
-        return out
-
-    joined = docs.withColumn("__uid", uid).join(replies.select(F.col("uid").alias("__uid"), F.col("hashes").alias("__found")), "__uid", "left").drop("__uid")
-    return joined.mapInArrow(_rewrite(schema, min_chars, text_col, decide), schema)
+                found.append(h[arrays.count_of(h[:, 0], h[:, 1]) >= min_docs].tobytes())
+        return pa.table({"b": left.column("b"), "keys": pa.array(found, pa.binary())})
+
+    def drop(table: pa.Table, replies: pa.Table) -> pa.Table:
+        common = _keys(replies.column("keys"))
+        order = np.lexsort((common[:, 1], common[:, 0]))
+        common = common[order]
+
+        def decide(_, x: Lines) -> np.ndarray:
+            if not len(common):
+                return np.zeros(len(x.h1), bool)
+            # first words of two lines may be equal: look at the second words of the whole run
+            at, end = np.searchsorted(common[:, 0], x.h1), np.searchsorted(common[:, 0], x.h1, side="right")
+            out = np.zeros(len(x.h1), bool)
+            while (more := np.flatnonzero(at < end)).size:
+                out[more] |= common[at[more], 1] == x.h2[more]
+                at[more] += 1
+            return out
+
+        return pa.Table.from_batches(list(_rewrite(schema, min_chars, text_col, decide)(iter(held.read(table).to_batches()))))
+
+    asked = files.applyInArrow(ask, "shard long, b long, keys binary")
+    replies = scratch.write(asked.groupBy("shard").cogroup(index.select("shard", "whole").groupBy("shard")).applyInArrow(answer, "b long, keys binary"), "replies")
+    result = scratch.write(files.cogroup(replies.groupBy("b")).applyInArrow(drop, schema), "result")
+    scratch.close("result")
+    return result

@@ -1,8 +1,10 @@
-"""A minimal perfect hash over 64-bit keys, with a fingerprint and a count for each key.
+"""A minimal perfect hash over 128-bit keys, with a fingerprint and a saturating count for each key.
 
 Levels of bit arrays: a key that is alone at its place on a level is placed
 there, the others go on to the next level; its index is the number of set bits
-before it. All steps work on whole arrays.
+before it. The bits of all levels lie in 64-bit words, with the number of set bits
+before each word, so that a key takes about 4 bits besides its fingerprint and
+count. All steps work on whole arrays.
 """
 
 from __future__ import annotations
@@ -17,62 +19,70 @@ GAMMA = 1.7
 
 
 class PerfectHash:
-    def __init__(self, levels: list[np.ndarray], fingerprints: np.ndarray, counts: np.ndarray):
-        self.levels, self.fingerprints, self.counts = levels, fingerprints, counts
-        base = 0
-        self.ranks = []
-        for bits in levels:
-            self.ranks.append(base + np.cumsum(bits, dtype=np.int64) - bits)
-            base += int(np.count_nonzero(bits))
+    """``fingerprints`` are low bits of the keys' second words; ``counts`` stay at the most that their type holds."""
+
+    def __init__(self, sizes: np.ndarray, words: np.ndarray, fingerprints: np.ndarray, counts: np.ndarray):
+        self.sizes, self.words, self.fingerprints, self.counts = sizes, words, fingerprints, counts
+        ones = np.bitwise_count(words)
+        self.before = (np.cumsum(ones, dtype=np.int64) - ones).astype(np.uint32)
+
+    @property
+    def nbytes(self) -> int:
+        """Bytes in memory."""
+        return sum(x.nbytes for x in (self.sizes, self.words, self.before, self.fingerprints, self.counts))
 
     @staticmethod
-    def place(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-        return (mix(keys + U((int(MULS[level % 4]) * (level + 1)) & (2**64 - 1))) % U(size)).astype(np.int64)
+    def place(first: np.ndarray, second: np.ndarray, level: int, size: int) -> np.ndarray:
+        turn = U((int(MULS[level % 4]) * (level + 1)) & (2**64 - 1))
+        return (mix(mix(first + turn) ^ (second * MULS[4] + turn)) % U(size)).astype(np.int64)
 
     @classmethod
-    def build(cls, keys: np.ndarray, fingerprints: np.ndarray, counts: np.ndarray) -> PerfectHash:
-        """``keys`` are distinct."""
-        levels, live = [], np.arange(len(keys))
+    def build(cls, first: np.ndarray, second: np.ndarray, counts: np.ndarray, *, fingerprint: type = np.uint64, count: type = np.int64) -> PerfectHash:
+        """The keys (first, second) are distinct."""
+        levels, live = [np.zeros(0, bool)], np.arange(len(first))
         while len(live):
             size = int(GAMMA * len(live)) + 1
-            at = cls.place(keys[live], len(levels), size)
+            at = cls.place(first[live], second[live], len(levels) - 1, size)
             alone = np.bincount(at, minlength=size) == 1
             levels.append(alone)
             live = live[~alone[at]]
-        made = cls(levels, np.empty(len(keys), U), np.empty(len(keys), np.int64))
-        index = made.index(keys)
-        made.fingerprints[index], made.counts[index] = fingerprints, counts
+        bits = np.concatenate(levels)
+        packed = np.packbits(np.append(bits, np.zeros(-len(bits) % 64, bool)), bitorder="little").view("<u8")
+        made = cls(np.array([len(x) for x in levels[1:]], np.int64), packed, np.empty(len(first), fingerprint), np.empty(len(first), count))
+        index = made.index(first, second)
+        made.fingerprints[index] = second.astype(fingerprint)
+        made.counts[index] = np.minimum(counts, np.iinfo(count).max)
         return made
 
-    def index(self, keys: np.ndarray) -> np.ndarray:
+    def index(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """The place of each key; of a key that isn't in the set, any place or -1."""
-        out, live = np.full(len(keys), -1, np.int64), np.arange(len(keys))
-        for i, bits in enumerate(self.levels):
+        out, live, base = np.full(len(first), -1, np.int64), np.arange(len(first)), 0
+        for level, size in enumerate(self.sizes.tolist()):
             if not len(live):
                 break
-            at = self.place(keys[live], i, len(bits))
-            hit = bits[at]
-            out[live[hit]] = self.ranks[i][at[hit]]
+            at = base + self.place(first[live], second[live], level, size)
+            word, bit = self.words[at >> 6], (at & 63).astype(U)
+            hit = (word >> bit & U(1)).astype(bool)
+            rank = self.before[at >> 6] + np.bitwise_count(word & ((U(1) << bit) - U(1)))
+            out[live[hit]] = rank[hit]
             live = live[~hit]
+            base += size
         return out
 
-    def count_of(self, keys: np.ndarray, fingerprints: np.ndarray) -> np.ndarray:
+    def count_of(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """The count of each key, 0 where the fingerprint says that it isn't in the set."""
         if not len(self.counts):
-            return np.zeros(len(keys), np.int64)
-        at = self.index(keys)
+            return np.zeros(len(first), np.int64)
+        at = self.index(first, second)
         safe = np.maximum(at, 0)
-        return np.where((at >= 0) & (self.fingerprints[safe] == fingerprints), self.counts[safe], 0)
+        return np.where((at >= 0) & (self.fingerprints[safe] == second.astype(self.fingerprints.dtype)), self.counts[safe], 0).astype(np.int64)
 
     def dumps(self) -> bytes:
         out = io.BytesIO()
-        bits = np.concatenate(self.levels) if self.levels else np.empty(0, bool)
-        np.savez(out, sizes=np.array([len(x) for x in self.levels], np.int64), bits=np.packbits(bits), fingerprints=self.fingerprints, counts=self.counts)
+        np.savez(out, sizes=self.sizes, words=self.words, fingerprints=self.fingerprints, counts=self.counts)
         return out.getvalue()
 
     @classmethod
     def loads(cls, blob: bytes) -> PerfectHash:
         z = np.load(io.BytesIO(blob))
-        sizes = z["sizes"]
-        bits = np.unpackbits(z["bits"], count=int(sizes.sum())).astype(bool)
-        return cls(np.split(bits, np.cumsum(sizes)[:-1]) if len(sizes) else [], z["fingerprints"], z["counts"])
+        return cls(z["sizes"], z["words"], z["fingerprints"], z["counts"])
