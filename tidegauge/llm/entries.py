@@ -92,19 +92,20 @@ def secret_sql(kinds) -> str:
     parts = []
     for i, (kind, pattern, group, least) in enumerate(kinds):
         p = pattern.replace("}+", "}").replace("*+", "*").replace("'", "''")
-        parts.append(f"SELECT doc_id, source, {i} AS ord, '{kind}' AS kind, {least} AS least, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {group}) AS v, string_split_regex(t, '{p}') AS s FROM t WHERE regexp_matches(t, '{p}')")
+        parts.append(f"SELECT doc_id, repo, source, {i} AS ord, '{kind}' AS kind, {least} AS least, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {group}) AS v, string_split_regex(t, '{p}') AS s FROM t WHERE regexp_matches(t, '{p}')")
     return f"""
-WITH t AS (SELECT doc_id, coalesce(source, '?') AS source, coalesce(text, '') AS t FROM documents),
+WITH t AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '?') AS repo, coalesce(source, '?') AS source, coalesce(text, '') AS t FROM documents),
 k AS ({" UNION ALL ".join(parts)}),
-e AS (SELECT doc_id, source, ord, kind, least, m, v, s, unnest(range(1, len(m) + 1)) AS i FROM k),
-f AS (SELECT doc_id, source, ord, kind, v[i] AS value, length(m[i]) AS n, list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a FROM e WHERE length(v[i]) >= least),
-o AS (SELECT value, count(DISTINCT source) AS owners FROM f GROUP BY value),
-g AS (SELECT doc_id, ord, owners, a, kind || ':' || a::BIGINT || ':' || (a + n)::BIGINT AS span FROM f JOIN o ON o.value = f.value)
+e AS (SELECT doc_id, repo, source, ord, kind, least, m, v, s, unnest(range(1, len(m) + 1)) AS i FROM k),
+f AS (SELECT doc_id, repo, source, ord, kind, v[i] AS value, length(m[i]) AS n, list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a FROM e WHERE length(v[i]) >= least),
+o AS (SELECT value, count(DISTINCT source) AS owners, count(DISTINCT repo) AS repos FROM f GROUP BY value),
+g AS (SELECT doc_id, ord, owners <= 1 AND repos <= 10 AS live, owners || ':' || repos AS held, a, kind || ':' || a::BIGINT || ':' || (a + n)::BIGINT AS span FROM f JOIN o ON o.value = f.value)
 SELECT t.doc_id, count(*) FILTER (WHERE ord = 0) AS n_assign, count(*) FILTER (WHERE ord = 1) AS n_access, count(*) FILTER (WHERE ord = 2) AS n_hex,
        sha256(coalesce(string_agg(span, ',' ORDER BY a, ord) FILTER (WHERE ord < 3), '')) AS base_sha256,
-       coalesce(string_agg(span, ',' ORDER BY a, ord) FILTER (WHERE ord < 3 OR owners <= 1), '') AS spans,
-       coalesce(string_agg(span, ',' ORDER BY a, ord) FILTER (WHERE owners <= 1), '') AS live_spans,
-       count(*) FILTER (WHERE ord < 3 AND owners > 1) AS n_copied
+       coalesce(string_agg(span, ',' ORDER BY a, ord) FILTER (WHERE ord < 3 OR live), '') AS spans,
+       coalesce(string_agg(held, ',' ORDER BY a, ord) FILTER (WHERE ord < 3 OR live), '') AS held_by,
+       coalesce(string_agg(span, ',' ORDER BY a, ord) FILTER (WHERE live), '') AS live_spans,
+       count(*) FILTER (WHERE ord < 3 AND NOT live) AS n_copied
 FROM t LEFT JOIN g ON g.doc_id = t.doc_id GROUP BY t.doc_id
 """
 
@@ -134,14 +135,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op10_line_dedup"] = r"""
-WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+WITH d AS (SELECT *, row_number() OVER () AS row FROM documents),
+l AS (SELECT row, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM d),
 k AS (SELECT *, translate(regexp_replace(line, '^[ 	-
 ]+|[ 	-
 ]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
-c AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+c AS (SELECT key FROM (SELECT DISTINCT row, key FROM k WHERE key <> '') GROUP BY key HAVING count(*) >= 10)
 SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
-FROM k LEFT JOIN c ON c.key = k.key GROUP BY doc_id
+FROM k LEFT JOIN c ON c.key = k.key GROUP BY row, doc_id
 """
 
 
