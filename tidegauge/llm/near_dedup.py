@@ -11,16 +11,15 @@ How it stays linear where copies are many:
 * a bucket of a band never emits its pairs. It gives a star around its smallest
   id, of which the likely pairs (by a sketch of 128 bytes) are contracted to
   clusters;
-* only buckets that then still hold several clusters are looked at again, in
-  blocks of about ``block`` rows, and give a spanning forest of their likely
-  pairs at most;
-* the full sets of a cluster meet in tasks of bounded bytes, where its likely
-  pairs are confirmed unless both are known to be connected; a task gives a
-  spanning forest of its links at most.
-
-A group of m documents of which many pairs are just below the threshold costs
-time with the square of m, in vectorised comparisons, but rows in proportion
-to m.
+* only buckets that then still hold several clusters are looked at again, and
+  give a spanning forest of their likely pairs at most;
+* the full sets of a cluster meet in one task, where its likely pairs are
+  confirmed unless both are known to be connected; a task gives a spanning forest of
+  its links at most;
+* buckets of more than ``block`` rows and clusters of more than CLUSTER_BYTES are
+  written in blocks, each once, and every two blocks are compared in a task that
+  reads them by name. Rows and shuffled bytes stay in proportion to the group;
+  what is read and compared grows with its square, divided among tasks.
 """
 
 from __future__ import annotations
@@ -32,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import Batches
 from .components import components
-from .scratch import Scratch, free_shuffles, partitions
+from .scratch import Scratch, partitions, steps
 from .textvec import MULS, SPACE, U, Circulant, distinct, mix, shingles, signed, slices, word_hashes
 
 BANDS, ROWS, SKETCH, LEAST = 36, 5, 128, 80
-CLUSTER_BYTES = 16 << 20
+CLUSTER_BYTES, TASK_BYTES = 16 << 20, 64 << 20
 
 
 def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,14 +205,40 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(pa.array(np.count_nonzero(x == y, axis=1) >= LEAST))
 
 
-def _blocks(rows: DataFrame, key: str, count: str, n: int) -> DataFrame:
-    """``rows`` of groups dealt to ``count`` blocks a group, each row to all pairs of blocks that hold its own."""
-    rows = rows.withColumn("side", F.expr(f"int(pmod(xxhash64(id, 7), {count}))")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(count).cast("int") - 1)))
-    rows = rows.withColumns({"p": F.least("side", "other"), "q": F.greatest("side", "other")})
-    return rows.repartition(n, key, "p", "q").sortWithinPartitions(key, "p", "q", "id")
+def _compared(rows: DataFrame, key: str, count: str, columns: list[str], work, n: int, scratch: Scratch, name: str) -> DataFrame:
+    """(a, b) pairs that ``work`` finds within the groups of ``key``: in one task, or between blocks where ``count`` of them are needed."""
+    columns = [key, "id", *columns]
+    alone = rows.where(F.col(count) <= 1).select(*columns, *[F.lit(0).alias(c) for c in ("side", "p", "q")])
+    out = alone.repartition(n, key).sortWithinPartitions(key, "id").mapInArrow(_groups([key], work), "a long, b long")
 
+    held = Batches(scratch, f"{name}_blocks")
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, block: int = 2000) -> DataFrame:
+    def put(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id").combine_chunks()
+        b = held.put(table.to_batches())
+        return pa.table({key: table.column(key)[:1], "side": table.column("side")[:1], "b": pa.array([b], pa.int64())})
+
+    large = rows.where(F.col(count) > 1).withColumn("side", F.expr(f"int(pmod(xxhash64(id, 7), {count}))")).select(*columns, "side")
+    blocks = scratch.write(large.groupBy(key, "side").applyInArrow(put, f"{key} long, side int, b long"), f"{name}_files")
+    if not blocks.head(1):
+        return out
+    other = blocks.select(key, F.col("side").alias("q"), F.col("b").alias("other"))
+    pairs = scratch.write(blocks.withColumnRenamed("side", "p").join(other.hint("merge"), key).where("p <= q").select("p", "q", "b", "other"), f"{name}_pairs")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                table = pa.concat_tables([held.read(x) for x in ([r["b"]] if r["p"] == r["q"] else [r["b"], r["other"]])])
+                for c in "pq":
+                    table = table.append_column(c, pa.array(np.full(table.num_rows, r[c], np.int32)))
+                for a, b in work(table):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+    return out.union(pairs.repartition(max(1, 2 * pairs.count()), "b", "other").mapInArrow(compare, "a long, b long"))
+
+
+@steps("near")
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, block: int = 2000, scratch: Scratch) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row for each row of ``docs``.
 
     Words are runs of bytes other than ASCII white space, with A-Z lowered. A
@@ -229,7 +255,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     exactly 0.8 misses all bands with probability (1 - 0.8**5)**36 < 1e-6.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "near")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sigs = scratch.write(docs.mapInArrow(_signatures(shingle), "doc_id long, n long, fp1 long, fp2 long, bands array<long>, sketch binary"), "sigs")
     real = sigs.where("n > 0 and doc_id is not null")
@@ -239,28 +264,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     banded = reps.select("id", "n", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("pivot")).where("c > 1")
     buckets = scratch.write(banded.join(shared, "key").select("key", "id", "n", "c", "pivot"), "buckets")
-    free_shuffles(spark)
     sketches = reps.select("id", "n", "sketch")
     stars = buckets.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     stars = stars.join(sketches.withColumnRenamed("id", "a").hint("merge"), "a").join(sketches.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("pivot_sketch")).hint("merge"), "b")
     stars = stars.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("a", "b", "sketch", "pivot_sketch").mapInArrow(_stars, "a long, b long")
     near = components(stars, scratch, "near")
-    free_shuffles(spark)
 
     tagged = buckets.join(near.hint("merge"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     mixed = tagged.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / block).alias("nb")).where("lo < hi").select("key", "nb")
     rest = tagged.join(mixed.hint("merge"), "key").join(reps.select("id", "sketch").hint("merge"), "id")
-    forest = scratch.write(_blocks(rest, "key", "nb", partitions(spark)).select("key", "p", "q", "side", "id", "component", "n", "sketch").mapInArrow(_groups(["key", "p", "q"], _forest(percent)), "a long, b long"), "forest")
+    tasks = max(partitions(spark), 8 * (sigs.agg(F.sum("n")).first()[0] or 0) // TASK_BYTES)
+    forest = scratch.write(_compared(rest, "key", "nb", ["component", "n", "sketch"], _forest(percent), tasks, scratch, "forest"), "forest")
     clusters = components(near.select(F.col("id").alias("a"), F.col("component").alias("b")).union(forest), scratch, "clusters")
-    scratch.drop("buckets", "forest")
-    free_shuffles(spark)
+    scratch.drop("buckets", "forest", "forest_blocks")
 
     clusters = scratch.write(clusters.union(clusters.select("component", "component")).distinct(), "members")
     sets = docs.join(clusters.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(shingle), "id long, members binary")
     held = clusters.join(sketches.hint("merge"), "id")
     count = held.groupBy("component").agg(F.ceil(8 * F.sum("n") / CLUSTER_BYTES).alias("nb"))
     held = held.join(count.hint("merge"), "component").join(sets.hint("merge"), "id").where(F.octet_length("members") == 8 * F.col("n"))
-    links = scratch.write(_blocks(held, "component", "nb", partitions(spark)).select("component", "p", "q", "side", "id", "n", "sketch", "members").mapInArrow(_groups(["component", "p", "q"], _exact(percent)), "a long, b long"), "links")
+    links = scratch.write(_compared(held, "component", "nb", ["n", "sketch", "members"], _exact(percent), tasks, scratch, "links"), "links")
     final = components(links, scratch, "cc")
     out = sigs.join(classes, ["fp1", "fp2", "n"], "left").withColumn("id", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))).join(final, "id", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
