@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pathlib
 import random
 import re
 import types
@@ -11,6 +12,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tidegauge.llm import decontaminate, entries, fingerprints, importance, licenses, line_dedup, near_dedup, packing, secrets, suffix_dedup, warc
@@ -68,7 +70,7 @@ def grams(w, k):
 
 
 @pytest.mark.parametrize("k", [2, 5])
-def test_near_duplicates(corpus, empty, k):
+def test_near_duplicates(corpus, empty, k, monkeypatch):
     rows, docs = corpus
     sets = [(d, grams(words(t), k)) for d, t in rows]
     low = {d: d for d, _ in rows if d is not None}
@@ -81,8 +83,10 @@ def test_near_duplicates(corpus, empty, k):
         if old == low:
             break
     want = [(d, len(s), low.get(d), None if d is None else low[d] == d) for d, s in sets]
-    out = near_dedup.near_duplicates(docs, shingle=k, block=7)
-    assert got(out, "doc_id", "n_shingles", "component_id", "kept") == like(want)
+    for cluster in (near_dedup.CLUSTER_BYTES, 4000):
+        monkeypatch.setattr(near_dedup, "CLUSTER_BYTES", cluster)
+        out = near_dedup.near_duplicates(docs, shingle=k, block=7)
+        assert got(out, "doc_id", "n_shingles", "component_id", "kept") == like(want)
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
@@ -232,8 +236,6 @@ def test_fingerprint_likeness_is_near_the_truth(spark):
         b = a[: 10 * i] + [f"w{r.randrange(10**6)}" for _ in range(600 - 10 * i)]
         x, y = grams(a, 5), grams(b, 5)
         rows.append((" ".join(a), " ".join(b), len(x & y) / len(x | y)))
-    from pyspark.sql import functions as F
-
     found = spark.createDataFrame(rows, "a string, b string, j double").select("j", fingerprints.likeness(fingerprints.sketch(F.col("a"), 5), fingerprints.sketch(F.col("b"), 5)).alias("e")).collect()
     assert np.mean([abs(x.j - x.e) for x in found]) < 0.04
     assert abs(np.mean([x.j - x.e for x in found])) < 0.02
@@ -296,12 +298,15 @@ def plain_lines(rows, min_docs, min_chars=1):
     return out
 
 
-@pytest.mark.parametrize("bound", [1 << 20, -1])
+@pytest.mark.parametrize("bound", [1 << 20, 9000, -1])
 def test_line_dedup(corpus, empty, bound):
+    """All arrays broadcast, those over common lines, and lines routed to the shards."""
     rows, docs = corpus
+    docs = docs.withColumnsRenamed({"key": "__uid", "source": "__found"}).withColumns({c: F.lit(c) for c in ("shard", "b", "keys", "h1", "counts")})
     for least, chars in ((3, 1), (2, 4)):
-        out = line_dedup.drop_common_lines(docs, min_docs=least, min_chars=chars, broadcast_bytes=bound)
+        out = line_dedup.drop_common_lines(docs, min_docs=least, min_chars=chars, broadcast_bytes=bound, batch_bytes=2000)
         assert got(out, "doc_id", "n_lines", "n_dropped", "text") == like(plain_lines(rows, least, chars))
+        assert sorted(out.columns) == sorted({*docs.columns, "n_lines", "n_dropped"}) and {r["__uid"] for r in out.select("__uid").collect()} == {"z"}
     assert line_dedup.drop_common_lines(empty, broadcast_bytes=bound).count() == 0
 
 
@@ -310,11 +315,16 @@ def test_perfect_hash():
 
     r = np.random.default_rng(1)
     keys = np.unique(r.integers(0, 2**63, 20000).astype(np.uint64))
-    made = PerfectHash.loads(PerfectHash.build(keys, keys * np.uint64(3), np.arange(len(keys)) + 1).dumps())
-    assert sorted(made.index(keys)) == list(range(len(keys)))
-    assert (made.count_of(keys, keys * np.uint64(3)) == np.arange(len(keys)) + 1).all()
-    assert not made.count_of(r.integers(0, 2**63, 20000).astype(np.uint64), keys[:1] * np.uint64(5)).any()
+    for kinds in ({}, {"fingerprint": np.uint16, "count": np.uint8}):
+        made = PerfectHash.loads(PerfectHash.build(keys, keys * np.uint64(3), np.arange(len(keys)) + 1, **kinds).dumps())
+        assert sorted(made.index(keys, keys * np.uint64(3))) == list(range(len(keys)))
+        assert (made.count_of(keys, keys * np.uint64(3)) == np.minimum(np.arange(len(keys)) + 1, 255 if kinds else 1 << 60)).all()
+    assert made.nbytes < 4 * len(keys)
+    whole = PerfectHash.build(keys, keys * np.uint64(3), np.arange(len(keys)) + 1)
+    assert not whole.count_of(r.integers(0, 2**63, 20000).astype(np.uint64), keys[:1] * np.uint64(5)).any()
     assert PerfectHash.loads(PerfectHash.build(keys[:0], keys[:0], np.arange(0)).dumps()).count_of(keys, keys).sum() == 0
+    same = np.zeros(50, np.uint64)
+    assert sorted(PerfectHash.build(same, keys[:50], np.ones(50, int)).index(same, keys[:50])) == list(range(50))
 
 
 def test_warc_round_trip(spark):
@@ -335,6 +345,24 @@ def test_warc_round_trip(spark):
     assert warc.archive(pages.limit(0))[1].count() == 0
 
 
+def test_warc_of_payloads_of_many_chunks(spark, monkeypatch, tmp_path):
+    """Payloads of some megabytes, one of them in most of the rows, in small chunks and files; no batch of chunk rows is large."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 3 << 20)
+    hot, long = "<p>ä" * 400_000, "\r\n".join(map(str, range(500_000)))
+    rows = [(i, "u", hot) for i in range(8)] + [(20, "u", long), (21, "u", "z" * 4096), (None, "u", long)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    files, chunks = warc.archive(pages, chunk=4096)
+    got_rows = {(r.page_id, r.payload_digest, r.payload_bytes, r.record_type, r.refers_to) for r in warc.summary(chunks).collect()}
+    sha = lambda t: (hashlib.sha1(t.encode()).hexdigest(), len(t.encode()))
+    want = {(i, *sha(hot), *(("revisit", 7) if i < 7 else ("response", None))) for i in range(8)}
+    assert got_rows == want | {(20, *sha(long), "response", None), (21, *sha("z" * 4096), "response", None), (None, *sha(long), "revisit", 20)}
+    assert chunks.where("record = 'urn:page:20'").count() == -(-len(long) // 4096) and files.count() > 1
+    out = warc.Chunks(f"file://{tmp_path}")
+    out.add(1, "u", memoryview(bytes(50 << 20)), 1 << 16)
+    assert out.held < 5 << 20
+    out.close()
+
+
 def test_licences(spark, corpus, empty):
     mit = next(iter(licenses.SENTENCES["mit-grant"])) + ":\n\n" + licenses.SENTENCES["mit-notice"][0] + ".\n\n" + licenses.SENTENCES["as-is-mit"][0] + "."
     rows = [
@@ -351,7 +379,8 @@ def test_licences(spark, corpus, empty):
     assert [out[d].licences for d, _ in rows] == ["MIT", "MIT", "Apache-2.0", "GPL-3.0,CC-BY-NC-4.0", "", "", "", ""]
     assert out[1].spans == "23:53" and out[None].unmatched == "reserved" and out[7].sentences == "bsd-endorse"
     assert all(re.search(licenses.TRIGGER, s) for v in licenses.SENTENCES.values() for s in v)
-    assert licenses.licences([x for _, run in licenses.RULES for x in run])[1] == []
+    assert all(licenses.Known().licences([(x, "") for x in run]) == ([name.replace("{}", ".0")], []) for name, run in licenses.RULES)
+    assert {k for _, run in licenses.RULES for k in run} <= set(licenses.SENTENCES)
     assert licenses.scan(empty).count() == 0
     docs = corpus[1]
     assert licenses.scan(docs).count() == docs.count()
@@ -394,13 +423,88 @@ APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
 
 
 def test_verbatim_licence_headers():
-    found = lambda t: licenses.licences([k for _, _, k in licenses.identified(t)])
-    for tag, name in (("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("GPL-3.0-only", "GPL-3.0"), ("GPL-3.0-or-later", "GPL-3.0"), ("GPL-2.0-only", "GPL-2.0"), ("GPL-2.0-or-later", "GPL-2.0"), ("LGPL-2.1-only", "LGPL"), ("LGPL-2.1-or-later", "LGPL"), ("LGPL-3.0-only", "LGPL"), ("LGPL-3.0-or-later", "LGPL"), ("BSD-3-Clause", "BSD-3-Clause"), ("BSD-2-Clause", "BSD-2-Clause"), ("MPL-2.0", "MPL-2.0"), ("Unlicense", "Unlicense"), ("CC0-1.0", "CC0-1.0")):
-        assert found(f"#!/bin/sh\n# SPDX-License-Identifier: {tag}\necho") == ([name], [])
-    assert found(GPL.format(a=";", b=";", n=2, c="; if not, write to the Free Software")) == (["GPL"], [])
-    assert found(GPL.format(a=":", b=",", n=3, c=".  If not, see <https://www.gnu.org/licenses/>.")) == (["GPL"], [])
-    assert found(LGPL) == (["LGPL"], []) and found(MPL) == (["MPL-2.0"], [])
-    assert found(APACHE) == (["Apache-2.0"], []) and len(licenses.identified(APACHE)) == 5
+    known = licenses.Known()
+    found = lambda t: known.licences([x[2:] for x in known.identified(t)])
+    for tag, names in (("MIT", ["MIT"]), ("GPL-3.0-or-later", ["GPL-3.0-or-later"]), ("(MIT OR Apache-2.0) AND CC0-1.0 */", ["MIT", "Apache-2.0", "CC0-1.0"]), ("GPL-2.0-only WITH Classpath-exception-2.0", ["GPL-2.0-only WITH Classpath-exception-2.0"])):
+        assert found(f"#!/bin/sh\n# SPDX-License-Identifier: {tag}\necho") == (names, [])
+    assert found(GPL.format(a=";", b=";", n=2, c="; if not, write to the Free Software")) == (["GPL-2.0-or-later"], [])
+    assert found(GPL.format(a=":", b=",", n=3, c=".  If not, see <https://www.gnu.org/licenses/>.")) == (["GPL-3.0-or-later"], [])
+    assert found(GPL.format(a=":", b=",", n=3, c=".").replace("GNU General", "GNU Affero General")) == (["AGPL-3.0-or-later"], [])
+    assert found(LGPL) == (["LGPL-2.1-or-later"], []) and found(MPL) == (["MPL-2.0"], [])
+    assert found(APACHE) == (["Apache-2.0"], []) and len(known.identified(APACHE)) == 5
+    assert found("Licensed under the GNU Affero General Public License, version 3.") == (["AGPL-3.0"], [])
+    holder = "the Very Long Named Society of Holders of Rights, Inc. and of its many friends, heirs: " * 3
+    bsd = [x[0] for x in (licenses.SENTENCES[k] for k in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"))]
+    assert found(":\n1. ".join(bsd).replace("{x}", holder) + ".") == (["BSD-3-Clause"], [])
+    assert found("\n\n".join(bsd[:3]) + "\nNeither the name of Example\n\nnor the names of its contributors") == (["BSD-2-Clause"], [])
+    assert found("Neither the name of A, " * 3000 + bsd[3])[1] == ["bsd-endorse"]
+
+
+def test_full_licence_texts(spark):
+    """Texts that Debian installs, in a document amid other text; skipped elsewhere."""
+    folder = pathlib.Path("/usr/share/common-licenses")
+    names = [n for n in ("Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "LGPL-3", "MPL-2.0", "Artistic", "CC0-1.0") if (folder / n).exists()]
+    if not names:
+        pytest.skip("no licence texts here")
+    texts = {n: (folder / n).read_text() for n in names}
+    rows = [(i, "Some words.\n\n" + "\n".join("// " + x for x in texts[n].split("\n")) + "\n\nint main;") for i, n in enumerate(names)]
+    out = licenses.scan(spark.createDataFrame([*rows, (99, "nothing here")], "doc_id long, text string"), texts=texts).collect()
+    found = {r.doc_id: r.licences.split(",") for r in out}
+    assert [names[i] in found[i] for i in range(len(names))] == [True] * len(names) and found[99] == [""]
+    assert all(not set(names) & set(found[i]) - {n} for i, n in enumerate(names))
+
+
+def plain_licences(text):
+    """Runs of pieces against patterns, from every piece and of every length; tags aside."""
+    n = r"([0-9]+(?:\.[0-9]+)*)"
+    patterns = [(re.compile(re.escape(s).replace(r"\{n\}", n)), k) for k, v in licenses.SENTENCES.items() for s in v if "{x}" not in s]
+    free = [(re.compile(re.escape(s).replace(r"\{x\}", ".+")), s.split(" {x}")[0], k) for k, v in licenses.SENTENCES.items() for s in v if "{x}" in s]
+    raw, at = [], 0
+    for m in re.finditer(r"[.!?;:](?=\s|$)|\n|$", text):
+        raw.append((at, m.start()))
+        at = m.end()
+    pieces = [(s, e, x) for s, e in raw if (x := " ".join(w for w in re.sub(r"[^a-z0-9.]+|\.(?![a-z0-9])|(?<![a-z0-9])\.", " ", text[s:e].lower()).split()))]
+    out, i = [], 0
+    while i < len(pieces):
+        hit = None
+        for j in range(i, min(len(pieces), i + 40)):
+            run = " ".join(x for _, _, x in pieces[i : j + 1])
+            hit = next(((j, k) for p, k in patterns if p.fullmatch(run)), hit)
+        for j in range(i, min(len(pieces), i + 40)):
+            run = " ".join(x for _, _, x in pieces[i : j + 1])
+            apart = any("\n" in text[pieces[m][1] + 1 : pieces[m + 1][0]] and text.count("\n", pieces[m][1], pieces[m + 1][0]) > 1 for m in range(i, j))
+            hit = hit or next(((j, k) for p, head, k in free if p.fullmatch(run) and not apart and not any(x.startswith(head) for _, _, x in pieces[i + 1 : j + 1])), None)
+        if hit:
+            s = pieces[i][0]
+            out.append((s + len(text[s:]) - len(text[s:].lstrip()), pieces[hit[0]][1], hit[1]))
+            i = hit[0]
+        i += 1
+    return out
+
+
+def test_licences_against_a_plain_version(spark):
+    r, known = random.Random(3), licenses.Known()
+    pool = [s.replace("{n}", r.choice(["2", "3.0", "2.1"])).replace("{x}", r.choice(["acme", "a b. C; d"])) for v in licenses.SENTENCES.values() for s in v]
+    for _ in range(60):
+        parts = []
+        for _ in range(r.randint(1, 12)):
+            w = r.choice(pool).split(" ") if r.random() < 0.8 else ["plain", "words", "here"]
+            for _ in range(r.choice([0, 0, 0, 1])):
+                w[r.randrange(len(w))] = r.choice(["", "x", "the"])
+            parts.append("".join(x + r.choice([" "] * 9 + ["\n", "\n * ", ": ", ", "]) for x in w) + r.choice([". ", ".\n", "\n\n", "; ", " "]))
+        text = "".join(parts)
+        assert [x[:3] for x in known.identified(text)] == plain_licences(text)
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    out = {x.doc_id: x for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    some = 0
+    for d, text in rows:
+        if text and re.search(licenses.TRIGGER, text):
+            want = plain_licences(text)
+            some += len(want)
+            assert out[d].sentences == ",".join(k for *_, k in want) and out[d].spans == ",".join(f"{s}:{e}" for s, e, _ in want)
+        else:
+            assert out[d].sentences == ""
+    assert some
 
 
 def test_importance(spark, empty):
@@ -556,6 +660,45 @@ def test_refine_gives_equal_buckets_for_equal_bytes():
         assert all(len(v) == 1 for v in seen.values()) and len(set(bucket.tolist())) == len(seen)
 
 
+def test_refine_over_many_strings(monkeypatch):
+    """Strings that begin alike, in stretches of a few suffixes; a suffix ends with its string."""
+    r = random.Random(11)
+    for wave in (4, 1 << 18):
+        monkeypatch.setattr(suffix_dedup, "WAVE", wave)
+        base = [bytes(r.choice(b"ab") for _ in range(90)) for _ in range(4)]
+        strings = [(x := r.choice(base))[(i := r.randrange(20)) : i + r.randint(50, 70)] + bytes(r.choice(b"ab") for _ in range(r.randrange(9))) for _ in range(150)]
+        sizes = np.array([len(x) for x in strings])
+        places = np.cumsum(sizes) - sizes
+        starts = np.concatenate([p + np.arange(n - 49) for p, n in zip(places, sizes)])
+        text = np.frombuffer(b"".join(strings) + bytes(8), np.uint8)
+        seen = defaultdict(set)
+        for s, b in zip(starts, suffix_dedup.refine(text, starts, 50, sizes).tolist()):
+            seen[text[s : s + 50].tobytes()].add(b)
+        assert all(len(v) == 1 for v in seen.values()) and len({x for v in seen.values() for x in v}) == len(seen) < len(starts)
+
+
+def test_suffix_dedup_of_rows_that_repeat_an_id(spark):
+    """Two long texts under one id, in different batches, which share contexts with each other and with a smaller id."""
+    r = random.Random(13)
+    part = ["".join(r.choice("abcdef ") for _ in range(300)) for _ in range(4)]
+    rows = [(1, part[0] + part[1]), (5, "x" + part[0][:170] + part[2]), (5, part[2][:200] + "y" + part[1][50:]), (9, part[2] + part[0][20:]), (5, "x" + part[0][:170] + part[2]), (2, part[3] * 300)]
+    first = {}
+    for d, t in rows:
+        for i in range(len(t) - 49):
+            first[t[i : i + 50]] = min(d, first.get(t[i : i + 50], d))
+    want = []
+    for d, t in rows:
+        gone = [False] * len(t)
+        for i in range(len(t) - 49):
+            if first[t[i : i + 50]] < d:
+                gone[i : i + 50] = [True] * 50
+        want.append((d, len(t), sum(gone), "".join(c for c, g in zip(t, gone) if not g)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for batch in (100, 1000, 1 << 20):
+        out = suffix_dedup.dedup_substrings(frame, with_kept=True, batch_bytes=batch).collect()
+        assert like([(x.doc_id, x.n_bytes, x.n_removed, bytes(x.kept).decode()) for x in out]) == like(want)
+
+
 def test_every_operator_is_registered():
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in entries.QUERIES) == list(range(1, 11))
     assert isinstance(pa.__version__, str)
