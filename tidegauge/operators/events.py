@@ -43,7 +43,7 @@ def binned_event_rates(df: DataFrame, stride: float, bins: Sequence[tuple[Column
     """
     time = time or time_column(df)
     bounds = _bounds(df, time, start, end, by)
-    rows = df.join(F.broadcast(bounds), list(by)) if by else df.crossJoin(F.broadcast(bounds))  # one row of bounds
+    rows = df.join(bounds, list(by)) if by else df.crossJoin(F.broadcast(bounds))  # without keys, one row of bounds
     t, n = F.col(time).cast("double"), F.ceil((F.col("__e") - F.col("__s")) / stride)
     nth = F.least(F.floor((t - F.col("__s")) / stride), n - 1).cast("long")
     inside = (t >= F.col("__s")) & (t <= F.col("__s") + n * stride) & (n > 0)

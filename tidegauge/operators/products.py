@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,18 +48,52 @@ def axis_unit(span: Column, least: float = 4.0) -> Column:
     return out
 
 
-def similar(vectors: DataFrame, queries: DataFrame, *, id_col: str, vector_col: str, k: int) -> DataFrame:
+def similar(vectors: DataFrame, queries: DataFrame, *, id_col: str, vector_col: str, k: int, block_bytes: int = 16 << 20) -> DataFrame:
     """(query, id, cosine): the k vectors most like each query vector, itself left out; ties by id.
 
-    The queries are a stated, small set and are broadcast; each task keeps its own
-    best k of each query before they meet.
+    The queries are a stated set. They are searched for in blocks of at most about
+    ``block_bytes`` (measured on their arrays), each a broadcast matrix; a task
+    multiplies its vectors with it, a batch at a time, and keeps its best k of each
+    query before they meet. Null vectors and those of another length or of no length
+    in space match nothing.
     """
-    unit = lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)))
-    prepared = lambda df: df.select(F.col(id_col).alias("id"), unit(F.col(vector_col).cast("array<double>")).alias("v"))
-    q = prepared(queries).select(F.col("id").alias("query"), F.col("v").alias("w"))
-    dot = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    pairs = prepared(vectors).join(F.broadcast(q), F.col("id") != F.col("query")).select("query", "id", dot.alias("cosine"))
-    pairs = pairs.withColumn("part", F.spark_partition_id())
-    near = Window.partitionBy("query", "part").orderBy(F.desc("cosine"), "id")
-    best = pairs.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k)
-    return best.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "id"))).where(F.col("r") <= k).select("query", "id", "cosine")
+    spark = vectors.sparkSession
+    of = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    asked = of(queries)
+    size = asked.agg(F.sum(8 * (F.size("v") + 2))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    out = None
+    for b in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
+        held = spark.sparkContext.broadcast((rows.column("id").to_numpy(), [np.array(x, float) for x in rows.column("v").to_pylist()]))
+
+        def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            ids, arrays = held.value
+            by_length = {n: np.flatnonzero([len(a) == n for a in arrays]) for n in {len(a) for a in arrays}}
+            units = {n: np.stack([arrays[i] for i in at]) for n, at in by_length.items() if n}
+            for n, m in units.items():
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    units[n] = m / np.sqrt((m * m).sum(1))[:, None]
+            best: dict[int, list[tuple[float, int]]] = {}
+            for batch in batches:
+                column = batch.column("v")
+                lengths = pc.list_value_length(column).to_numpy()
+                own = batch.column("id").to_numpy()
+                for n in set(lengths.tolist()) & set(units):
+                    at = np.flatnonzero(lengths == n)
+                    m = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), n)
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        # rounded, so that equal vectors tie wherever they lie in a batch
+                        likeness = np.round(units[n] @ (m / np.sqrt((m * m).sum(1))[:, None]).T, 12)
+                    for row, q in zip(likeness, by_length[n].tolist(), strict=True):
+                        use = np.flatnonzero((own[at] != ids[q]) & ~np.isnan(row))
+                        order = use[np.lexsort((own[at][use], -row[use]))[:k]]
+                        best[q] = sorted([*best.get(q, []), *zip((-row[order]).tolist(), own[at][order].tolist(), strict=True)])[:k]
+            rows = [(int(ids[q]), i, -c) for q, found in best.items() for c, i in found]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query", "id", "cosine"])
+
+        part = of(vectors).mapInArrow(search, "query long, id long, cosine double")
+        out = part if out is None else out.union(part)
+    near = Window.partitionBy("query").orderBy(F.desc("cosine"), "id")
+    return out.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k).select("query", "id", "cosine")

@@ -223,14 +223,18 @@ def taper(df: DataFrame, left: int = 0, right: int = 0, keys: Sequence[str] = KE
 
 
 def auto_taper(df: DataFrame, keys: Sequence[str] = KEYS, side: str = "leftright") -> DataFrame:
-    """Tapered up to the first extremum from each end, at most half of the series."""
+    """Tapered from each end up to its second stationary point (beyond a maximum and a minimum), at most half of the series; half where there is none."""
     w, whole = _w(keys), Window.partitionBy(*[F.col(k) for k in keys])
     v = F.col("value")
-    up, down = v - F.lag("value").over(w), F.lead("value").over(w) - v
-    turn = df.withColumn("__t", F.when((up * down) < 0, F.col("idx"))).withColumn("__n", F.count("*").over(whole))
+    before, after = F.lag("value").over(w), F.lead("value").over(w)
+    turn = df.withColumns({"__n": F.count("*").over(whole), "__top": F.when((v > before) & (v > after), F.col("idx")), "__low": F.when((v < before) & (v < after), F.col("idx"))})
     half = F.floor(F.col("__n") / 2)
-    left = F.least(F.coalesce(F.min("__t").over(whole), half), half) if "left" in side else F.lit(0)
-    right = F.least(F.coalesce(F.col("__n") - 1 - F.max("__t").over(whole), half), half) if "right" in side else F.lit(0)
+    # greatest and least would pass over a missing kind of point
+    both = F.max("__top").over(whole).isNotNull() & F.max("__low").over(whole).isNotNull()
+    first = F.greatest(F.min("__top").over(whole), F.min("__low").over(whole))
+    last = F.least(F.max("__top").over(whole), F.max("__low").over(whole))
+    left = F.when(both, F.least(first, half)).otherwise(half) if "left" in side else F.lit(0)
+    right = F.when(both, F.least(F.col("__n") - last, half)).otherwise(half) if "right" in side else F.lit(0)
     rows = turn.withColumns({"__l": left, "__r": right})
     m = F.greatest("__l", "__r")
     edge = lambda k: 0.5 * (1 - F.cos(2 * math.pi * k / (2 * m - 1)))

@@ -505,15 +505,32 @@ _designed("notch", K.sections(*K.notch(10, 64)))
 _designed("zpk_filter", K.sections(*K.digital([0.0], [1.0], 1.0, 64)))
 _designed("fir_filter", K.design_fir("lowpass", 8, 16, 64))
 _filtered("resample_decimate", lambda x: K.resample(x, 64, 16, n=8))
-_filtered("resample_fourier", lambda x: K.resample(x, 64, 48))
+_filtered(
+    "resample_fourier",
+    lambda x: K.resample(x, 64, 48),
+    f"""WITH d AS (SELECT m, n, (1.0 + 2 * sum((0.54 + 0.46 * cos({PI2} * k / 64)) * cos({PI2} * k * (m / 48.0 - n / 64.0)))) / 64 + 2 * (0.54 + 0.46 * cos({PI2} * 24 / 64)) * cos({PI2} * m / 2) * cos({PI2} * 24 * n / 64) / 64 AS w FROM range(48) a(m), range(64) b(n), range(1, 24) c(k) GROUP BY m, n)
+SELECT channel, m::INTEGER AS idx, round(sum(value * w), 6) + 0.0 AS value FROM {SQL_SERIES} s JOIN d ON d.n = s.idx GROUP BY 1, 2""",
+)
 _filtered("whiten", lambda x: K.whiten(x, 64, fftlength=0.25, overlap=0.125, fduration=0.25))
 _filtered(
     "convolve",
     lambda x: K.convolve(x, np.array([0.25, 0.5, 0.25, 0.0])),
-    f"SELECT channel, idx::INTEGER AS idx, round(0.25 * v + 0.5 * coalesce(lead(v) OVER w, 0) + 0.25 * coalesce(lead(v, 2) OVER w, 0), 6) + 0.0 AS value FROM (SELECT channel, idx, value * (CASE WHEN idx IN (0, 63) THEN 0 WHEN idx IN (1, 62) THEN 0.75 ELSE 1 END) AS v FROM {SQL_SERIES}) WINDOW w AS (PARTITION BY channel ORDER BY idx)",
+    f"SELECT channel, idx::INTEGER AS idx, round(0.25 * coalesce(lead(v) OVER w, 0) + 0.5 * v + 0.25 * coalesce(lag(v) OVER w, 0), 6) + 0.0 AS value FROM (SELECT channel, idx, value * (CASE idx WHEN 0 THEN 0 WHEN 1 THEN 0.5 WHEN 63 THEN 0.5 ELSE 1 END) AS v FROM {SQL_SERIES}) WINDOW w AS (PARTITION BY channel ORDER BY idx)",
+)
+_filtered(
+    "correlate",
+    lambda x: K.correlate(x, x[8:24]),
+    f"""WITH s AS {SQL_SERIES}, a AS (SELECT channel, regr_slope(value, idx) AS b, regr_intercept(value, idx) AS c FROM s GROUP BY 1), g AS (SELECT channel, regr_slope(value, idx) AS b, regr_intercept(value, idx) AS c FROM s WHERE idx BETWEEN 8 AND 23 GROUP BY 1),
+x AS (SELECT channel, idx, (value - b * idx - c) * (CASE WHEN idx < 8 THEN 0.5 - 0.5 * cos({PI2} * idx / 16) WHEN idx >= 56 THEN 0.5 - 0.5 * cos({PI2} * (idx - 48) / 16) ELSE 1 END) AS v FROM s JOIN a USING (channel)),
+t AS (SELECT channel, idx - 8 AS j, value - b * idx - c AS v FROM s JOIN g USING (channel) WHERE idx BETWEEN 8 AND 23), n AS (SELECT channel, sqrt(sum(v * v)) AS norm FROM t GROUP BY 1)
+SELECT channel, (x.idx + 8 - j)::INTEGER AS idx, round(sum(t.v * x.v) / any_value(norm), 6) + 0.0 AS value FROM x JOIN t USING (channel) JOIN n USING (channel) WHERE x.idx + 8 - j BETWEEN 0 AND 63 GROUP BY 1, 2""",
+)
+_filtered(
+    "fir_from_transfer",
+    lambda x: K.fir_from_transfer(x, 32, ncorner=2),
+    f"""WITH t AS (SELECT channel, idx AS k, value * (CASE WHEN idx < 2 THEN 0 WHEN idx < 7 THEN 0.5 - 0.5 * cos({PI2} * (idx - 2) / 9) WHEN idx > 58 THEN 0.5 - 0.5 * cos({PI2} * (63 - idx) / 9) ELSE 1 END) * (CASE WHEN idx IN (0, 63) THEN 1 ELSE 2 END) AS v FROM {SQL_SERIES})
+SELECT channel, j::INTEGER AS idx, round(sum(v * cos({PI2} * k * (j - 15) / 126)) / 126 * (0.5 - 0.5 * cos({PI2} * (j + 1) / 32)), 6) + 0.0 AS value FROM t, range(32) r(j) GROUP BY 1, 2, j""",
 )
-_filtered("correlate", lambda x: K.correlate(x, x[8:24], 64))
-_filtered("fir_from_transfer", lambda x: K.fir_from_transfer(np.ones(33), 16) * x[:16])
 _filtered(
     "planck_window",
     lambda x: x * K.planck(64, 8, 8),
@@ -603,6 +620,9 @@ def spectral_variance(spark, d):
     return P.variance(gram.withColumn("value", F.sqrt("value")), bins=20, low=1e-3, high=2.0, log=True)
 
 
-@query()
+@query(f"""WITH s AS (SELECT *, lag(value) OVER w AS p, lead(value) OVER w AS q FROM {SQL_SERIES} WINDOW w AS (PARTITION BY channel ORDER BY idx)),
+b AS (SELECT channel, min(idx) FILTER (WHERE value > p AND value > q) AS t1, min(idx) FILTER (WHERE value < p AND value < q) AS l1, max(idx) FILTER (WHERE value > p AND value > q) AS t2, max(idx) FILTER (WHERE value < p AND value < q) AS l2 FROM s GROUP BY 1),
+n AS (SELECT channel, least(greatest(t1, l1), 32) AS l, least(64 - least(t2, l2), 32) AS r FROM b)
+SELECT channel, idx, x, round(value * (CASE WHEN idx < l THEN 0.5 - 0.5 * cos({PI2} * idx / (2 * greatest(l, r) - 1)) ELSE 1 END) * (CASE WHEN 63 - idx < r THEN 0.5 - 0.5 * cos({PI2} * (63 - idx) / (2 * greatest(l, r) - 1)) ELSE 1 END), 6) + 0.0 AS value FROM s JOIN n USING (channel)""")
 def auto_taper(spark, d):
     return V(X.auto_taper(series(spark, d)))

@@ -44,8 +44,7 @@ def read_xml_flags(spark: SparkSession, paths: Sequence[str], *, names: Sequence
 
 def write_xml_flags(flags: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
     definers, summaries, segments = to_segment_tables(flags)
-    text = xml.to_document({"segment_definer": definers, "segment_summary": summaries, "segment": segments})
-    flags.sparkSession.createDataFrame([(text,)], "value string").repartition(1).write.mode(mode).text(path)
+    xml.write_document({"segment_definer": definers, "segment_summary": summaries, "segment": segments}, path, mode)
 
 
 register("ligolw.flag", read=read_xml_flags, write=write_xml_flags)

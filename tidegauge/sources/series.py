@@ -58,7 +58,7 @@ FLAG = "name string, ifo string, version int, category string, isgood boolean, k
 
 def read_json_flags(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """(flag, kind, start, end) of JSON documents of flags, one a file."""
-    docs = spark.read.text(list(paths), wholetext=True).select(F.from_json("value", FLAG).alias("d")).select("d.*")
+    docs = spark.read.text(list(paths), wholetext=True, recursiveFileLookup=True).select(F.from_json("value", FLAG).alias("d")).select("d.*")
     ident = F.when(F.col("ifo").isNotNull() & ~F.col("name").startswith(F.concat("ifo", F.lit(":"))), F.concat_ws(":", "ifo", "name", F.col("version").cast("string"))).otherwise(F.col("name"))
     rows = lambda k: F.transform(k, lambda s: F.struct(F.lit(k).alias("kind"), s[0].alias("start"), s[1].alias("end")))
     each = F.explode(F.concat(rows("known"), rows("active")))
@@ -72,7 +72,8 @@ def flags_json(flags: DataFrame) -> DataFrame:
 
 
 def write_json_flags(flags: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
-    flags_json(flags).select("value").write.mode(mode).text(path)
+    """A file for each flag, as readers take one document a file."""
+    flags_json(flags).select(F.col("flag").alias("file"), "value").write.mode(mode).partitionBy("file").text(path)
 
 
 register("json.flag", read=read_json_flags, write=write_json_flags, extensions=("flag.json",))

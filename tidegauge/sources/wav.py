@@ -14,7 +14,7 @@ from tidegauge.sources.registry import register
 
 
 def decode(content: bytes) -> tuple[int, np.ndarray]:
-    """The rate and the samples (of the first channel) of a RIFF WAVE file: PCM of 8 to 32 bits, or float."""
+    """The rate and the samples of a RIFF WAVE file, a column for each of its channels: PCM of 8 to 32 bits, or float."""
     if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
         raise ValueError("not a RIFF WAVE file")
     at, kind, channels, rate, bits = 12, 1, 1, 0, 16
@@ -25,7 +25,8 @@ def decode(content: bytes) -> tuple[int, np.ndarray]:
             kind, channels, rate, _, _, bits = struct.unpack("<HHIIHH", body[:16])
         elif tag == b"data":
             dtype = {(3, 32): "<f4", (3, 64): "<f8", (1, 8): "u1", (1, 16): "<i2", (1, 32): "<i4"}[kind if kind != 0xFFFE else 1, bits]
-            return rate, np.frombuffer(body[: len(body) // np.dtype(dtype).itemsize * np.dtype(dtype).itemsize], dtype)[::channels]
+            frame = np.dtype(dtype).itemsize * channels
+            return rate, np.frombuffer(body[: len(body) // frame * frame], dtype).reshape(-1, channels)
         at += 8 + size + size % 2
     raise ValueError("the file has no data")
 
@@ -39,15 +40,17 @@ def encode(x: np.ndarray, rate: int, scale: float | None = None) -> bytes:
 
 
 def read_wav(spark: SparkSession, paths: Sequence[str], *, start: float | None = None, end: float | None = None) -> DataFrame:
-    """(channel, idx, x, value) of sound files; the channel is the path."""
+    """(channel, idx, x, value) of sound files; the channel is the path, of a file of several with :0, :1, ... behind it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 rate, x = decode(content.as_buffer().to_pybytes())
-                for s in range(0, len(x), 1 << 16):
-                    part = np.arange(s, min(s + (1 << 16), len(x)))
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array(part), pa.array(part / rate), pa.array(x[part].astype(float))], names=["channel", "idx", "x", "value"])
+                for c in range(x.shape[1]):
+                    name = path if x.shape[1] == 1 else f"{path}:{c}"
+                    for s in range(0, len(x), 1 << 16):
+                        part = np.arange(s, min(s + (1 << 16), len(x)))
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(part), pa.array(part / rate), pa.array(x[part, c].astype(float))], names=["channel", "idx", "x", "value"])
 
     rows = spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInArrow(run, "channel string, idx long, x double, value double")
     from tidegauge.operators.series import crop_irregular

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import csv
 import io
+import re
 from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.sources.registry import register
@@ -26,16 +26,23 @@ def _table_name(name: str) -> str:
     return parts[-1]
 
 
-def _tables(content: bytes) -> Iterator[tuple[str, list[tuple[str, str]], list[list[str]]]]:
+def _values(text: str, delimiter: str) -> Iterator[str | None]:
+    """The values of a stream: null where nothing is between delimiters; in quotes, a backslash keeps the character after it."""
+    d, text = re.escape(delimiter), text.rstrip()
+    for m in re.finditer(rf'\s*(?:"((?:[^"\\]|\\.)*)"|([^{d}"]*?))\s*(?:{d}|\Z)', text, re.DOTALL):
+        if m.start() == len(text) and (not text or text.endswith(delimiter)):
+            return
+        yield re.sub(r"\\(.)", r"\1", m[1], flags=re.DOTALL) if m[1] is not None else m[2] or None
+
+
+def _tables(content: bytes) -> Iterator[tuple[str, list[tuple[str, str]], list[list[str | None]]]]:
     root = ElementTree.parse(io.BytesIO(content)).getroot()
     for t in root.iter("Table"):
         columns = [(_bare(c.get("Name", "")), c.get("Type", "lstring")) for c in t.findall("Column")]
         stream = t.find("Stream")
         delimiter = (stream.get("Delimiter") if stream is not None else None) or ","
         text = (stream.text or "") if stream is not None else ""
-        values = [v.strip() for row in csv.reader(io.StringIO(text.replace("\n", " ")), delimiter=delimiter, skipinitialspace=True) for v in row]
-        if values and values[-1] == "":
-            values.pop()
+        values = list(_values(text, delimiter))
         yield _table_name(t.get("Name", "")), columns, [values[i : i + len(columns)] for i in range(0, len(values), len(columns))] if columns else []
 
 
@@ -58,7 +65,7 @@ def list_tables(spark: SparkSession, paths: Sequence[str]) -> list[str]:
 
 
 def read_table(spark: SparkSession, paths: Sequence[str], *, tablename: str | None = None, columns: Sequence[str] | None = None, rename: dict[str, str] | None = None) -> DataFrame:
-    """A table of the documents, typed as declared; empty values are null. The only table, unless one is named."""
+    """A table of the documents, typed as declared; values of which nothing is written are null. The only table, unless one is named."""
     raw = _raw(spark, paths)
     if tablename is None:
         names = list_tables(spark, paths)
@@ -70,26 +77,52 @@ def read_table(spark: SparkSession, paths: Sequence[str], *, tablename: str | No
     if head is None:
         raise ValueError(f"no table {tablename!r}")
     at = {c: (i, TYPES.get(t, "string")) for i, (c, t) in enumerate(zip(head.columns, head.types, strict=True))}
-    value = lambda i: F.nullif(F.get("values", F.lit(i)), F.lit(""))
+    value = lambda i: F.get("values", F.lit(i))
     wanted = list(columns) if columns else list(at)
     return rows.where("values is not null").select(*[value(at[c][0]).cast(at[c][1]).alias((rename or {}).get(c, c)) for c in wanted])
 
 
-def to_document(tables: dict[str, DataFrame]) -> str:
-    """A document of small tables, on the driver."""
-    back = {"smallint": "int_2s", "int": "int_4s", "bigint": "int_8s", "float": "real_4", "double": "real_8"}
-    out = ['<?xml version="1.0"?>', "<LIGO_LW>"]
-    for name, df in tables.items():
-        out.append(f'<Table Name="{name}:table">')
-        out += [f'<Column Name="{c}" Type="{back.get(t, "lstring")}"/>' for c, t in df.dtypes]
-        rows = [",".join("" if v is None else '"' + v.replace('"', "'") + '"' if isinstance(v, str) else repr(v) for v in r) for r in df.collect()]
-        out.append(f'<Stream Name="{name}:table" Type="Local" Delimiter=",">' + ",\n".join(rows).replace("&", "&amp;").replace("<", "&lt;") + "</Stream></Table>")
-    return "\n".join([*out, "</LIGO_LW>"])
+#: Spark's types of numbers, and the column types that they are declared as.
+DECLARED = {"smallint": "int_2s", "int": "int_4s", "bigint": "int_8s", "float": "real_4", "double": "real_8"}
+
+
+def _escaped(c: Column) -> Column:
+    """Markup, and the line ends that a parser of XML would change, as references."""
+    for mark, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\r", "&#13;")):
+        c = F.replace(c, F.lit(mark), F.lit(reference))
+    return c
+
+
+def document_lines(tables: dict[str, DataFrame]) -> DataFrame:
+    """(part, line, value): the lines of a document in order of part and line. Strings keep every character that XML has."""
+
+    def written(name: str, kind: str) -> Column:
+        c = F.col(f"`{name}`")
+        if kind in DECLARED:
+            return c.cast("string")
+        quoted = F.regexp_replace(c.cast("string"), r'(["\\])', r"\\$1")
+        return F.concat(F.lit('"'), _escaped(quoted), F.lit('"'))
+
+    spark, parts, fixed = next(iter(tables.values())).sparkSession, [], [(0, 0, '<?xml version="1.0"?>'), (0, 1, "<LIGO_LW>")]
+    for i, (name, df) in enumerate(tables.items()):
+        head = [f'<Table Name="{name}:table">', *[f'<Column Name="{c}" Type="{DECLARED.get(t, "lstring")}"/>' for c, t in df.dtypes], f'<Stream Name="{name}:table" Type="Local" Delimiter=",">']
+        fixed += [(3 * i + 1, n, x) for n, x in enumerate(head)] + [(3 * i + 3, 0, "</Stream></Table>")]
+        values = F.concat(*[x for c, t in df.dtypes for x in (F.coalesce(written(c, t), F.lit("")), F.lit(","))])
+        parts.append(df.select(F.lit(3 * i + 2).alias("part"), F.monotonically_increasing_id().alias("line"), values.alias("value")))
+    fixed.append((3 * len(tables) + 1, 0, "</LIGO_LW>"))
+    out = spark.createDataFrame(fixed, "part int, line long, value string")
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
+def write_document(tables: dict[str, DataFrame], path: str, mode: str = "errorifexists") -> None:
+    """A document is one file, which one task writes; nothing comes to the driver."""
+    document_lines(tables).repartition(1).sortWithinPartitions("part", "line").select("value").write.mode(mode).text(path)
 
 
 def write_table(df: DataFrame, path: str, *, tablename: str, mode: str = "errorifexists") -> None:
-    text = to_document({tablename: df})
-    df.sparkSession.createDataFrame([(text,)], "value string").repartition(1).write.mode(mode).text(path)
+    write_document({tablename: df}, path, mode)
 
 
 #: Format names that start with `ligolw` are those that files of this XML dialect are known by.
