@@ -482,7 +482,7 @@ def q_tiling(spark, d):
     return Q.plan(spark, 4.0, 1024.0)
 
 
-# -- conditioning: no SQL; tests hold these against identities and closed forms
+# -- conditioning
 
 
 def _filtered(name, fn, sql=None):
@@ -494,17 +494,51 @@ def _filtered(name, fn, sql=None):
     query(sql)(made)
 
 
-def _designed(name, filt):
-    _filtered(name, lambda x: K.apply_filter(x, filt))
-
-
-_designed("lowpass", K.sections(*K.lowpass(8, 64)))
-_designed("highpass", K.sections(*K.highpass(8, 64)))
-_designed("bandpass", K.sections(*K.bandpass(6, 12, 64)))
-_designed("notch", K.sections(*K.notch(10, 64)))
-_designed("zpk_filter", K.sections(*K.digital([0.0], [1.0], 1.0, 64)))
-_designed("fir_filter", K.design_fir("lowpass", 8, 16, 64))
-_filtered("resample_decimate", lambda x: K.resample(x, 64, 16, n=8))
+def _difference(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The difference equation of b and a along the first axis, as if the input had always been what it begins with."""
+    b, a = b / a[0], a / a[0]
+    gain = b.sum() / a.sum()
+    past_x, past_y, out = [x[0]] * (len(b) - 1), [gain * x[0]] * (len(a) - 1), []
+    for row in x:
+        y = b[0] * row + sum((c * v for c, v in zip(b[1:], past_x)), 0 * row) - sum((c * v for c, v in zip(a[1:], past_y)), 0 * row)
+        past_x, past_y = [row, *past_x][: len(b) - 1], [y, *past_y][: len(a) - 1]
+        out.append(y)
+    return np.array(out)
+
+
+def _linear_sql(b: np.ndarray, a: np.ndarray, pad: int) -> str:
+    """SQL of a zero-phase filter of 64 samples by its weights: both ends continued by ``pad`` samples turned about the end, the difference equation run forth and back."""
+    x = np.eye(64, dtype=np.longdouble)
+    x = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
+    y = _difference(b, a, _difference(b, a, x)[::-1])[::-1][pad : pad + 64]
+    weights = ", ".join(f"({m}, {n}, {float(y[m, n])!r}::DOUBLE)" for m in range(64) for n in range(64))
+    return f"SELECT channel, m::INTEGER AS idx, round(sum(value * w), 6) + 0.0 AS value FROM {SQL_SERIES} s JOIN (VALUES {weights}) d(m, n, w) ON d.n = s.idx GROUP BY 1, 2"
+
+
+def _designed(name, z, p, k):
+    """A filter by zeros, poles and gain; the SQL has the weights of the polynomials' difference equation."""
+    b, a = np.real(k * np.poly(z)).astype(np.longdouble), np.real(np.poly(p)).astype(np.longdouble)
+    order = max(len(z), len(p))
+    pairs = -(-order // 2)
+    pad = 3 * (2 * pairs + 1 - (order % 2 if len(z) == len(p) else 0))
+    filt = K.sections(z, p, k)
+    _filtered(name, lambda x: K.apply_filter(x, filt), _linear_sql(b, a, min(pad, 63)))
+
+
+_designed("lowpass", *K.lowpass(8, 64))
+_designed("highpass", *K.highpass(8, 64))
+_designed("bandpass", *K.bandpass(6, 12, 64))
+_designed("notch", *K.notch(10, 64))
+_designed("zpk_filter", *K.digital([0.0], [1.0], 1.0, 64))
+TAPS = K.design_fir("lowpass", 8, 16, 64)
+_filtered("fir_filter", lambda x: K.apply_filter(x, TAPS), _linear_sql(np.asarray(TAPS, np.longdouble), np.ones(1, np.longdouble), min(3 * len(TAPS), 63)))
+_filtered(
+    "resample_decimate",
+    lambda x: K.resample(x, 64, 16, n=8),
+    f"""WITH h AS (SELECT k, (CASE k WHEN 4 THEN 0.25 ELSE sin({PI2} * (k - 4) / 8) / ({PI2} * (k - 4) / 2) END) * (0.54 - 0.46 * cos({PI2} * k / 8)) AS v FROM range(9) r(k)),
+d AS (SELECT k, v / sum(v) OVER () AS w FROM h)
+SELECT channel, ((idx - 4 + k) // 4)::INTEGER AS idx, round(sum(value * w), 6) + 0.0 AS value FROM {SQL_SERIES}, d WHERE (idx - 4 + k) % 4 = 0 AND idx - 4 + k BETWEEN 0 AND 63 GROUP BY 1, 2""",
+)
 _filtered(
     "resample_fourier",
     lambda x: K.resample(x, 64, 48),
