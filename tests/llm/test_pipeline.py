@@ -47,3 +47,22 @@ def test_pipeline(spark, tmp_path):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "sequence_id", "offset"} <= set(out.columns) and out.count() > 50
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, clashing columns, and empty tables, each stage alone."""
+    long = " ".join(f"word{i}" for i in range(400_000))
+    rows = [(1, None, None, None, None), (None, "some words in a text without an id", "en", "s", 3), (2, "", "en", None, 0), (3, long, None, "s", 9), (4, "a b c d e f g", "en", "s", 13), (4, "a b c d e f g", "en", "s", 13), (5, "x" * 1_000_000, "en", "s", 5)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    names = ("log_weight", "n_lines", "component", "kept", "b", "id", "key", "side", "n", "w", "shard", "item_id", "words", "length")
+    for table, kind in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([(None, None, None)] if table == "labels" else [(None, None), (7, "")], kind).write.parquet(f"{tmp_path}/{table}.parquet")
+    docs = spark.createDataFrame([(*r, *("z",) * len(names)) for r in rows], schema + "".join(f", {n} string" for n in names))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path)).collect()
+        if name == "best-fit packing":
+            assert {r.doc_id for r in out} == {r[0] for r in rows}
+        else:
+            assert sorted(str(r.doc_id) for r in out) == sorted(str(r[0]) for r in rows), name
+            assert all(r[n] == "z" for r in out for n in names), name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
