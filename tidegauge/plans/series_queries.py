@@ -477,9 +477,12 @@ def q_planes(spark, d):
     return Q.plan(spark, 4.0, 1024.0).groupBy("plane").agg(F.round(F.first("q"), 6).alias("q"))
 
 
-@query()
+@query(f"""WITH n AS (SELECT greatest(1, ceil(ln(64.0 / 4.0) / sqrt(2) / {_T})) AS n), q AS (SELECT i AS plane, 4.0 * exp(ln(16.0) / n * (i + 0.5)) AS q FROM n, range(100) r(i) WHERE i < n),
+l AS (SELECT *, 50 * q / ({PI2} * 4) AS low, 512 / (1 + sqrt(11) / q) AS high, sqrt(2 + q * q) AS a FROM q), m AS (SELECT *, ln(high / low) * a / 2 AS span FROM l), c AS (SELECT *, greatest(1, ceil(span / {_T})) AS n FROM m),
+f AS (SELECT DISTINCT plane, q, floor(low * exp(2 / a * (i + 0.5) * span / n) / 0.25) * 0.25 AS f FROM c, range(2000) r(i) WHERE i < n)
+SELECT plane::INTEGER AS plane, round(q, 6) AS q, (row_number() OVER (PARTITION BY plane ORDER BY f) - 1)::INTEGER AS row, f AS frequency, (2 ** ceil(log2(4 * {PI2} * f / q / {_T})))::BIGINT AS ntiles, round(2 * sqrt({PI2} / 2) * f / q, 6) AS bandwidth, (2 * floor(f / (q / sqrt(11)) * 4) + 1)::BIGINT AS windowsize FROM f""")
 def q_tiling(spark, d):
-    return Q.plan(spark, 4.0, 1024.0)
+    return Q.plan(spark, 4.0, 1024.0).withColumns({c: F.round(c, 6) for c in ("q", "bandwidth")})
 
 
 # -- conditioning
