@@ -164,12 +164,21 @@ def ratios(raw: np.ndarray, target: np.ndarray, bad: np.ndarray, n_raw: int, n_t
 
 
 def models(counts: np.ndarray, docs: list[int]) -> np.ndarray:
-    """The ratios for documents labelled bad, labelled good (their own count taken out) and unlabelled, in a row."""
-    out = np.zeros((3, counts.shape[1]), np.float32)
-    for i, own in enumerate(((1, 0, 1), (1, 1, 0), (0, 0, 0))):
-        for c in range(0, counts.shape[1], CHUNK):  # in parts, to bound the driver's memory
-            out[i, c : c + CHUNK] = ratios(*[x[c : c + CHUNK] - o for x, o in zip(counts, own, strict=True)], *[n - o for n, o in zip(docs, own, strict=True)])
-    return out.ravel()
+    """The ratios for documents labelled bad, labelled good (their own count taken out) and unlabelled, a row for each."""
+    taken_out = ((1, 0, 1), (1, 1, 0), (0, 0, 0))
+    return np.stack([ratios(*[x - o for x, o in zip(counts, own, strict=True)], *[n - o for n, o in zip(docs, own, strict=True)]) for own in taken_out])
+
+
+def _rated(docs: list[int]):
+    """The models of each chunk of counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                counts = np.stack([np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in COUNTS])
+                yield pa.RecordBatch.from_arrays([batch.column("chunk").slice(i, 1), pa.array([models(counts, docs).tobytes()], pa.binary())], names=["chunk", "ratios"])
+
+    return run
 
 
 def weights(column: pa.Array, kind: np.ndarray, model: np.ndarray) -> np.ndarray:
@@ -237,16 +246,15 @@ def select(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     counted = rows.mapInArrow(_count(held, "id", "text"), "chunk int, salt int, raw binary, target binary, bad binary")
     counted = counted.groupBy("chunk", "salt").applyInArrow(_add(np.int32), "chunk int, salt int, raw binary, target binary, bad binary").drop("salt").groupBy("chunk").applyInArrow(_add(np.int64), "chunk int, raw binary, target binary, bad binary")
-    counts, total = np.zeros((3, 2 * BUCKETS), np.int64), [0, 0, 0]
-    for r in counted.collect():  # the tables have a fixed size
-        for i, c in enumerate(COUNTS):
-            got = np.frombuffer(bytes(r[c]), np.int64)
-            if r.chunk < 0:
-                total[i] = int(got[0])
-            else:
-                counts[i, r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = got
-    model = spark.sparkContext.broadcast(models(counts, total))
-    del counts
+    counted = scratch.write(counted, "counts")
+    sums = counted.where("chunk < 0").select(*COUNTS).first()
+    total = [int(np.frombuffer(bytes(x), np.int64)[0]) for x in sums] if sums else [0, 0, 0]
+    ready = np.zeros((3, 2 * BUCKETS), np.float32)
+    # executors make the ratios; the driver only holds the model, whose size is fixed
+    for r in counted.where("chunk >= 0").mapInArrow(_rated(total), "chunk int, ratios binary").toLocalIterator():
+        ready[:, r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.ratios, np.float32).reshape(3, -1)
+    model = spark.sparkContext.broadcast(ready.ravel())
+    del ready
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
