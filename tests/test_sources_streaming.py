@@ -189,3 +189,40 @@ def test_jdbc(spark):
     out = registry.jdbc(spark, url, "TRIG", ["ID"], where="SNR > 3", order_by="ID", descending=True, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
     assert [r.ID for r in out.collect()] == [3, 2]
     assert "PushedFilters: [*IsNotNull(SNR), *GreaterThan(SNR,3.0)]" in out._jdf.queryExecution().toString()
+
+
+def small_blocks(spark, size):
+    """Files are read in blocks of so many bytes while this holds."""
+    import contextlib
+
+    @contextlib.contextmanager
+    def held():
+        old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+        try:
+            for k in old:
+                spark.conf.set(k, str(size))
+            yield
+        finally:
+            for k, v in old.items():
+                spark.conf.set(k, v)
+
+    return held()
+
+
+@pytest.mark.parametrize("size", [7, 40, 301, 100000])
+def test_scan_config_files(spark, tmp_path, size):
+    """A file reads as its text does, wherever it is cut into blocks."""
+    from tidegauge.sources import channels
+
+    block = "{\n  channelName: 'X1:%s' # {\n  sampleFrequency: 4096\n\n  searchFrequencyRange: [%d\n Inf]\n}\n"
+    text = block % ("Z", 3) + "".join(f"[S{s},Title {s}]\n# [NO,No]\n" + "".join(block % (f"C{s}-{c}", c) for c in range(s)) for s in range(5)) + "{ channelName: 'X1:L'\n searchFrequencyRange: [0 8]\n }"
+    (tmp_path / "scan.txt").write_text(text)
+    key = lambda r: (r.channel, r.section, r.sample_rate, r.low, r.high, sorted(r.params.items()))
+    with small_blocks(spark, size):
+        got = channels.read_scan_config_file(spark, f"{tmp_path}/scan.txt").collect()
+    assert sorted(map(str, map(key, got))) == sorted(map(str, map(key, channels.read_scan_config(spark, text).collect()))) and len(got) == 12
+    rows = spark.createDataFrame([("b", "y", 0.1234567, 8.0, None), ("a", "x", 64.0, 1e-7, float("inf")), ("a", "w", None, None, 1.0)], "section string, channel string, sample_rate double, low double, high double")
+    channels.write_scan_config_file(rows, f"{tmp_path}/out")
+    with small_blocks(spark, size):
+        again = channels.read_scan_config_file(spark, f"{tmp_path}/out").drop("params").collect()
+    assert sorted(map(tuple, again), key=str) == sorted([("b", "y", 0.1234567, 8.0, float("inf")), ("a", "x", 64.0, 1e-7, float("inf")), ("a", "w", None, None, None)], key=str)

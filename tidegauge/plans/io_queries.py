@@ -172,7 +172,9 @@ def io_channel_list(spark, d):
 @query(f"SELECT section, channel, 64.0::DOUBLE AS sample_rate, 8.0::DOUBLE AS low, 'inf'::DOUBLE AS high FROM {LISTED}")
 def io_scan_config(spark, d):
     rows = _listed(spark, d).withColumns({"sample_rate": F.lit(64.0), "low": F.lit(8.0), "high": F.lit(float("inf"))})
-    return channels.read_scan_config(spark, channels.write_scan_config(rows.orderBy("section", "channel").collect())).drop("params")
+    path = place(spark, "scan")
+    channels.write_scan_config_file(rows, path)
+    return channels.read_scan_config_file(spark, path).drop("params")
 
 
 @query(f"SELECT DISTINCT channel, regexp_extract(channel, '^[^:]*:([^-]*)', 1) AS system FROM {LISTED}")
