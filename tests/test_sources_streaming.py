@@ -226,3 +226,27 @@ def test_scan_config_files(spark, tmp_path, size):
     with small_blocks(spark, size):
         again = channels.read_scan_config_file(spark, f"{tmp_path}/out").drop("params").collect()
     assert sorted(map(tuple, again), key=str) == sorted([("b", "y", 0.1234567, 8.0, float("inf")), ("a", "x", 64.0, 1e-7, float("inf")), ("a", "w", None, None, None)], key=str)
+
+
+@pytest.mark.parametrize("size", [5, 33, 100000])
+def test_ini_files(spark, tmp_path, size):
+    """A file reads as its text does, wherever it is cut into blocks."""
+    from tidegauge.sources import channels
+
+    text = "[DEFAULT]\nfhigh = 99\nowner: me\n\n# none\n[a]\n channels =\n   X1:A 256\n\n  X1:B\n ; none\n   X1:C 7\n note = one\n  two:\n\n    three = 3\n\n flow = 10\n[b]\nsample_rate = 16\nfhigh = Nyquist\nchannels = X1:A\n\tX1:D 8\n   X1:E\nlast = \n[empty]\nflow = 1\n[c]\n"
+    text += "channels = X\n" + "".join(f"\tY{i} {i + 1}\n" for i in range(40)) + "[d]\nflow = 3\nchannels: Z"
+    (tmp_path / "c.ini").write_text(text)
+    key = lambda r: str((r.section, r.channel, r.sample_rate, r.low, r.high, sorted(r.params.items())))
+    with small_blocks(spark, size):
+        got = channels.read_ini_file(spark, f"{tmp_path}/c.ini").collect()
+    want = channels.read_ini(spark, text).collect()
+    assert sorted(map(key, got)) == sorted(map(key, want)) and len(got) == 3 + 3 + 41 + 1
+    for odd in ("X = 1\n", "[a]\nword\n", "[a]\nx = 1\nx = 2\nchannels = A\n", "[a]\nchannels = A\n[a]\nx = 1\n"):
+        (tmp_path / "odd.ini").write_text(odd)
+        with small_blocks(spark, size), pytest.raises(Exception, match="no section|neither|twice"):
+            channels.read_ini_file(spark, f"{tmp_path}/odd.ini").collect()
+    rows = spark.createDataFrame([("b", "y", 0.1234567, {"flow": "8", "note": "p\nq"}), ("a", "x", 64.0, {}), ("b", "x", None, {"flow": "8", "note": "p\nq"})], "section string, channel string, sample_rate double, params map<string,string>")
+    channels.write_ini_file(rows, f"{tmp_path}/out")
+    with small_blocks(spark, size):
+        again = channels.read_ini_file(spark, f"{tmp_path}/out").select("section", "channel", "sample_rate", "params").collect()
+    assert sorted(map(tuple, again), key=str) == sorted(map(tuple, rows.collect()), key=str)

@@ -164,9 +164,10 @@ LISTED = f"(SELECT DISTINCT upper(event_type) AS section, split_part(split_part(
 
 @query(f"SELECT section, channel, 64.0::DOUBLE AS sample_rate, 8.0::DOUBLE AS low, 32.0::DOUBLE AS high FROM {LISTED}")
 def io_channel_list(spark, d):
-    """A configuration file is read and written whole; its size is that of a list of channels."""
     rows = _listed(spark, d).withColumns({"sample_rate": F.lit(64.0), "params": F.create_map(*[F.lit(x) for x in ("flow", "8", "fhigh", "32")])})
-    return channels.read_ini(spark, channels.write_ini(rows.orderBy("section", "channel").collect())).drop("params")
+    path = place(spark, "channels")
+    channels.write_ini_file(rows, path)
+    return channels.read_ini_file(spark, path).drop("params")
 
 
 @query(f"SELECT section, channel, 64.0::DOUBLE AS sample_rate, 8.0::DOUBLE AS low, 'inf'::DOUBLE AS high FROM {LISTED}")
