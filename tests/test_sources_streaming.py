@@ -250,3 +250,51 @@ def test_ini_files(spark, tmp_path, size):
     with small_blocks(spark, size):
         again = channels.read_ini_file(spark, f"{tmp_path}/out").select("section", "channel", "sample_rate", "params").collect()
     assert sorted(map(tuple, again), key=str) == sorted(map(tuple, rows.collect()), key=str)
+
+
+@pytest.mark.parametrize("size", [9, 50, 400, 100000])
+def test_large_xml_files(spark, tmp_path, monkeypatch, size):
+    """A file that is read in blocks has the tables that it has as a whole, wherever it is cut."""
+    text = """<?xml version="1.0"?>
+<!DOCTYPE LIGO_LW SYSTEM "x.dtd">
+<LIGO_LW><Table Name="n:a:table"><Column Name="a:id" Type="int_8s"/>
+<Column Name="a:v" Type="real_8"/> <!-- Column -->
+<Column Name="a:s" Type="lstring"/><Stream Name="a:table" Delimiter=",">1,2.5,"a, \\"b\\"
+c &amp; &lt;d&gt;&#13;",
+  2,,"",3,
+4.5 , plain ,4,5,&quot;x,y&quot;, <!-- 6,7, --> 5,6,"long
+and, longer
+and , longest \\\\",6,,,7,8
+,"e"</Stream></Table>
+<Table Name="b:table"><Column Name="x" Type="int_4s"/><Column Name="y" Type="int_4s"/>
+<Stream Delimiter=";">
+%s</Stream></Table><Table Name="none:table"><Column Name="x" Type="int_4s"/><Stream Delimiter=",">
+</Stream></Table>
+<Table Name="a:table"><Column Name="s" Type="lstring"/><Column Name="v" Type="real_8"/><Column Name="id" Type="int_8s"/><Stream>"last",1,8</Stream></Table>
+</LIGO_LW>
+""" % "".join(f"{i};{i + 1};\n" for i in range(60))
+    (tmp_path / "x.xml").write_text(text.replace("\nand", "\r\nand"), newline="")
+    path = [f"{tmp_path}/x.xml"]
+
+    def read(name, **kw):
+        return sorted(map(str, xml.read_table(spark, path, tablename=name, **kw).collect()))
+
+    want = {n: read(n) for n in ("b", "none")}
+    monkeypatch.setattr(xml, "WHOLE", 0)
+    monkeypatch.setattr(xml, "_raw", lambda *_: pytest.fail("the file is parsed whole"))
+    monkeypatch.setattr(xml, "LONGEST", 1000)
+    with small_blocks(spark, size):
+        assert xml.list_tables(spark, path) == ["a", "b", "none"]
+        assert {n: read(n) for n in want} == want and len(want["b"]) == 60
+        got = sorted(map(tuple, xml.read_table(spark, path, tablename="a", columns=["id", "v", "s"], rename={"s": "t"}).collect()), key=str)
+        assert got == [(1, 2.5, 'a, "b"\nc & <d>\r'), (2, None, ""), (3, 4.5, "plain"), (4, 5.0, "x,y"), (5, 6.0, "long\nand, longer\nand , longest \\"), (6, None, None), (7, 8.0, "e"), (8, 1.0, "last")]
+
+
+def test_odd_large_xml_files(spark, tmp_path, monkeypatch):
+    """What blocks can't be read from is parsed whole."""
+    monkeypatch.setattr(xml, "WHOLE", 0)
+    table = '<LIGO_LW><Table Name="a:table"><Column Name="x"\n Type="int_4s"/><Stream Delimiter="{}">{}</Stream></Table></LIGO_LW>\n'
+    for i, text in enumerate((table.format(",", "1,2"), table.replace("\n ", " ").format(" ", "1 2"), table.replace("\n ", " ").format(",", "<![CDATA[1,2]]>"), "<!-- \n -->" + table.replace("\n ", " ").format(",", "1,2"))):
+        (tmp_path / f"{i}.xml").write_text(text)
+        assert xml.list_tables(spark, [f"{tmp_path}/{i}.xml"]) == ["a"]
+        assert sorted((r.x for r in xml.read_table(spark, [f"{tmp_path}/{i}.xml"]).collect()), key=str) == [1, 2]

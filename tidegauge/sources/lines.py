@@ -33,27 +33,30 @@ def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return spark.read.option("lineSep", "\n").text(list(paths)).select(F.xxhash64(m["file_path"]).alias("file"), m["file_block_start"].alias("start"), m["file_block_length"].alias("length"), "value")
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "value") -> Iterator[tuple[Block, Iterator[list]]]:
-    """The blocks of a task, each with its lines in lists of one batch at most."""
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, Iterator[list]]]:
+    """The blocks of a task, each with its lines in lists of one batch at most; where lines have a place ``at``, with pairs of both."""
 
     def runs() -> Iterator[tuple[Block, list]]:
         for batch in batches:
+            more = "at" in batch.schema.names
             ids = np.stack([batch.column(c).to_numpy() for c in ("file", "start", "length")], 1)
             cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1).tolist(), len(ids)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a < b:
-                    yield tuple(ids[a].tolist()), batch.column(column).slice(a, b - a).to_pylist()
+                    own = batch.slice(a, b - a)
+                    lines = own.column("value").to_pylist()
+                    yield tuple(ids[a].tolist()), list(zip(own.column("at").to_pylist(), lines, strict=True)) if more else lines
 
     for block, own in groupby(runs(), key=lambda r: r[0]):
         yield block, (x for _, x in own)
 
 
-def summaries(lines: DataFrame, summary: Callable[[Iterator[list]], Any]) -> dict[int, list[tuple[Block, Any]]]:
+def summaries(lines: DataFrame, summary: Callable[[Iterator[list], Block], Any]) -> dict[int, list[tuple[Block, Any]]]:
     """The blocks' summaries by file, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, own in blocks(batches):
-            yield pa.RecordBatch.from_pylist([dict(zip(("file", "start", "length"), block, strict=True)) | {"made": pickle.dumps(summary(own))}])
+            yield pa.RecordBatch.from_pylist([dict(zip(("file", "start", "length"), block, strict=True)) | {"made": pickle.dumps(summary(own, block))}])
 
     out: dict[int, list] = {}
     for r in sorted(lines.mapInArrow(run, "file long, start long, length long, made binary").collect(), key=lambda r: (r.file, r.start)):  # a small row for each block
