@@ -298,3 +298,14 @@ def test_odd_large_xml_files(spark, tmp_path, monkeypatch):
         (tmp_path / f"{i}.xml").write_text(text)
         assert xml.list_tables(spark, [f"{tmp_path}/{i}.xml"]) == ["a"]
         assert sorted((r.x for r in xml.read_table(spark, [f"{tmp_path}/{i}.xml"]).collect()), key=str) == [1, 2]
+
+
+def test_large_xml_flags(spark, tmp_path, monkeypatch):
+    """Flags whose three tables are read in blocks."""
+    rows = [(f"X1:F{i % 3}:1", k, float(i) - (k == "known") / 3, i + 0.1) for i in range(60) for k in ("known", "active")]
+    f = spark.createDataFrame(rows, "flag string, kind string, start double, end double")
+    sources.write(f, f"{tmp_path}/f", format="ligolw.flag")
+    monkeypatch.setattr(xml, "WHOLE", 0)
+    monkeypatch.setattr(xml, "_raw", lambda *_: pytest.fail("the file is parsed whole"))
+    with small_blocks(spark, 500):
+        assert sorted(map(tuple, sources.read(spark, f"{tmp_path}/f", format="ligolw.flag").collect())) == sorted(rows)
