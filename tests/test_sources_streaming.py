@@ -309,3 +309,17 @@ def test_large_xml_flags(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(xml, "_raw", lambda *_: pytest.fail("the file is parsed whole"))
     with small_blocks(spark, 500):
         assert sorted(map(tuple, sources.read(spark, f"{tmp_path}/f", format="ligolw.flag").collect())) == sorted(rows)
+
+
+def test_commented_header_in_order(spark, tmp_path, monkeypatch):
+    """The comment lines are written before the rows, in order, whatever order their partitions come in; and read in order from small blocks."""
+    from tidegauge.plans import io_queries
+
+    made = spark.createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, *a, **k: made(*a, **k).orderBy(F.desc("value")))
+    monkeypatch.setattr(io_queries, "place", lambda *_: f"{tmp_path}/t")
+    df = io_queries.io_commented_table(spark, "/root/testdata/sf0.001")
+    assert df.columns == ["id", "snr", "kind"] and df.where("kind in ('view', 'click', 'error', 'signup', 'purchase')").count() == df.count() > 0
+    assert spark.read.text(f"{tmp_path}/t").head(3)[2].value == "# kind"
+    with small_blocks(spark, 4):
+        assert tables.read_commented(spark, [f"{tmp_path}/t"]).columns == df.columns

@@ -12,6 +12,7 @@ from tidegauge import sources
 from tidegauge.plans.event_queries import CHANNEL
 from tidegauge.plans.registry import SQL_SEGMENTS, SQL_SERIES, events, query, samples, segments, series, table
 from tidegauge.sources import channels, tables, xml
+from tidegauge.sources.lines import write_lines
 from tidegauge.sources.registry import Source
 
 KEY = "spark.checkpoint.dir"
@@ -148,9 +149,9 @@ def io_wav(spark, d):
 def io_commented_table(spark, d):
     """A table whose comment lines name the columns, one a line."""
     path = place(spark, "triggers")
-    lines = events(spark, d).select(F.concat_ws(" ", F.col("event_id").cast("string"), F.col("value").cast("string"), "event_type").alias("value"))
-    head = spark.createDataFrame([("# id",), ("# snr",), ("# kind",)], "value string")
-    head.union(lines).repartition(1).write.text(path)
+    rows = events(spark, d).select(F.lit(1).alias("part"), F.monotonically_increasing_id().alias("line"), F.concat_ws(" ", F.col("event_id").cast("string"), F.col("value").cast("string"), "event_type").alias("value"))
+    head = spark.createDataFrame([(0, 0, "# id"), (0, 1, "# snr"), (0, 2, "# kind")], "part int, line long, value string")
+    write_lines(head.union(rows), ["part", "line"], path)
     return tables.read_commented(spark, [path])
 
 

@@ -14,9 +14,11 @@ from tidegauge.sources.registry import merge, register
 
 def read_commented(spark: SparkSession, paths: Sequence[str], *, comment: str = "#", names: Sequence[str] | None = None) -> DataFrame:
     """A table of numbers and words whose comment lines name the columns: one name a line (the word before any unit or number), or all in the last comment line."""
-    lines = spark.read.text(list(paths)).select(F.trim("value").alias("line"))
+    m = F.col("_metadata")
+    lines = spark.read.text(list(paths)).select(F.trim("value").alias("line"), m["file_path"].alias("file"), m["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("at"))
     if names is None:
-        head = [r.line.lstrip(comment).strip() for r in lines.where(F.col("line").startswith(comment)).limit(1000).collect()]  # the header of the file
+        comments = lines.where(F.col("line").startswith(comment)).orderBy("file", "start", "at")
+        head = [r.line.lstrip(comment).strip() for r in comments.limit(1000).collect()]  # the header of the file
         one = [h.split()[0].rstrip(":") for h in head if h and re.fullmatch(r"[\w.%-]+:?(\s+[\[(].*)?", h)]
         names = one if len(one) > 1 else head[-1].split() if head else None
     if not names:
