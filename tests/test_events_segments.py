@@ -112,3 +112,17 @@ def test_stretches_change_nothing(spark):
         assert want and all(full(op(a, b, ["flag"], coarse=c)) == want for c in (7.0, 33.3, 1000.0))
     keyed = E.cluster(a, "start", "end", 1.5, by=["flag"])
     assert full(E.cluster(a, "start", "end", 1.5, by=["flag"], coarse=6.0)) == full(keyed) and keyed.count() < 80
+
+
+def test_overlaps_of_copies(spark):
+    """Equal segments meet once, and all pairs of their copies come out."""
+    from tidegauge.operators import segments as S
+
+    a = spark.createDataFrame([("k", 0.0, 25.0)] * 40 + [("k", 3.0, 4.0), ("j", 0.0, 9.0), ("k", 5.0, 5.0), (None, 0.0, 9.0)], "key string, start double, end double")
+    b = spark.createDataFrame([("k", 2.0, 30.0)] * 50 + [("k", 25.0, 26.0), ("j", 9.0, 10.0), ("j", 8.0, 9.0), ("j", 8.0, 9.0)], "key string, start double, end double")
+    joined = S.overlap_join(a, b, width=10.0, keys=["key"])
+    got = {tuple(r)[:-1]: r["count"] for r in joined.groupBy(*joined.columns).count().collect()}
+    assert got == {("k", 0.0, 25.0, 2.0, 30.0): 2000, ("k", 3.0, 4.0, 2.0, 30.0): 50, ("j", 0.0, 9.0, 8.0, 9.0): 2}
+    assert S.overlap_join(a.drop("key"), b.drop("key"), width=10.0).count() == 40 * 50 + 3 * 50 + 40 + 42 * 2
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(sequence(1, __a") < plan.index("Join Inner") < plan.index("Aggregate [key")
