@@ -311,6 +311,51 @@ def test_large_xml_flags(spark, tmp_path, monkeypatch):
         assert sorted(map(tuple, sources.read(spark, f"{tmp_path}/f", format="ligolw.flag").collect())) == sorted(rows)
 
 
+def test_numbered_lines(spark, tmp_path, monkeypatch):
+    """Lines are written in the order of their numbers, in whatever order and packs they come."""
+    from tidegauge.sources import lines
+
+    rows = [(part, i + (i > 90) * 2**33, f"{part} {i} é\u2028" + "x" * (i % 7) * 30) for part in (2, 0, 1) for i in range(200)] + [(3, 0, None), (3, 1, ""), (4, 0, "y" * 5000), (-1, 7, "first\r")]
+    df = spark.createDataFrame(rows, "part int, line long, value string")
+    for chunk in (1, 300, 1 << 16):
+        monkeypatch.setattr(lines, "CHUNK", chunk)
+        for name, given in (("dealt", df.repartition(5, "line")), ("one", df.coalesce(1)), ("empty", df.limit(0))):
+            lines.write_numbered(given, f"{tmp_path}/{name}{chunk}")
+            got = [r.value for r in spark.read.option("lineSep", "\n").text(f"{tmp_path}/{name}{chunk}").coalesce(1).collect()]
+            assert got == ([] if name == "empty" else [v or "" for _, _, v in sorted(rows, key=lambda r: r[:2])])
+
+
+def test_xml_documents_are_written_in_packs(spark, tmp_path):
+    """The one task that writes a document sorts packs of lines, not lines."""
+    spark.sparkContext.setJobGroup("packs", "packs")
+    try:
+        xml.write_document({"a": spark.range(50000, numPartitions=3), "b": spark.range(50, numPartitions=2)}, f"{tmp_path}/d")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker, store = spark.sparkContext.statusTracker(), spark._jsc.sc().statusStore()
+    read = [store.lastStageAttempt(s).shuffleReadRecords() for j in tracker.getJobIdsForGroup("packs") for s in tracker.getJobInfo(j).stageIds]
+    assert 0 < max(read) < 500
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/d").coalesce(1).collect()]
+    assert [int(x[:-1]) for x in lines if x.endswith(",")] == [*range(50000), *range(50)] and lines[0].startswith("<?xml") and lines[-1] == "</LIGO_LW>"
+
+
+@pytest.mark.parametrize("most", [100, 1])
+def test_xml_flags_are_joined_without_sorts(spark, tmp_path, monkeypatch, most):
+    """The names of few flags go to all executors, so that no task sorts all segments of a flag; more flags than that are joined all the same."""
+    from tidegauge.sources import flags as FL
+
+    rows = [(f"X1:F{i % 3}:1", k, float(i), i + 0.5) for i in range(30) for k in ("known", "active")]
+    sources.write(spark.createDataFrame(rows, "flag string, kind string, start double, end double"), f"{tmp_path}/f", format="ligolw.flag")
+    monkeypatch.setattr(FL, "MOST_NAMES", most)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = sources.read(spark, f"{tmp_path}/f", format="ligolw.flag")
+        assert sorted(map(tuple, out.collect())) == sorted(rows)
+        assert ("SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()) == (most == 1)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_commented_header_in_order(spark, tmp_path, monkeypatch):
     """The comment lines are written before the rows, in order, whatever order their partitions come in; and read in order from small blocks."""
     from tidegauge.plans import io_queries

@@ -36,9 +36,14 @@ def merge_segments(frames: Sequence[DataFrame], *, merged: bool = False) -> Data
     return coalesce(out, [c for c in out.columns if c not in ("start", "end")]) if merged else out
 
 
+#: Flags of documents, up to which all executors get their names; more are joined by a shuffle.
+MOST_NAMES = 100_000
+
+
 def read_xml_flags(spark: SparkSession, paths: Sequence[str], *, names: Sequence[str] | None = None, merged: bool = False) -> DataFrame:
-    tables = [xml.read_table(spark, paths, tablename=t) for t in ("segment_definer", "segment_summary", "segment")]
-    out = from_segment_tables(*tables, names=names)
+    definers, *tables = [xml.read_table(spark, paths, tablename=t) for t in ("segment_definer", "segment_summary", "segment")]
+    few = definers.limit(MOST_NAMES + 1).count() <= MOST_NAMES
+    out = from_segment_tables(F.broadcast(definers) if few else definers, *tables, names=names)
     return flag_coalesce(out) if merged else out
 
 

@@ -9,12 +9,14 @@ the second reads every block from its state.
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 from itertools import groupby
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,34 @@ def write_lines(lines: DataFrame, by: Sequence[str | Column], path: str, mode: s
     lines.repartition(1).sortWithinPartitions(*by).select("value").write.mode(mode).text(path)
 
 
+#: Bytes of text that neighbouring lines are packed up to.
+CHUNK = 1 << 16
+
+
+def write_numbered(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """One file of the lines (part int, line long, value), which have distinct numbers, in the order of these.
+
+    Lines that follow each other are packed where they are made, so that the
+    one task that writes sorts compressed packs and not lines, and holds the text
+    of some packs at a time.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                part, line = (batch.column(c).to_numpy() for c in ("part", "line"))
+                values = pc.fill_null(batch.column("value").cast(pa.binary()), b"")
+                size = np.cumsum(pc.binary_length(values).to_numpy().astype(np.int64) + 1) // CHUNK
+                cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(line) != 1) | (np.diff(size) != 0)) + 1
+                at = np.concatenate([[0], cuts, [len(values)]])
+                texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), values), b"\n")
+                yield pa.RecordBatch.from_arrays([pa.array(part[at[:-1]], pa.int32()), pa.array(line[at[:-1]], pa.int64()), pa.array([zlib.compress(t.as_py(), 1) for t in texts], pa.binary())], names=["part", "line", "pack"])
+
+    packs = lines.select("part", "line", "value").mapInArrow(pack, "part int, line long, pack binary")
+    unpack = F.udf(zlib.decompress, "binary", useArrow=False)  # a hundred packs a time, where a batch of Arrow has thousands
+    packs.repartition(1).sortWithinPartitions("part", "line").select(unpack("pack").cast("string").alias("value")).write.mode(mode).text(path)
+
+
 def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """(file, start, length, value): lines in order within the block of the file that they start in."""
     m = F.col("_metadata")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.sources.lines import Block, from_states, read_lines, summaries, write_lines
+from tidegauge.sources.lines import Block, from_states, read_lines, summaries, write_numbered
 from tidegauge.sources.registry import register
 
 #: Column types of the format, and Spark's.
@@ -393,7 +393,7 @@ def document_lines(tables: dict[str, DataFrame]) -> DataFrame:
 
 def write_document(tables: dict[str, DataFrame], path: str, mode: str = "errorifexists") -> None:
     """A document is one file, which one task writes; nothing comes to the driver."""
-    write_lines(document_lines(tables), ["part", "line"], path, mode)
+    write_numbered(document_lines(tables), path, mode)
 
 
 def write_table(df: DataFrame, path: str, *, tablename: str, mode: str = "errorifexists") -> None:
