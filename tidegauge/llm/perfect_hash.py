@@ -55,7 +55,8 @@ class PerfectHash:
         return made
 
     def index(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """The place of each key; of a key that isn't in the set, any place or -1."""
+        """The place of each key; of a key that isn't in the set, any place or -1. One word may stand for all keys."""
+        first, second = np.broadcast_arrays(first, second)
         out, live, base = np.full(len(first), -1, np.int64), np.arange(len(first)), 0
         for level, size in enumerate(self.sizes.tolist()):
             if not len(live):
