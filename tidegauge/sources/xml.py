@@ -50,28 +50,31 @@ def _values(text: str, delimiter: str) -> Iterator[str | None]:
             return
 
 
-def _tables(content: bytes) -> Iterator[tuple[str, list[tuple[str, str]], list[list[str | None]]]]:
+def _tables(content: bytes, wanted: str | None, streams: bool) -> Iterator[tuple[str, list[tuple[str, str]], list[list[str | None]]]]:
     root = ElementTree.parse(io.BytesIO(content)).getroot()
     for t in root.iter("Table"):
+        name = _table_name(t.get("Name", ""))
+        if wanted is not None and name != wanted:
+            continue
         columns = [(_bare(c.get("Name", "")), c.get("Type", "lstring")) for c in t.findall("Column")]
-        stream = t.find("Stream")
+        stream = t.find("Stream") if streams else None
         delimiter = (stream.get("Delimiter") if stream is not None else None) or ","
         text = (stream.text or "") if stream is not None else ""
         values = list(_values(text, delimiter))
-        yield _table_name(t.get("Name", "")), columns, [values[i : i + len(columns)] for i in range(0, len(values), len(columns))] if columns else []
+        yield name, columns, [values[i : i + len(columns)] for i in range(0, len(values), len(columns))] if columns else []
 
 
 #: Bytes of a file that a task parses whole, and characters of a line with markup that the driver takes.
 WHOLE, LONGEST = 16 << 20, 1 << 20
 
 
-def _raw(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(name, columns, types, values): a row for each row of each table; files are read one a task."""
+def _raw(spark: SparkSession, paths: Sequence[str], wanted: str | None = None, streams: bool = True) -> DataFrame:
+    """(name, columns, types, values): a row for each row of each table, or of those called ``wanted``; without streams, a row for each table. Files are read one a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                for name, columns, rows in _tables(content.as_py()):
+                for name, columns, rows in _tables(content.as_py(), wanted, streams):
                     rows = rows or [None]
                     names, kinds = [c for c, _ in columns], [t for _, t in columns]
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array([names] * len(rows), pa.list_(pa.string())), pa.array([kinds] * len(rows), pa.list_(pa.string())), pa.array(rows, pa.list_(pa.string()))], names=["name", "columns", "types", "values"])
@@ -329,21 +332,20 @@ def _states(lines: DataFrame, streams: list[Stream], of: Callable[[Block], list[
 
 def list_tables(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     whole, _, streams = _files(spark, paths)
-    return sorted({s.name for s in streams} | ({r.name for r in _raw(spark, whole).select("name").distinct().collect()} if whole else set()))
+    return sorted({s.name for s in streams} | ({r.name for r in _raw(spark, whole, None, False).select("name").distinct().collect()} if whole else set()))
 
 
 def read_table(spark: SparkSession, paths: Sequence[str], *, tablename: str | None = None, columns: Sequence[str] | None = None, rename: dict[str, str] | None = None) -> DataFrame:
     """A table of the documents, typed as declared; values of which nothing is written are null. The only table, unless one is named."""
     whole, lines, streams = _files(spark, paths)
-    raw = _raw(spark, whole) if whole else None
     if tablename is None:
-        names = sorted({s.name for s in streams} | ({r.name for r in raw.select("name").distinct().collect()} if whole else set()))
+        names = sorted({s.name for s in streams} | ({r.name for r in _raw(spark, whole, None, False).select("name").distinct().collect()} if whole else set()))
         if len(names) != 1:
             raise ValueError(f"name one of the tables {names}")
         tablename = names[0]
     streams = [s for s in streams if s.name == tablename]
-    rows = raw.where(F.col("name") == tablename) if whole else None
-    head = rows.select("columns", "types").first() if whole else None
+    rows = _raw(spark, whole, tablename) if whole else None
+    head = _raw(spark, whole, tablename, False).select("columns", "types").first() if whole else None
     declared = list(zip(head.columns, head.types, strict=True)) if head else streams[0].columns if streams else None
     if declared is None:
         raise ValueError(f"no table {tablename!r}")
