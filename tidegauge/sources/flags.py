@@ -38,12 +38,17 @@ def merge_segments(frames: Sequence[DataFrame], *, merged: bool = False) -> Data
 
 #: Flags of documents, up to which all executors get their names; more are joined by a shuffle.
 MOST_NAMES = 100_000
+#: Bytes of documents that a part of the result is read from, so that it isn't written as many small files.
+PART = 128 << 20
 
 
 def read_xml_flags(spark: SparkSession, paths: Sequence[str], *, names: Sequence[str] | None = None, merged: bool = False) -> DataFrame:
     definers, *tables = [xml.read_table(spark, paths, tablename=t) for t in ("segment_definer", "segment_summary", "segment")]
     few = definers.limit(MOST_NAMES + 1).count() <= MOST_NAMES
-    out = from_segment_tables(F.broadcast(definers) if few else definers, *tables, names=names)
+    if few:
+        size = spark.read.format("binaryFile").load(list(paths)).agg(F.sum("length")).first()[0]
+        definers, tables = F.broadcast(definers), [t.coalesce(1 + size // PART) for t in tables]
+    out = from_segment_tables(definers, *tables, names=names)
     return flag_coalesce(out) if merged else out
 
 
