@@ -5,6 +5,7 @@ import math
 import pathlib
 import random
 import re
+import tracemalloc
 import types
 import zlib
 from collections import defaultdict
@@ -620,6 +621,38 @@ def test_importance_against_a_plain_version(spark):
     assert len(set(samples)) == 3
 
 
+def numpy_peak(made):
+    """The largest batch of an iterator and the peak of numpy's arrays meanwhile, in MB."""
+    tracemalloc.start()
+    try:
+        largest = max((x.nbytes for x in made), default=0)
+        return largest / 1e6, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_workers_hold_little_memory_at_once(spark, monkeypatch):
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(20000)]
+    docs = [" ".join(r.choices(words, k=500)) for _ in range(2000)]
+    batch = pa.record_batch({"id": pa.array(range(len(docs)), pa.int64()), "text": docs})
+    held = types.SimpleNamespace(value=importance.Labels([(1, 1), (2, 0)]))
+    largest, peak = numpy_peak(importance._count(held, "id", "text")(iter([batch])))
+    assert largest < 1 and peak < 80
+    parts = [x for b in importance._count(held, "id", "text")(iter([batch.slice(0, 20), batch.slice(20, 30)])) for x in b.to_pylist()]
+    assert sorted(x["chunk"] for x in parts) == list(range(-1, 2 * importance.BUCKETS // importance.CHUNK))
+    assert [importance._unpacked(pa.scalar(parts[0][c]), -1, np.int32).tolist() for c in importance.COUNTS] == [[50], [1], [1]]
+    values, _ = importance.features(batch.column("text").slice(0, 50))
+    want = np.bincount(np.concatenate(importance._buckets(values)), minlength=2 * importance.BUCKETS)
+    assert (np.concatenate([importance._unpacked(pa.scalar(x["raw"]), x["chunk"], np.int32) for x in parts[1:]]) == want).all()
+    items = pa.record_batch({"item_id": pa.array([0], pa.int64()), "text": [" ".join(words[:12])]})
+    rows = [types.SimpleNamespace(**x) for b in decontaminate._items(5)(iter([items])) for x in b.to_pylist()]
+    monkeypatch.setattr(decontaminate, "_indexes", lambda *_: [(types.SimpleNamespace(value=decontaminate.Index(rows, 5, 80)), 1)])
+    frame = types.SimpleNamespace(sparkSession=spark, schema=None, mapInArrow=lambda run, _: run(iter([batch])))
+    _, peak = numpy_peak(decontaminate.without_contaminated(frame, None))
+    assert peak < 80
+
+
 def test_importance_of_rare_words(spark):
     """Each toxic word is in about ten of a thousand documents, too few for the raw text to tell."""
     r = random.Random(6)

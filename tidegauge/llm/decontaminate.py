@@ -34,7 +34,8 @@ from .textvec import U, Circulant, distinct, mix, shingles, slices, word_hashes
 
 K = 64
 FEW = 4
-BLOCK_BYTES = 16 << 20
+#: Bytes of items in a block, and of text that is taken apart at once.
+BLOCK_BYTES, SLICE = 16 << 20, 512 << 10
 #: Bytes between words: all but ASCII letters and digits, and parts of other characters.
 APART = np.ones(256, bool)
 AS_IS = np.arange(256, dtype=np.uint8)
@@ -53,7 +54,7 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _items(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         circulant = Circulant(K)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             hashes, words = _words(batch.column("text"))
             values, count = distinct(*shingles(hashes, words, k))
             sig = circulant(values, count)
@@ -178,7 +179,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             x, circulant = index.value, Circulant(K)
-            for batch in slices(batches, "text"):
+            for batch in slices(batches, "text", SLICE):
                 if hits := x.match(batch.column("text"), circulant):
                     r, i, shared = zip(*hits, strict=True)
                     n = [len(x.members[j]) for j in i]
@@ -199,7 +200,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             x, circulant = index.value, Circulant(K)
-            for batch in slices(batches, text_col):
+            for batch in slices(batches, text_col, SLICE):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[r for r, _, _ in x.match(batch.column(text_col), circulant)]] = False
                 yield batch.filter(pa.array(keep))

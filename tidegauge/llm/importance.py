@@ -38,6 +38,8 @@ from .scratch import Scratch, steps
 from .textvec import LOWER, MULS, SPACE, U, distinct, flat, mix, slices, span_hash
 
 BUCKETS, CHUNK, SALTS = 1 << 20, 1 << 15, 256
+#: Bytes of text that are taken apart at once; a worker's arrays take some fifty times that.
+SLICE = 512 << 10
 #: Documents that a bucket is taken to have seen beforehand; the surprise at which a ratio is halved, against the raw text and the labelled; the ratio at which it is halved; the length of a run of one word that counts
 PRIOR, SURE_RAW, SURE, SMALL, RUN = 1.0, 12.0, 10.0, 0.3, 6
 COUNTS = ("raw", "target", "bad")
@@ -80,6 +82,16 @@ def _buckets(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (v & U(BUCKETS - 1)).astype(np.int64), (v >> U(40) & U(BUCKETS - 1)).astype(np.int64) + BUCKETS
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(counts), codec="zstd", asbytes=True)
+
+
+def _unpacked(value: pa.Scalar, chunk: int, kind: type) -> np.ndarray:
+    """The counts of a chunk; chunk -1 is one number."""
+    size = (CHUNK if chunk >= 0 else 1) * np.dtype(kind).itemsize
+    return np.frombuffer(pa.decompress(value.as_buffer(), size, codec="zstd"), kind)
+
+
 class Labels:
     """Ids and classes (1 good, 0 bad) of the labelled documents that are used."""
 
@@ -108,7 +120,7 @@ def labelled(labels: DataFrame, most: int) -> Labels:
 def _count(labels, id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, docs = np.zeros((3, 2 * BUCKETS), np.int32), np.zeros(3, np.int32)
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, SLICE):
             values, count = features(batch.column(text_col))
             kind = labels.value.of(batch.column(id_col))
             sets = (kind >= -1, kind == 1, kind == 0)
@@ -118,10 +130,11 @@ def _count(labels, id_col: str, text_col: str):
             docs += np.array([of.sum() for of in sets], np.int32)
         if docs[0]:
             salt = int(mix(np.array([docs[0]], U) + total[0, :1].astype(U))[0] % U(SALTS))
-            parts = [(c, salt, *[t[c * CHUNK : (c + 1) * CHUNK].tobytes() for t in total]) for c in range(2 * BUCKETS // CHUNK)]
-            parts.append((-1, salt, *[docs[i : i + 1].tobytes() for i in range(3)]))
             kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 3)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*parts, strict=True), kinds, strict=True)], names=["chunk", "salt", *COUNTS])
+            # chunk by chunk and compressed: neither the worker nor the JVM holds all counts a second time
+            for c in range(-1, 2 * BUCKETS // CHUNK):
+                part = (c, salt, *[_packed(t[c * CHUNK : (c + 1) * CHUNK] if c >= 0 else docs[i : i + 1]) for i, t in enumerate(total)])
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(part, kinds, strict=True)], names=["chunk", "salt", *COUNTS])
 
     return run
 
@@ -130,7 +143,8 @@ def _add(kind: type):
     """Sums, as 64-bit numbers, of the arrays of ``kind`` that share a chunk (and salt)."""
 
     def run(table: pa.Table) -> pa.Table:
-        total = {c: sum(np.frombuffer(x.as_buffer(), kind).astype(np.int64) for x in table.column(c)).tobytes() for c in COUNTS}
+        chunk = table.column("chunk")[0].as_py()
+        total = {c: _packed(sum(_unpacked(x, chunk, kind).astype(np.int64) for x in table.column(c))) for c in COUNTS}
         return pa.table({"chunk": table.column("chunk")[:1], **({"salt": table.column("salt")[:1]} if "salt" in table.column_names else {}), **{c: pa.array([b], pa.binary()) for c, b in total.items()}})
 
     return run
@@ -175,14 +189,19 @@ def _rated(docs: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                counts = np.stack([np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in COUNTS])
+                counts = np.stack([_unpacked(batch.column(c)[i], 0, np.int64) for c in COUNTS])
                 yield pa.RecordBatch.from_arrays([batch.column("chunk").slice(i, 1), pa.array([models(counts, docs).tobytes()], pa.binary())], names=["chunk", "ratios"])
 
     return run
 
 
 def weights(column: pa.Array, kind: np.ndarray, model: np.ndarray) -> np.ndarray:
-    """The log weight of each text of a class (``Labels.of``)."""
+    """The log weight of each text of a class (``Labels.of``), SLICE bytes at a time."""
+    rows = pa.RecordBatch.from_arrays([column, pa.array(kind)], names=["text", "kind"])
+    return np.concatenate([np.empty(0), *[_weights(x.column("text"), x.column("kind").to_numpy(), model) for x in slices(iter([rows]), "text", SLICE)]])
+
+
+def _weights(column: pa.Array, kind: np.ndarray, model: np.ndarray) -> np.ndarray:
     values, count = features(column)
     a, b = _buckets(values)
     at = np.repeat(np.where(kind < 0, 2, kind) * (2 * BUCKETS), count)
@@ -248,7 +267,7 @@ def select(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     counted = counted.groupBy("chunk", "salt").applyInArrow(_add(np.int32), "chunk int, salt int, raw binary, target binary, bad binary").drop("salt").groupBy("chunk").applyInArrow(_add(np.int64), "chunk int, raw binary, target binary, bad binary")
     counted = scratch.write(counted, "counts")
     sums = counted.where("chunk < 0").select(*COUNTS).first()
-    total = [int(np.frombuffer(bytes(x), np.int64)[0]) for x in sums] if sums else [0, 0, 0]
+    total = [int(_unpacked(pa.scalar(bytes(x)), -1, np.int64)[0]) for x in sums] if sums else [0, 0, 0]
     ready = np.zeros((3, 2 * BUCKETS), np.float32)
     # executors make the ratios; the driver only holds the model, whose size is fixed
     for r in counted.where("chunk >= 0").mapInArrow(_rated(total), "chunk int, ratios binary").toLocalIterator():
