@@ -126,3 +126,20 @@ def test_overlaps_of_copies(spark):
     assert S.overlap_join(a.drop("key"), b.drop("key"), width=10.0).count() == 40 * 50 + 3 * 50 + 40 + 42 * 2
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode(sequence(1, __a") < plan.index("Join Inner") < plan.index("Aggregate [key")
+
+
+def test_overlaps_of_distinct_segments(spark):
+    """Where few segments are equal, they are not counted, so that each side is shuffled once; copies on one side alone are."""
+    from tidegauge.operators import segments as S
+
+    segments = lambda rows: spark.createDataFrame(rows, "key string, start double, end double")
+    full = lambda df: sorted(map(tuple, df.collect()))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    one = [("k", float(i), i + 7.5) for i in range(60)] + [("k", 3.0, 10.5), ("j", 0.0, 9.0), ("k", 5.0, 5.0)]
+    few, many = [("k", i + 0.25, i + 12.0) for i in range(50)] + [("j", 9.0, 10.0)] * 2, [("k", 2.0, 30.0)] * 5 + [("j", 8.0, 9.0)] * 4
+    for other in (few, many):
+        want = sorted((k, s, e, t, f) for k, s, e in one for m, t, f in other if k == m and s < f and t < e and s < e and t < f)
+        for x, y, pairs in ((one, other, want), (other, one, sorted((k, t, f, s, e) for k, s, e, t, f in want))):
+            joined = S.overlap_join(segments(x), segments(y), width=10.0, keys=["key"])
+            assert full(joined) == pairs and plan(joined).count("Aggregate [key") == (other is many)
+    assert S.overlap_join(segments(one), segments(one).limit(0), width=10.0, keys=["key"]).count() == 0
